@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clausewright.llm import near_dedup
+from clausewright.llm import bpe, language_id, near_dedup
 
-MODULES = (near_dedup,)
+MODULES = (near_dedup, language_id, bpe)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
