@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,8 +16,8 @@ from pyspark.sql.window import Window
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4_000, 128_000
 #: A text is compressed in blocks of so many bytes, each against the whole dictionary.
 BLOCK_BYTES = 4_096
-#: Text from the dictionary that goes before a block, so that the block is never too short to be compressed.
-CARRIER_BYTES = 200
+#: Ends every dictionary and goes before every block, so that no block is too short to be compressed; it costs the same in all languages.
+CARRIER = "".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(4)).encode()
 #: The least share by which the second-best language must be larger for a document to be accepted.
 LEAST_MARGIN = 0.004
 UNDETERMINED = "und"
@@ -30,55 +31,60 @@ def letters_only(text: str | None) -> str:
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} " if text else ""
 
 
-def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most ``documents`` rows (doc_id, text, lang) of each language, cut to ``chars`` characters.
+def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> tuple[list[str], DataFrame]:
+    """The languages, commonest first, and at most ``documents`` texts of each, cut to ``chars`` characters.
 
     Which ones doesn't depend on the number of partitions: those with the least hash of doc_id. One pass
-    over the labels alone counts the languages; a hash threshold from the counts then leaves about four
-    times as many rows as are wanted, and only these are ranked.
+    over the labels alone counts the languages (one row each comes to the driver); a hash threshold from
+    the counts then leaves about four times as many rows as are wanted, and only these are ranked.
     """
-    drawn = labelled.where("text is not null and lang is not null").withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)))
-    counts = drawn.groupBy("lang").agg(F.count("*").alias("n"))
-    some = drawn.join(counts, "lang").where(F.col("draw") * F.col("n") < F.lit(4 * documents) * F.lit(1 << 30))
+    drawn = labelled.where("text is not null and lang is not null").withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    counts = sorted(((row["count"], row.lang) for row in drawn.groupBy("lang").count().collect()), key=lambda c: (-c[0], c[1]))
+    languages = [lang for _, lang in counts]
+    if not counts:
+        return languages, drawn.select("lang", F.lit(1).alias("place"), "text")
+    shares = {lang: 4.0 * documents / n for n, lang in counts}
+    share = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))
+    some = drawn.where(F.col("draw") < share[F.col("lang")])
     ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.col("doc_id"), "text")))
-    return ranked.where(F.col("place") <= documents).select("lang", "place", F.substring("text", 1, chars).alias("text"))
+    return languages, ranked.where(F.col("place") <= documents).select("lang", "place", F.substring("text", 1, chars).alias("text"))
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """The raw-content dictionary of each language: a bounded sample's letters, DICTIONARY_BYTES at most."""
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample(labelled).collect():  # bounded by the three constants and the number of languages
-        texts.setdefault(row.lang, []).append((row.place, letters_only(row.text)))
+    """The raw-content dictionary of each language, commonest first: a bounded sample's letters, DICTIONARY_BYTES at most."""
+    languages, rows = sample(labelled)
+    texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in languages}
+    for row in rows.collect():  # bounded by the three constants and the number of languages
+        texts[row.lang].append((row.place, letters_only(row.text)))
     learned = {lang: "".join(t for _, t in sorted(found)).encode("utf-8", "replace")[:DICTIONARY_BYTES] for lang, found in texts.items()}
-    return {lang: raw for lang, raw in sorted(learned.items()) if raw.strip()}
+    return {lang: raw for lang, raw in learned.items() if raw.strip()}
 
 
 class Classifier:
     """Sizes of a text under each language's dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.of: list[tuple[str, zstandard.ZstdCompressor, bytes, int]] = []
+        self.of: list[tuple[str, zstandard.ZstdCompressor, int]] = []
         for lang, raw in dictionaries.items():
-            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(raw), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            held = zstandard.ZstdCompressionDict(raw + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(raw) + len(CARRIER), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
             with_dictionary = zstandard.ZstdCompressor(dict_data=held, compression_params=how)
-            carrier = raw[:CARRIER_BYTES]
-            self.of.append((lang, with_dictionary, carrier, len(with_dictionary.compress(carrier))))
+            self.of.append((lang, with_dictionary, len(with_dictionary.compress(CARRIER))))
 
-    def sizes(self, text: str) -> list[tuple[int, str]]:
+    def sizes(self, text: str) -> list[tuple[int, int, str]]:
         raw = text.encode("utf-8", "replace")
         blocks = [raw[at : at + BLOCK_BYTES] for at in range(0, len(raw), BLOCK_BYTES)]
-        return sorted((sum(len(c.compress(carrier + b)) - least for b in blocks), lang) for lang, c, carrier, least in self.of)
+        return sorted((sum(len(c.compress(CARRIER + b)) - least for b in blocks), k, lang) for k, (lang, c, least) in enumerate(self.of))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, margin from 0 to 1, and whether the margin is too narrow; ties go to the first language by name."""
+        """Language, margin from 0 to 1, and whether the margin is too narrow; ties go to the commonest language."""
         letters = letters_only(text)
         if not self.of or not any(map(str.isalpha, letters)):
             return UNDETERMINED, 0.0, True
         sizes = self.sizes(letters)
         if len(sizes) == 1:
-            return sizes[0][1], 1.0, False
-        (best, lang), (second, _) = sizes[:2]
+            return sizes[0][2], 1.0, False
+        (best, _, lang), (second, _, _) = sizes[:2]
         margin = min(1.0, (second - best) / max(1, second, second - best))
         return lang, margin, margin < LEAST_MARGIN
 
