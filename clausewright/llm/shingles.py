@@ -30,7 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of all words of many texts: a polynomial in the word's bytes, modulo 2^64, then mixed."""
 
-    def __init__(self):
+    def __init__(self, blank: np.ndarray = _BLANK):
+        """``blank`` says of each byte whether it stands between words."""
+        self.blank = blank
         self.powers = self.inverses = np.ones(0, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -46,7 +48,7 @@ class WordHasher:
         """Hashes of the words of all texts in order, the first word of each text (and the end), and each word's first byte and end in the joined texts."""
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self._grow(len(joined) + 1)
-        blank = _BLANK[joined]
+        blank = self.blank[joined]
         edges = np.flatnonzero(np.diff(blank, prepend=True))
         starts, ends = edges[0::2], edges[1::2]
         sums = np.zeros(len(joined) + 1, np.uint64)
