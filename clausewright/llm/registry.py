@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clausewright.llm import bpe, language_id, near_dedup, spot_signatures, toxicity
+from clausewright.llm import ball_tree, bpe, language_id, mixing, near_dedup, spot_signatures, token_counts, toxicity
 
-MODULES = (near_dedup, toxicity, language_id, spot_signatures, bpe)
+MODULES = (mixing, ball_tree, near_dedup, token_counts, toxicity, language_id, spot_signatures, bpe)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
