@@ -8,16 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.components import connected_components
 from clausewright.llm.shingles import Bands, Minima, WordHasher, shingle_sets, sketch
 from clausewright.llm.staging import staged
 
-MINIMA, BANDS, ROWS = 128, 64, 8
+MINIMA, BANDS, ROWS = 512, 64, 8
 #: Rows taken together in Python, so that memory follows a few texts and not a whole Arrow batch.
 SLICE = 256
+#: Members of a bucket that are compared with each other in one task at most; larger buckets are cut into cells.
+CELL = 2048
 
 
 def _signatures(size: int):
@@ -58,27 +60,90 @@ def _shared(size: int):
     return run
 
 
-def _differing(x: str, y: str) -> Column:
-    """Number of nibbles in which two sketches differ."""
+def _most_differing(percent: int) -> int:
+    """Nibbles in which the sketches of a pair at the threshold differ: the mean and four standard deviations."""
+    p = (1 - percent / 100) * 15 / 16
+    return math.ceil(MINIMA * p + 4 * math.sqrt(MINIMA * p * (1 - p)))
 
-    def one(k: int) -> Column:
-        t = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        t = t.bitwiseOR(F.shiftrightunsigned(t, 1))
-        t = t.bitwiseOR(F.shiftrightunsigned(t, 2))
-        return F.bit_count(t.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return sum((one(k) for k in range(1, MINIMA // 16)), one(0))
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    t = x ^ y
+    t |= t >> np.uint64(1)
+    t |= t >> np.uint64(2)
+    return np.bitwise_count(t & np.uint64(0x1111111111111111)).sum(axis=-1)
 
 
-def _most_differing(percent: int) -> int:
-    """Five standard deviations above what a pair at the threshold shows."""
-    p = (1 - percent / 100) * 15 / 16
-    return math.ceil(MINIMA * p + 5 * math.sqrt(MINIMA * p * (1 - p)))
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
+
+
+def _likely(percent: int):
+    """Of pairs (u, v, n_u, n_v, sketch_u, sketch_v) those that sizes and signatures don't rule out."""
+    most = _most_differing(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (_differing(_longs(batch.column(4)), _longs(batch.column(5))) <= most)
+            yield batch.select([0, 1]).filter(pa.array(fits))
+
+    return run
+
+
+def _across(percent: int):
+    """Rows (key, cell, half, doc_id, part, n, sketch, bands), in the order of key and cell, to the likely pairs across parts.
+
+    A pair that shares several buckets is given out in the first of its bands alone.
+    """
+    most = _most_differing(percent)
+
+    def pairs(table: pa.Table) -> Iterator[tuple[int, int]]:
+        key, half, doc, part, n = (table.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
+        if len(doc) < 2 or (part == part[0]).all():
+            return
+        sketches, bands = (_longs(table.column(k).combine_chunks()) for k in (6, 7))
+        split = half.min() != half.max()
+        names, counts = np.unique(part, return_counts=True)
+        rest = np.flatnonzero(part != names[np.argmax(counts)])  # pairs within the largest part needn't be looked at
+        done = np.zeros(len(doc), bool)
+        for i in rest:
+            done[i] = True
+            fits = ~done & (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if split:
+                fits &= half != half[i]
+            near = np.flatnonzero(fits)
+            near = near[_differing(sketches[near], sketches[i]) <= most]
+            shared = bands[near] == bands[i]
+            for j in near[bands[i][np.argmax(shared, axis=1)] == key[:1].view(np.uint64)[0]]:
+                yield (doc[i], doc[j]) if doc[i] < doc[j] else (doc[j], doc[i])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def closed(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+            found = list(pairs(pa.Table.from_batches(tables)))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-def _likely(percent: int) -> Column:
-    sizes = (F.least("n_u", "n_v") * 100) >= (F.greatest("n_u", "n_v") * percent)
-    return sizes & (_differing("sketch_u", "sketch_v") <= _most_differing(percent))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(key[0]), int(cell[0])):
+                yield closed(held)
+                held = []
+            for begin, end in zip(bounds, bounds[1:]):  # noqa: B905
+                held.append(batch.slice(begin, end - begin))
+                if end < batch.num_rows:
+                    yield closed(held)
+                    held = []
+        if held:
+            yield closed(held)
+
+    return run
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -95,14 +160,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Documents whose sets of distinct ``shingle``-word shingles have a Jaccard similarity of at least
     ``percent`` / 100 are linked; component_id is the smallest doc_id reachable over links.
 
-    1. Each set gets 128 universal-hash minima; 64 bands of 8 of them are its keys. A pair at 0.8 shares
-       no band with a probability of about 10^-4, at 0.85 of 10^-6.
+    1. Each set gets 512 universal-hash minima; 64 bands of 8 of them are its keys. A pair at 0.8 shares
+       no band with a probability of about 10^-5, at 0.85 of 10^-9; its signature rules it out by four standard deviations.
     2. Documents with equal sets form a class at once; only its first document goes on.
     3. In each bucket of a band everything is paired with the bucket's first document (a star, linear in
        the bucket). Pairs that the signatures don't rule out are confirmed on the full sets.
     4. Buckets whose documents are all in one component are settled: another link could add nothing. In the
        rest, pairs across components that the signatures don't rule out are confirmed too, so that no
-       candidate is left out; they are tested inside the join, which gives out only those that pass.
+       candidate is left out. A bucket is compared in cells of a bounded size, however many members it has.
 
     Null and empty texts, and texts without words, have an empty set and are linked with nothing.
     A null doc_id is a component of its own (component_id null, kept true). Rows that repeat a doc_id
@@ -120,20 +185,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     keys = unique.select("doc_id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     buckets = staged(keys.join(hubs, "key"), "buckets")
-    sketches = unique.select("doc_id", "n_shingles", "sketch")
-    sides = [sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("u", "v")]
+    u, v = (unique.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
 
     star = buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    likely = staged(star.join(sides[1], "v").join(sides[0], "u").where(_likely(percent)).select("u", "v"), "likely")
+    starred = star.join(v, "v").join(u, "u").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
+    likely = staged(starred.mapInArrow(_likely(percent), "u long, v long"), "likely")
     links = staged(_confirmed(likely, texts, shingle, percent), "links")
     parts = connected_components(links)
 
-    placed = buckets.join(parts, buckets.doc_id == parts.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    placed = staged(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("key")
-    rest = staged(placed.join(open_keys, "key", "left_semi").join(sketches, "doc_id"), "open")
-    u, v = (rest.select("key", F.col("doc_id").alias(k), F.col("part").alias(f"part_{k}"), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
-    across = u.join(v, (u.key == v.key) & (F.col("u") < F.col("v")) & (F.col("part_u") != F.col("part_v")) & _likely(percent)).select("u", "v").distinct()
+    placed = staged(buckets.join(parts, buckets.doc_id == parts.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")), "placed")
+    unsettled = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2")
+    unsettled = unsettled.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("halves"))
+    rest = placed.join(unsettled, "key").withColumn("half", F.pmod(F.hash("doc_id"), "halves"))
+    # a bucket of one half is one cell; of more halves, each pair of halves is a cell
+    cells = F.transform(F.sequence(F.lit(0), F.col("halves") - 1), lambda x: F.least(x, "half") * F.col("halves") + F.greatest(x, "half"))
+    rest = rest.select("key", F.explode(cells).alias("cell"), "half", "doc_id", "part").join(unique.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id")
+    rest = rest.select("key", "cell", "half", "doc_id", "part", "n_shingles", "sketch", "bands").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    across = rest.mapInArrow(_across(percent), "u long, v long").distinct()
     more = staged(_confirmed(across.join(likely, ["u", "v"], "left_anti"), texts, shingle, percent), "links")
     tied = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     tied = tied.union(classes.where("doc_id <> first_id").select("doc_id", "first_id"))
