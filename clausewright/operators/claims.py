@@ -32,8 +32,9 @@ def raw_claims(section: Column) -> Column:
 
 def split_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row per claim: the keys, claim_pos (from 1), number, claim_text. Documents without claims have no row."""
-    listed = docs.select(*keys, F.posexplode(raw_claims(claims_section(F.col(text)))).alias("at", "claim"))
-    return listed.select(*keys, (F.col("at") + 1).alias("claim_pos"), F.col("claim.number").alias("number"), F.col("claim.text").alias("claim_text"))
+    # the outer form: for the plain one the optimizer would test the array's size first, and so parse the text twice
+    listed = docs.select(*keys, F.posexplode_outer(raw_claims(claims_section(F.col(text)))).alias("at", "claim"))
+    return listed.where("at is not null").select(*keys, (F.col("at") + 1).alias("claim_pos"), F.col("claim.number").alias("number"), F.col("claim.text").alias("claim_text"))
 
 
 def with_dependencies(claims: DataFrame, text: str = "claim_text") -> DataFrame:
@@ -194,13 +195,15 @@ def parse_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
 
 def elements_of(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per element, path being its place in the claim's flat list."""
-    listed = claims.select(*keys, "claim_pos", "number", F.posexplode("elements").alias("path", "e"))
-    return listed.select(*keys, "claim_pos", "number", "path", "e.ord", "e.level", "e.marker", "e.element_type", "e.text")
+    # the outer form: for the plain one the optimizer would test the array's size first, and so build it once more
+    fields = ("ord", "level", "marker", "element_type", "text")
+    rows = F.transform("elements", lambda e, i: F.struct(i.alias("path"), *(e[f].alias(f) for f in fields)))
+    return claims.select(*keys, "claim_pos", "number", F.inline_outer(rows)).where("path is not null")
 
 
 def dependencies_of(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per parent: the keys, child, parent, parent_exists. Both sides of the join are partitioned by document."""
-    children = claims.select(*keys, F.col("number").alias("child"), F.explode("parent_claims").alias("parent"))
+    children = claims.select(*keys, F.col("number").alias("child"), F.explode_outer("parent_claims").alias("parent")).where("parent is not null")
     known = claims.select(*keys, F.col("number").alias("parent"), F.lit(True).alias("known")).distinct()
     return children.join(known, [*keys, "parent"], "left").select(*keys, "child", "parent", F.coalesce("known", F.lit(False)).alias("parent_exists"))
 
@@ -217,10 +220,10 @@ def ancestry(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",), deepest: in
     A chain that comes back to itself, or is longer than ``deepest``, has depth and root null. The document's parents are
     gathered as a map, so no join is repeated for each step.
     """
-    parents = claims.groupBy(*keys).agg(F.collect_list(F.struct("number", "parent_claim")).alias("all"))
+    parents = claims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("claim_pos", "number", "parent_claim"))).alias("all"))
     # the first claim of a number counts; map_from_entries would reject repeated keys
     firsts = F.aggregate(
-        F.array_sort("all"), F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")), lambda m, x: F.when(F.map_contains_key(m, x["number"]), m).otherwise(F.map_concat(m, F.create_map(x["number"], x["parent_claim"])))
+        "all", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")), lambda m, x: F.when(F.map_contains_key(m, x["number"]), m).otherwise(F.map_concat(m, F.create_map(x["number"], x["parent_claim"])))
     )
     walk = F.lit(None)
     with_map = parents.withColumn("up", firsts)
