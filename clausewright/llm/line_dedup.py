@@ -14,38 +14,46 @@ LEAST_TEXTS = 5
 #: Tenths of a template's tokens that must be fixed for it to generalise a leaf.
 FIXED_TENTHS = 7
 FIELD = "<*>"
+#: Leaves that are sent to all tasks at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
 _BLANKS = "[ \\t\\r\\f\\x0B]"
 _NOT_BLANK = "[^ \\t\\r\\f\\x0B]"
+#: A line without any of these is its own shape.
+_UNEVEN = "[0-9\\t\\r\\f\\x0B]|  |^ | $"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens between blanks; one with a digit is a variable field."""
+def _shape(line: Column) -> Column:
+    """The line's tokens with a space between; one with a digit is a variable field."""
     masked = F.regexp_replace(line, f"{_NOT_BLANK}*[0-9]{_NOT_BLANK}*", FIELD)
-    return F.filter(F.split(masked, f"{_BLANKS}+"), lambda t: t != "")
+    return F.when(line.rlike(_UNEVEN), F.trim(F.regexp_replace(masked, f"{_BLANKS}+", " "))).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line with tokens: doc_id, text_key, line (from 0), tokens, shape, leaf, n."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    rows = rows.select("doc_id", "text_key", "line", _tokens(F.col("words")).alias("tokens")).where(F.size("tokens") > 0)
-    n = F.size("tokens")
-    return rows.select("doc_id", "text_key", "line", "tokens", F.xxhash64("tokens").alias("shape"), F.xxhash64(n, F.slice("tokens", 1, DEPTH)).alias("leaf"), n.alias("n"))
+    """Each line with tokens: doc_id, text_key, line (from 0), spelled, shape, leaf.
+
+    The outer form of explode: for the plain one the optimizer would split the text once more to test the array's size."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
+    rows = rows.select("doc_id", "text_key", "line", _shape(F.col("words")).alias("spelled")).where("spelled <> ''")
+    tokens = F.length("spelled") - F.length(F.replace("spelled", F.lit(" "), F.lit("")))
+    return rows.select("doc_id", "text_key", "line", "spelled", F.xxhash64("spelled").alias("shape"), F.xxhash64(tokens, F.substring_index("spelled", " ", DEPTH)).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """The lines to drop: doc_id, text_key and lines (array of line numbers), one row per distinct document that has any."""
-    lines = _lines(docs)
-    # one row for each shape in each text; its first place there
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"), F.col("line"))
-    in_text = lines.groupBy("shape", "text_key").agg(F.min(place).alias("first"), F.first("leaf").alias("leaf"), F.first("n").alias("n"))
-    shapes = staged(in_text.groupBy("shape").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.first("leaf").alias("leaf"), F.first("n").alias("n")), "shapes")
+    spelled_lines = _lines(docs)
+    lines = staged(spelled_lines.select("doc_id", "text_key", "line", "shape", "leaf"), "lines")
+    in_text = lines.groupBy("shape", "text_key").agg(F.first("leaf").alias("leaf"))
+    shapes = staged(in_text.groupBy("shape").agg(F.count("*").alias("texts"), F.first("leaf").alias("leaf")), "shapes")
 
     # leaves in which several shapes might be one template: only there tokens are looked at by position
     wide = shapes.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= least_texts) & (F.col("kinds") > 1)).select("leaf", "all")
-    wide_shapes = shapes.join(wide, "leaf").select("shape", "leaf", "texts", "all")
-    spelled = lines.join(wide_shapes.select("shape"), "shape", "left_semi").groupBy("shape").agg(F.first("tokens").alias("tokens"))
-    spelled = staged(spelled.join(wide_shapes, "shape"), "spelled")
-    by_place = spelled.select("leaf", "texts", "all", F.posexplode("tokens").alias("at", "token"))
+    wide = staged(wide, "leaves")
+    few = wide.count() <= BROADCAST_LEAVES
+    wanted = wide.select("leaf")
+    spelled = spelled_lines.select("shape", "leaf", "spelled").join(F.broadcast(wanted) if few else wanted, "leaf", "left_semi")
+    spelled = spelled.groupBy("shape").agg(F.first("spelled").alias("spelled")).select("shape", F.split("spelled", " ").alias("tokens"))
+    spelled = staged(spelled.join(shapes.join(wide, "leaf"), "shape"), "spelled")
+    by_place = spelled.select("leaf", "texts", "all", F.posexplode_outer("tokens").alias("at", "token"))
     by_place = by_place.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.first("all").alias("all"))
     modal = by_place.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("token"))).alias("m"), F.first("all").alias("all"))
     modal = modal.select("leaf", "at", F.when((F.col("m.c") * -2 >= F.col("all")) & (F.col("m.token") != FIELD), F.col("m.token")).alias("token"))
@@ -53,17 +61,18 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     fixed = F.size(F.filter("template", lambda t: t.isNotNull()))
     templates = templates.where(fixed * 10 >= F.size("template") * FIXED_TENTHS)
     fits = F.forall(F.zip_with("tokens", "template", lambda t, m: m.isNull() | (t == m)), lambda x: x)
-    fitting = spelled.join(templates, "leaf").where(fits).select("shape", "leaf")
+    fitting = staged(spelled.join(templates, "leaf").where(fits).select("shape", "leaf"), "fitting")
     # texts of a template: distinct over its shapes
-    of_text = in_text.select("shape", "text_key").join(fitting, "shape").select("leaf", "text_key").distinct().groupBy("leaf").count()
-    general = fitting.join(of_text.where(F.col("count") >= least_texts).select("leaf"), "leaf")
-
-    groups = shapes.join(general.select("shape", F.lit(True).alias("general")), "shape", "left").where(F.col("general") | (F.col("texts") >= least_texts))
-    groups = groups.select("shape", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("shape")).alias("template"), "first")
-    first = groups.groupBy("template").agg(F.min("first").alias("kept"))
-    groups = groups.join(first, "template").select("shape", "kept")
-    found = lines.select("doc_id", "text_key", "line", "shape").join(groups, "shape").where(~((F.col("kept.text_key") == F.col("text_key")) & F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.line") == F.col("line"))))
-    return found.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
+    of_text = lines.select("shape", "text_key").join(fitting, "shape").select("leaf", "text_key").distinct().groupBy("leaf").count()
+    general = fitting.join(of_text.where(F.col("count") >= least_texts).select("leaf"), "leaf").select("shape", F.lit(True).alias("general"))
+
+    groups = shapes.join(general, "shape", "left").where(F.col("general") | (F.col("texts") >= least_texts))
+    groups = groups.select("shape", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("shape")).alias("template"))
+    found = staged(lines.select("doc_id", "text_key", "line", "shape").join(groups, "shape").select("doc_id", "text_key", "line", "template"), "recurring")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"), F.col("line"))
+    first = found.groupBy("template").agg(F.min(place).alias("kept"))
+    lost = found.join(first, "template").where(~((F.col("kept.text_key") == F.col("text_key")) & F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.line") == F.col("line"))))
+    return lost.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
