@@ -252,6 +252,47 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert substring_dedup.repeated_passages(frame(spark, texts).where("false")).count() == 0
 
 
+def _found(one, two):
+    grams = substring_dedup._grams_of([" ".join(one), " ".join(two)], substring_dedup.WordHasher())
+    x, y = grams
+    equal = np.flatnonzero(np.isin(x, y))
+    at = int(equal[0])
+    rows = substring_dedup.passages(x, y, [(at, int(np.flatnonzero(y == x[at])[0]))], 50, 80)
+    for b, e, c, f, alike in rows:
+        p, q = shingle_set(" ".join(one[b:e]), 5), shingle_set(" ".join(two[c:f]), 5)
+        assert min(e - b, f - c) >= 50 and abs(alike - len(p & q) / len(p | q)) < 1e-9 and alike >= 0.8
+    return rows
+
+
+@pytest.mark.parametrize("change", ["phrase", "two words", "inserted", "left out"])
+def test_edited_passages_are_aligned(change):
+    words = [f"w{k}" for k in range(100)]
+    other = {
+        "phrase": words[:48] + [f"n{k}" for k in range(4)] + words[52:],
+        "two words": words[:47] + ["n1", *words[48:52], "n2"] + words[53:],
+        "inserted": words[:49] + [f"n{k}" for k in range(12)] + words[49:],
+        "left out": words[:47] + words[58:],
+    }[change]
+    around = [[f"{name}{k}" for k in range(70)] for name in "abcd"]
+    rows = _found(around[0] + words + around[1], around[2] + around[3] + other)
+    assert [(b, e, c, f) for b, e, c, f, _ in rows] == [(70, 170, 140, 140 + len(other))]
+
+
+def test_an_edited_passage_beside_noise_is_found():
+    words = [f"w{k}" for k in range(70)]
+    other = [*words[:35], "n0", *words[36:]]
+    noise = [[f"w{70 + k}" if k % 9 < 6 else f"{name}{k}" for k in range(90)] for name in "ab"]  # a few equal shingles, far below the threshold
+    rows = _found(words + noise[0], other + noise[1])
+    assert len(rows) == 1 and rows[0][0] == 0 and rows[0][1] >= 70
+
+
+def test_crossed_and_repeated_passages_are_found():
+    one, two = [f"u{k}" for k in range(60)], [f"v{k}" for k in range(60)]
+    assert {(b, c) for b, _, c, _, _ in _found(one + two, two + one)} == {(0, 60), (60, 0)}
+    assert {(b, c) for b, _, c, _, _ in _found([*one, "x", "y", "z", *one], one)} >= {(0, 0), (63, 0)}
+    assert len(_found(["same"] * 3000, ["same"] * 2000)) <= 1
+
+
 def test_toxicity_swaps_and_scores(spark):
     rng = random.Random(9)
     rows, labels = [], []
