@@ -4,77 +4,87 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents in a block, slots in a period, and buckets into which a source is cut to be numbered.
-BLOCK_ROWS, SLOTS = 16, 1024
+#: Documents in a block, and slots that the weights are whole shares of: finer than a double's own rounding.
+BLOCK_ROWS, SLOTS = 16, 1 << 62
+#: Digits of the buckets into which a source is cut to be numbered.
 BUCKET_DIGITS = 3
 
 
 def shares(weights: list[float], slots: int) -> list[int]:
-    """Whole numbers of slots in proportion to the weights, by largest remainders; at least one each."""
-    spare, total = slots - len(weights), math.fsum(weights)
-    ideal = [w / total * spare for w in weights]
-    out = [1 + math.floor(x) for x in ideal]
-    for k in sorted(range(len(weights)), key=lambda k: (math.floor(ideal[k]) - ideal[k], k))[: slots - sum(out)]:
-        out[k] += 1
+    """Whole numbers of slots in proportion to the weights, by largest remainders, exactly; at least one each."""
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
+    ideal = [w * slots / total for w in exact]
+    out = [max(1, math.floor(x)) for x in ideal]
+    while sum(out) != slots:
+        step = 1 if sum(out) < slots else -1
+        k = max((k for k in range(len(out)) if out[k] + step > 0), key=lambda k: (step * (ideal[k] - out[k]), -k))
+        out[k] += step
     return out
 
 
-def period(given: list[int]) -> list[int]:
-    """The source of each slot: block j (from 0) of a source with a of M slots is released at floor(j M / a) and
-    due by ceil((j + 1) M / a); of the released blocks the one due earliest goes first, ties to the first source."""
+def turns(given: list[int]) -> Iterator[int]:
+    """The source of each slot, without end: block j (from 0) of a source with a of M slots is released at floor(j M / a)
+    and due by ceil((j + 1) M / a); of the released blocks the one due earliest goes first, ties to the first source."""
     slots = sum(given)
     coming = [(0, k, 0) for k in range(len(given))]
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(slots):
+    for t in count():
         while coming and coming[0][0] <= t:
             _, k, j = heapq.heappop(coming)
             heapq.heappush(ready, (-(-(j + 1) * slots // given[k]), k, j))
         _, k, j = heapq.heappop(ready)
-        out.append(k)
-        if j + 1 < given[k]:
-            heapq.heappush(coming, ((j + 1) * slots // given[k], k, j + 1))
-    return out
+        yield k
+        heapq.heappush(coming, ((j + 1) * slots // given[k], k, j + 1))
+
+
+def period(given: list[int]) -> list[int]:
+    """The first sum(given) turns, in which every source has exactly what is given to it."""
+    return list(islice(turns(given), sum(given)))
 
 
 @dataclass
 class Phase:
-    """Slots from ``start`` on in which the same sources are active: blocks from ``done[k]`` on of source k."""
+    """Slots from ``start`` on in which the same sources are active: blocks from ``done[k]`` on of source k, at ``places[k]``."""
 
     start: int
     done: np.ndarray
-    given: np.ndarray
     places: list[np.ndarray]
-    slots: int
 
 
 def schedule(blocks: list[int], weights: list[float], slots: int = SLOTS) -> list[Phase]:
-    """Phases that use up all blocks. At the end of a period every source has had exactly its share, so one period,
-    repeated, is a Pfair schedule. When a source runs out, the others go on at weights in the same proportion."""
-    left, done, start, out = np.array(blocks, np.int64), np.zeros(len(blocks), np.int64), 0, []
+    """Phases that use up all blocks. When a source runs out, the others go on at weights in the same proportion."""
+    left, done, start, out = [*blocks], np.zeros(len(blocks), np.int64), 0, []
     weights = [w if w > 0 else 0.0 for w in weights]
-    while (left > 0).any():
+    while any(n > 0 for n in left):
         active = [k for k in range(len(left)) if left[k] > 0]
         wanted = [k for k in active if weights[k] > 0] or active  # what has no weight comes last
-        size = max(slots, 2 * len(wanted))
-        given = np.zeros(len(left), np.int64)
-        given[wanted] = shares([weights[k] or 1.0 for k in wanted], size)
-        order = np.array(wanted)[period([int(given[k]) for k in wanted])]
-        places = [np.flatnonzero(order == k) for k in range(len(left))]
-        out.append(Phase(start, done.copy(), given, places, size))
-        periods = int((left[wanted] // given[wanted]).min())
-        took, length = periods * given, periods * size
-        if not periods:  # the period is cut where the first source has had its last block
-            cut = min(int(places[k][left[k] - 1]) + 1 for k in wanted if left[k] <= given[k])
-            took, length = np.array([np.searchsorted(p, cut) for p in places]), cut
-        left, done, start = left - took, done + took, start + length
+        order = array("i")
+        if len(wanted) == 1:
+            order.extend(array("i", wanted) * left[wanted[0]])
+            left[wanted[0]] = 0
+        else:
+            for turn in turns(shares([weights[k] or 1.0 for k in wanted], slots)):
+                order.append(wanted[turn])
+                left[wanted[turn]] -= 1
+                if not left[wanted[turn]]:
+                    break
+        at = np.frombuffer(order, np.int32)
+        sources = np.argsort(at, kind="stable")
+        took = np.bincount(at, minlength=len(left))
+        out.append(Phase(start, done.copy(), np.split(sources, np.cumsum(took)[:-1])))
+        done, start = done + took, start + len(at)
     return out
 
 
@@ -104,8 +114,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     had its target share to within less than one block. Targets are ``weights`` by source (a source without one comes
     when the others are used up); by default the square root of a source's rows, which favours small sources.
 
-    The driver gets one row for each source, and from it draws up the periods (SLOTS slots for each phase;
-    two phases for each source at most); a block's slot then follows by arithmetic in the tasks.
+    The driver gets one row for each source, and from it draws up all slots, block by block at the exact weights (no short
+    period, whose rounding would add up); tasks are sent each block's slot, 8 bytes for ``block_rows`` documents.
     A null source is a source of its own, with the name "". Rows that repeat are separate documents. Column names that begin
     with ``mix_`` are taken by the result; others are kept as they are.
     """
@@ -128,8 +138,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
             mine = np.searchsorted(starts, number[at], side="right") - 1
             for p in np.unique(mine):
                 phase, rows = phases[p], at[mine == p]
-                turn, place = np.divmod(number[rows] - phase.done[k], phase.given[k])
-                out[rows] = phase.start + turn * phase.slots + phase.places[k][place]
+                out[rows] = phase.start + phase.places[k][number[rows] - phase.done[k]]
         return source.__class__(out)
 
     size = F.lit(block_rows)

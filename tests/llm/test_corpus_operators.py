@@ -129,6 +129,18 @@ def test_a_period_keeps_every_source_within_a_block():
             assert all(abs(h - g * t / 97) < 1 for h, g in zip(had, given, strict=True))
 
 
+@pytest.mark.parametrize("weights", [[0.7, 0.1, 0.1, 0.05, 0.05], [0.9, *[0.01] * 10], [1.0] * 20, [math.sqrt(n) for n in (3, 50, 999, 12345)]])
+def test_sources_stay_within_a_block_of_the_true_weights_however_long(weights):
+    first = mixing.schedule([math.ceil(w / sum(weights) * 20_000) for w in weights], weights)[0]
+    order = np.full(sum(map(len, first.places)), -1)
+    for k, places in enumerate(first.places):
+        order[places] = k
+    assert len(order) > 10_000 and order.min() == 0
+    t = np.arange(1, len(order) + 1)
+    for k, w in enumerate(weights):
+        assert np.abs(np.cumsum(order == k) - t * (w / math.fsum(weights))).max() < 1 + 1e-9
+
+
 def test_mixture_is_the_schedule_block_by_block(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("aaaaab") if i % 3 else None, "t", i) for i in range(700)]
