@@ -305,6 +305,26 @@ def test_crossed_and_repeated_passages_are_found():
     assert len(_found(["same"] * 3000, ["same"] * 2000)) <= 1
 
 
+def test_texts_that_repeat_a_doc_id_are_separate(spark):
+    rng = random.Random(12)
+    p, q, r, whole = (sentence(rng, n) for n in (60, 60, 60, 90))
+
+    def around(passage):
+        return f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}"
+
+    rows = [(0, whole), (1, around(p)), (1, around(q)), (2, around(p)), (3, around(q)), (4, whole), (4, around(r)), (5, around(r)), (6, around(p + " " + sentence(rng, 9))), (6, around(sentence(rng, 70)))]
+    twice = sentence(rng, 60)
+    rows += [(7, around(twice)), (7, around(twice)), (8, sentence(rng, 80)), (None, around(p))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.first_doc_id) for x in found} == {(2, 1), (3, 1), (4, 0), (5, 4), (6, 1)}
+    texts = defaultdict(list)
+    for i, text in rows:
+        texts[i].append(text.split())
+    for x in found:
+        spans = [{" ".join(t[b:e]) for t in texts[i]} for i, b, e in ((x.doc_id, x.begin_word, x.end_word), (x.first_doc_id, x.first_begin, x.first_end))]
+        assert spans[0] & spans[1]
+
+
 def test_toxicity_swaps_and_scores(spark):
     rng = random.Random(9)
     rows, labels = [], []
