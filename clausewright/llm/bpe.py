@@ -283,7 +283,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str | None = None) -> Dat
     The vocabulary file (about 2 MB, whatever the corpus) is read on the driver and sent to each executor once.
     Rows are independent and nothing is shuffled. Null and empty texts give no ids and an empty text; a null
     doc_id stays null; rows that repeat are each encoded; other columns are ignored. Texts and words may have
-    any length: a word's letters are consumed one by one, and what is held of it doesn't grow with it.
+    any length: a word's letters are consumed one by one and the paths held of it are bounded, but the letters and ids
+    of a whole text are held, so memory grows with the longest text.
     """
     raw = Path(vocabulary_path or default_vocabulary()).read_bytes()
     sent, digest = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
