@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bounds of what is learned from: labelled documents of each language, characters of each, bytes of a dictionary.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4_000, 128_000
+#: Bound of what is learned from: labelled documents of each language. Their whole texts are the dictionary.
+SAMPLE_DOCUMENTS = 64
 #: A text is compressed in blocks of so many bytes, each against the whole dictionary.
 BLOCK_BYTES = 4_096
 #: Ends every dictionary and goes before every block, so that no block is too short to be compressed; it costs the same in all languages.
@@ -32,8 +32,8 @@ def letters_only(text: str | None) -> str:
     return f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} " if text else ""
 
 
-def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, chars: int = SAMPLE_CHARS) -> tuple[list[str], DataFrame]:
-    """The languages, commonest first, and at most ``documents`` texts of each, cut to ``chars`` characters.
+def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> tuple[list[str], DataFrame]:
+    """The languages, commonest first, and at most ``documents`` whole texts of each.
 
     Which ones doesn't depend on the number of partitions: those with the least hash of doc_id. One pass
     over the labels alone counts the languages (one row each comes to the driver); a hash threshold from
@@ -48,16 +48,16 @@ def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, chars: int =
     share = F.create_map(*(F.lit(x) for pair in sorted(shares.items()) for x in pair))
     some = drawn.where(F.col("draw") < share[F.col("lang")])
     ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.col("doc_id"), "text")))
-    return languages, ranked.where(F.col("place") <= documents).select("lang", "place", F.substring("text", 1, chars).alias("text"))
+    return languages, ranked.where(F.col("place") <= documents).select("lang", "place", "text")
 
 
-def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """The raw-content dictionary of each language, commonest first: a bounded sample's letters, DICTIONARY_BYTES at most."""
-    languages, rows = sample(labelled)
+def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> dict[str, bytes]:
+    """The raw-content dictionary of each language, commonest first: the letters of at most ``documents`` whole texts."""
+    languages, rows = sample(labelled, documents)
     texts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in languages}
-    for row in rows.collect():  # bounded by the three constants and the number of languages
+    for row in rows.collect():  # bounded by the number of documents and of languages
         texts[row.lang].append((row.place, letters_only(row.text)))
-    learned = {lang: "".join(t for _, t in sorted(found)).encode("utf-8", "replace")[:DICTIONARY_BYTES] for lang, found in texts.items()}
+    learned = {lang: "".join(t for _, t in sorted(found)).encode("utf-8", "replace") for lang, found in texts.items()}
     return {lang: raw for lang, raw in learned.items() if raw.strip()}
 
 
@@ -68,7 +68,8 @@ class Classifier:
         self.of: list[tuple[str, zstandard.ZstdCompressor, int]] = []
         for lang, raw in dictionaries.items():
             held = zstandard.ZstdCompressionDict(raw + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(raw) + len(CARRIER), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            reach = max(17, (len(raw) + 2 * len(CARRIER) + BLOCK_BYTES).bit_length())  # the window holds the whole dictionary
+            how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(raw) + len(CARRIER), window_log=min(27, reach), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
             with_dictionary = zstandard.ZstdCompressor(dict_data=held, compression_params=how)
             self.of.append((lang, with_dictionary, len(with_dictionary.compress(CARRIER))))
 
@@ -97,7 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     the second-best is larger, from 0 to 1. Rejected are documents with a narrow margin, and those with
     null, empty or letterless text, whose lang_pred is ``und`` and score 0; if nothing was learned, that holds
     for all. Rows are independent: nothing is shuffled, a null doc_id stays null, repeated rows get equal
-    results, other columns are ignored. What is sent to tasks is one dictionary of bounded size a language.
+    results, other columns are ignored. What is sent to tasks is one dictionary a language, of a bounded number of documents.
     """
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.staging import staged
 
-#: Bounds of what is learned from: labelled rows of each class, and characters of each text that is learned from.
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 20_000
+#: Bound of what is learned from: labelled rows of each class. Their whole texts are read.
+SAMPLE_ROWS = 4_000
+#: Weight of the mean squared difference between counterfactual scores in the loss.
+PENALTY = 1.0
 #: A word's features are itself and its beginnings of these lengths (compounds share their stem), hashed to so many.
 BEGINNINGS, FEATURES = (4, 5, 6, 7, 8), 1 << 22
-#: Features that the model uses: those whose share of documents differs most between the classes.
+#: Features that the model uses, besides those of identity terms: those whose share of documents differs most between the classes.
 CHOSEN = 6_000
 LEAST_DOCUMENTS = 4
 SLICE = 256
@@ -44,6 +46,7 @@ IDENTITY_TERMS = (
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -69,9 +72,31 @@ class Buckets(dict):
         return found
 
 
-def swaps() -> dict[str, str]:
-    """Each identity term's counterfactual: the next one of its group."""
-    return {term: group[(k + 1) % len(group)] for group in IDENTITY_TERMS for k, term in enumerate(group)}
+Terms = tuple[tuple[str, ...], ...]
+
+
+def put_in(text: str, terms: Terms) -> tuple[str, tuple[str, ...]]:
+    """The term that a text which names no group is given, and its group, drawn by the text's hash."""
+    draw = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    group = terms[draw % len(terms)]
+    return group[draw // len(terms) % len(group)], group
+
+
+def mentioned(text: str | None, terms: Terms) -> tuple[list[str], list[tuple[list[str], list[str]]]]:
+    """A text's words, and pairs of its sentences (as words) that differ in an identity term alone.
+
+    Each sentence that names a group gives a pair for each other term of the group. A text that names none has a term put
+    after its words, so that terms which the labelled texts lack are learned to mean nothing; its pairs are
+    those of its sentence with the least hash, with that term and the others of its group put after it.
+    """
+    groups = {term: group for group in terms for term in group}
+    sentences = [w for w in map(words, _SENTENCE_END.split(text or "")) if w]
+    pairs = [(s, [other if w == term else w for w in s]) for s in sentences for term in sorted(groups.keys() & set(s)) for other in groups[term] if other != term]
+    if pairs or not sentences or not terms:
+        return words(text), pairs
+    own, group = put_in(text, terms)
+    least = min(sentences, key=lambda w: (xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")), w))
+    return [*words(text), own], [([*least, own], [*least, other]) for other in group if other != own]
 
 
 def featurise(tokens: list[str], buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
@@ -88,51 +113,58 @@ def featurise(tokens: list[str], buckets: Buckets) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """Weights of the features in ``only`` (sorted), and the constant."""
+    """Weights of the features in ``only`` (sorted), the constant, and the counterfactual pairs that were fitted to."""
 
     only: np.ndarray
     weights: np.ndarray
     constant: float
+    gaps: Gaps | None = None
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(only: np.ndarray, own: list, other: list, labels: list[int], penalty: float = 1.0, decay: float = 1e-4, steps: int = 300) -> Model:
+@dataclass
+class Gaps:
+    """The counterfactual pairs, as the sum of d d' over the differences d of their features: the only thing of them
+    that the penalty depends on, of a size that the terms bound however many pairs there are."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    sums: np.ndarray
+    pairs: int
+
+    def mean(self, weights: np.ndarray) -> float:
+        """The mean squared difference of the pairs' raw scores."""
+        return float((weights[self.rows] * self.sums * weights[self.columns]).sum()) / max(1, self.pairs)
+
+
+def fit(only: np.ndarray, own: list, labels: list[int], gaps: Gaps | None = None, penalty: float = PENALTY, decay: float = 1e-4, steps: int = 300) -> Model:
     """Logistic regression by full-batch descent with momentum and a step size for each feature.
 
-    ``own`` and ``other`` hold (places, values) of each document and of its counterfactual (None if it names no
-    group). The loss is the class-balanced cross-entropy, plus ``penalty`` times the squared difference between a
-    document's raw score and its counterfactual's, plus ``decay`` times the squared weights.
+    ``own`` holds (places, values) of each document. The loss is the class-balanced cross-entropy, plus ``penalty``
+    times the mean squared difference between the raw scores of counterfactual sentences, plus ``decay`` times the squared weights.
     """
     label = np.array(labels, float)
     if not len(label) or label.min() == label.max():
         return Model(only[:0], np.zeros(0), 20.0 if len(label) and label[0] else -20.0)
-
-    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
-        return (r, np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-    own_r, own_c, own_v = matrix(own)
-    paired = [k for k, x in enumerate(other) if x is not None]
-    (a_r, a_c, a_v), (b_r, b_c, b_v) = matrix([own[k] for k in paired]), matrix([other[k] for k in paired])
-    gap_r, gap_c, gap_v = np.concatenate([a_r, b_r]), np.concatenate([a_c, b_c]), np.concatenate([a_v, -b_v])
+    row = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
+    place, value = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
     share = np.where(label > 0, 0.5 / label.sum(), 0.5 / (1 - label).sum())
     n = len(only) + 1
     weights, move, scale = np.zeros(n), np.zeros(n), np.zeros(n)
     for step in range(1, steps + 1):
-        raw = np.bincount(own_r, own_v * weights[own_c], len(label)) + weights[-1]
+        raw = np.bincount(row, value * weights[place], len(label)) + weights[-1]
         error = share * (_sigmoid(raw) - label)
-        slope = np.bincount(own_c, own_v * error[own_r], n) + 2 * decay * weights
+        slope = np.bincount(place, value * error[row], n) + 2 * decay * weights
         slope[-1] = error.sum()
-        if paired:
-            gap = np.bincount(gap_r, gap_v * weights[gap_c], len(paired))
-            slope += penalty * 2 / len(paired) * np.bincount(gap_c, gap_v * gap[gap_r], n)
+        if gaps is not None and gaps.pairs:
+            slope += penalty * 2 / gaps.pairs * np.bincount(gaps.rows, gaps.sums * weights[gaps.columns], n)
         move = 0.9 * move + 0.1 * slope
         scale = 0.99 * scale + 0.01 * slope**2
         weights -= 0.03 * (move / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.99**step)) + 1e-9)
-    return Model(only, weights[:-1], float(weights[-1]))
+    return Model(only, weights[:-1], float(weights[-1]), gaps)
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,51 +179,72 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(keys & 1), pa.array(counts)], ["feature", "label", "n"])
 
 
-def _vectors(only: np.ndarray):
+def _vectors(only: np.ndarray, terms: Terms):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(only)
+        for batch in batches:
+            rows = [featurise(mentioned(text, terms)[0], buckets) for text in batch.column(0).to_pylist()]
+            arrays = [pa.array([row[k] for row in rows], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1)], ["i", "v", "label"])
+
+    return run
+
+
+def _gap_sums(only: np.ndarray, terms: Terms):
+    """Texts to the sums of d d' over their counterfactual pairs, by places i and j; the row i = j = -1 counts the pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, swap = Buckets(only), swaps()
+        buckets = Buckets(only)
         for batch in batches:
-            rows = []
+            sums: Counter[tuple[int, int]] = Counter()
             for text in batch.column(0).to_pylist():
-                tokens = words(text)
-                swapped = [swap.get(t, t) for t in tokens]
-                rows.append((*featurise(tokens, buckets), *(featurise(swapped, buckets) if swapped != tokens else (None, None))))
-            kinds = (pa.int32(), pa.float32()) * 2
-            arrays = [pa.array([row[k] for row in rows], pa.list_(kinds[k])) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1)], ["i", "v", "j", "w", "label"])
+                for one, two in mentioned(text, terms)[1]:
+                    gap = dict(zip(*map(np.ndarray.tolist, featurise(one, buckets)), strict=True))
+                    for i, v in zip(*map(np.ndarray.tolist, featurise(two, buckets)), strict=True):
+                        gap[i] = gap.get(i, 0.0) - v
+                    left = [(i, v) for i, v in gap.items() if v]
+                    sums[-1, -1] += 1
+                    for i, v in left:
+                        for j, w in left:
+                            sums[i, j] += v * w
+            columns = [[i for i, _ in sums], [j for _, j in sums], [float(s) for s in sums.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["i", "j", "s"])
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on about ``rows`` labelled documents of each class at most, those with the least hash of doc_id.
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: Terms = IDENTITY_TERMS, penalty: float = PENALTY) -> Model:
+    """Fits on about ``rows`` labelled documents of each class at most, those with the least hash of doc_id, read whole.
 
     The draw is made on the labels before any text is read, so what is joined to the texts is small and is
-    sent to them. Features are counted and chosen on the executors; what reaches the driver is CHOSEN features
-    and, for the sampled documents, their values. Rows with a null text, doc_id or label teach nothing; of
-    rows that repeat a doc_id in the labels the largest label counts.
+    sent to them. Features are counted and chosen on the executors; what reaches the driver is CHOSEN features (those of ``terms``
+    come in any case), for the sampled documents their values, and for all counterfactual pairs together a sum for each two features of ``terms``.
+    Rows with a null text, doc_id or label teach nothing; of rows that repeat a doc_id in the labels the largest label
+    counts, and rows that repeat one in the documents all teach it.
     """
     drawn = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     drawn = drawn.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     counts = {r.label: r["count"] for r in drawn.groupBy("label").count().collect()}
     if len(counts) < 2:
-        return fit(np.zeros(0, np.int64), [], [], [*counts])
+        return fit(np.zeros(0, np.int64), [], [*counts])
     share = F.create_map(*(F.lit(x) for label, n in sorted(counts.items()) for x in (label, rows / n)))
     chosen = drawn.where(F.col("draw") < share[F.col("label")]).select("doc_id", "label")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # `rows` of each class on average and never many more: a table of some hundred kilobytes
     sampled = staged(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "sample")
     of = {r.label: max(1, r["count"]) for r in sampled.groupBy("label").count().collect()}
     both = sampled.mapInArrow(_document_counts, "feature long, label long, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
     bad, good = F.col("bad") / of.get(1, 1), (F.col("n") - F.col("bad")) / of.get(0, 1)
-    all_share = F.col("n") / sum(of.values())
+    all_share = F.col("n") / max(1, sum(of.values()))
     both = both.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("apart", F.abs(bad - good) / F.sqrt(all_share * (1.0001 - all_share)))
-    only = np.sort(np.array([r.feature for r in both.orderBy(F.desc("apart"), "feature").limit(CHOSEN).collect()], np.int64))
-    found = sampled.mapInArrow(_vectors(only), "i array<int>, v array<float>, j array<int>, w array<float>, label int").toArrow().combine_chunks()
-    lists = {c: [None if x is None else np.array(x) for x in found.column(c).to_pylist()] for c in "ivjw"}
-    own = [(i.astype(np.int64), v.astype(float)) for i, v in zip(lists["i"], lists["v"], strict=True)]
-    other = [None if j is None else (j.astype(np.int64), w.astype(float)) for j, w in zip(lists["j"], lists["w"], strict=True)]
-    return fit(only, own, other, found.column("label").to_pylist())
+    chosen_features = np.array([r.feature for r in both.orderBy(F.desc("apart"), "feature").limit(CHOSEN).collect()], np.int64)
+    only = np.unique(np.concatenate([chosen_features, *map(Buckets().__getitem__, (term for group in terms for term in group))]))
+    found = sampled.mapInArrow(_vectors(only, terms), "i array<int>, v array<float>, label int").toArrow().combine_chunks()
+    own = [(np.array(i, np.int64), np.array(v, float)) for i, v in zip(found.column("i").to_pylist(), found.column("v").to_pylist(), strict=True)]
+    summed = sampled.mapInArrow(_gap_sums(only, terms), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    pairs, apart = summed[summed.i < 0], summed[summed.i >= 0]
+    gaps = Gaps(apart.i.to_numpy(np.int64), apart.j.to_numpy(np.int64), apart.s.to_numpy(float), int(pairs.s.sum()))
+    return fit(only, own, found.column("label").to_pylist(), gaps, penalty)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,17 +1,22 @@
 """Operators 1 to 5 and 7 and the pipeline against brute force on small fixtures."""
 
 import math
+import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, substring_dedup, toxicity
 from clausewright.llm.components import connected_components
 
+TABLES = "/root/testdata/sf0.1"
+
 
 def sentence(rng, n):
     return " ".join("".join(rng.choice(["ba", "de", "fi", "go", "ku", "la", "mo", "ne"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
@@ -345,19 +350,66 @@ def test_toxicity_swaps_and_scores(spark):
     assert all(r.score < 0.01 for r in toxicity.score(docs, none).collect())
 
 
-def test_counterfactual_penalty_pulls_swapped_terms_together():
-    """Feature 0 is a group's name that goes with the label, 1 its counterfactual, 2 says what is toxic."""
-    one, rng = np.ones, random.Random(1)
-    own, other, labels = [], [], []
-    for i in range(200):
+def brute_score(text, model):
+    """The score of a text, word by word: every feature's 1 + ln(count) times its weight."""
+    of = dict(zip(model.only.tolist(), model.weights.tolist(), strict=True))
+    counts = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for part in [f"={word}", *(f"^{word[:n]}" for n in toxicity.BEGINNINGS if len(word) >= n)]:
+            counts[xxhash.xxh64_intdigest(part.encode(), seed=7) % toxicity.FEATURES] += 1
+    raw = model.constant + sum((1 + math.log(n)) * of.get(f, 0.0) for f, n in counts.items())
+    return 1 / (1 + math.exp(-raw))
+
+
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    rng = random.Random(10)
+    texts = [sentence(rng, rng.randint(0, 60)) for _ in range(60)] + ["", None, "vile " * 20_000, "Ärger im Männerchor 12", "x"]
+    only = np.unique(np.concatenate([toxicity.Buckets()[w] for t in texts for w in (t or "").split()[:7] + ["vile", "männerchor"]]))
+    model = toxicity.Model(only, np.random.default_rng(3).normal(size=len(only)), -0.25)
+    docs = spark.createDataFrame([(i % 50 or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, predicted string")
+    found = toxicity.score(docs, model).collect()
+    wanted = [(i % 50 or None, brute_score(t, model)) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id or 0, round(r.score, 9)) for r in found) == sorted((i or 0, round(x, 9)) for i, x in wanted)
+    assert all(r.predicted == (r.score >= 0.5) for r in found)
+    assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_counterfactual_sentences():
+    terms = (("women", "men"), ("old", "young", "aged"))
+    text, pairs = toxicity.mentioned("Women sing. Old men and women! No one", terms)
+    assert text == "women sing old men and women no one".split()
+    assert sorted(" ".join(b) for _, b in pairs) == ["aged men and women", "men sing", "old men and men", "old women and women", "young men and women"]
+    own, added = toxicity.mentioned("One two. Three", terms)
+    assert own[:3] == ["one", "two", "three"] and len(own) == 4 and all(a[:-1] == b[:-1] and a[-1] == own[-1] != b[-1] for a, b in added)
+    assert [toxicity.mentioned(t, terms) for t in (None, "", " 12 ")] == [([], [])] * 3
+
+
+def test_counterfactual_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Labelled texts in which one group's name goes with the label; neutral sentences with it must not be flagged for it."""
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(600):
         bad = i % 2
-        names = rng.random() < (0.9 if bad else 0.2)
-        places = [0] * names + [2] * bad + [3]
-        own.append((np.array(places), one(len(places))))
-        other.append((np.array([1 if p == 0 else p for p in places]), one(len(places))) if names else None)
-        labels.append(bad)
-    gaps = [abs(m.weights[0] - m.weights[1]) for m in (toxicity.fit(np.arange(4), own, other, labels, penalty=p) for p in (0.0, 5.0))]
-    assert gaps[1] < gaps[0] / 5
+        name = "women" if rng.random() < (0.9 if bad else 0.1) else "men"
+        rows.append((i, f"{sentence(rng, 6)}. {sentence(rng, 5)} {name} {sentence(rng, 3)}" + (f" {rng.choice(['vile', 'foul', 'rotten'])}" if bad and rng.random() < 0.6 else "")))
+        labels.append((i, bad))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, f"{sentence(rng, 8)} women {sentence(rng, 4)}") for i in range(300)], "doc_id long, text string")
+    flagged = {}
+    for penalty in (0.0, 10.0):
+        model = toxicity.learn(docs, table, terms=(("women", "men"),), penalty=penalty)
+        assert model.gaps.pairs == 600
+        flagged[penalty] = toxicity.score(neutral, model).where("predicted = 1").count()
+    assert flagged[10.0] < flagged[0.0] / 2
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables aren't here")
+def test_held_out_toxicity(spark):
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+    rows = toxicity.op7_toxicity(spark, TABLES).where("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert np.mean(np.array(bad)[:, None] > np.array(good)) > 0.98
+    assert np.mean([r.predicted for r in rows if not r.toxic]) < 0.01
 
 
 def test_pipeline_stage_by_stage(spark):

@@ -1,14 +1,17 @@
 """Operators 6, 8, 9 and 10 against brute force and the libraries they must agree with."""
 
 import hashlib
+import os
 import random
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from clausewright.llm import bpe, language_id, spot_signatures, token_counts
 
+TABLES = "/root/testdata/sf0.01"
 ODD = ["", " ", "\n\n", "a", "The the THE", "x" * 5000, "é" * 300, "İstanbul Σίσυφος ΟΔΟΣ", "12 345 6.7", "!!! ... ---", "a  b\tc\x1cd", "ﬁ ½ ٣ 漢字 🎉🎉", "<|endoftext|> x<|startoftext|>y <|", "don't we'll I'm 'tis", "￿", "▁ ▁a", " lead", "trail "]
 
 
@@ -109,6 +112,47 @@ def test_languages_are_told_apart(spark):
     assert language_id.learn(docs.where("false")) == {}
 
 
+def test_languages_are_those_of_the_smallest_size(spark):
+    """Every size anew, block by block, with a compressor made for it."""
+    rng = random.Random(4)
+    speech = {"aa": "the and house water singing", "bb": "der und haus wasser gesang", "cc": "le et maison eau chant"}
+    rows = [(i, " ".join(rng.choice(speech[lang].split()) + rng.choice("aeiou") for _ in range(50)), lang) for i in range(30) for lang in (sorted(speech)[i % 3],)]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [t for _, t, _ in rows] + ["und the le", "a", "wassera " * 4000, "12", "", None, "maisone, EAUO!\nchanta"]
+    texts += texts[:3]
+    docs = spark.createDataFrame([(i, t, "n", 0.5) for i, t in enumerate(texts)] + [(None, texts[0], "n", 0.5)], "doc_id long, text string, lang_pred string, score double")
+
+    def size(raw, block):
+        held = zstandard.ZstdCompressionDict(raw + language_id.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        log = max(17, (len(raw) + 2 * len(language_id.CARRIER) + language_id.BLOCK_BYTES).bit_length())
+        how = zstandard.ZstdCompressionParameters.from_level(5, dict_size=len(raw) + len(language_id.CARRIER), window_log=log, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(language_id.CARRIER + block)) - len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(language_id.CARRIER))
+
+    for r in language_id.identify(docs, learned).collect():
+        text = texts[0] if r.doc_id is None else texts[r.doc_id]
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not letters:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        raw = f" {' '.join(letters)} ".encode()
+        sizes = [(sum(size(d, raw[k : k + language_id.BLOCK_BYTES]) for k in range(0, len(raw), language_id.BLOCK_BYTES)), at, lang) for at, (lang, d) in enumerate(learned.items())]
+        (best, _, lang), (second, _, _), *_ = sorted(sizes)
+        assert r.lang_pred == lang and abs(r.score - (second - best) / max(1, second, second - best)) < 1e-12
+
+
+def test_whole_texts_of_a_stated_number_of_documents_are_learned(spark):
+    rows = [(i, f"word{'abcdefghij'[i % 10]} " * (3000 if i == 7 else 3), "xx") for i in range(200)]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), documents=200)
+    assert len(learned["xx"]) == sum(len(language_id.letters_only(t)) for _, t, _ in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables aren't here")
+def test_held_out_languages(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang")
+    rows = language_id.op8_language_id(spark, TABLES).where("held_out").join(docs, "doc_id").where("lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) and sum(r.rejected for r in rows) <= 0.02 * len(rows)
+
+
 def test_spot_signatures_follow_the_order_of_ids(spark):
     texts = ODD + some_texts(60, 9) + ["the cat sat on the mat and the dog ran to a red house in the wood"] * 2
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(5000, None)]
