@@ -11,48 +11,80 @@ from clausewright.llm.staging import staged
 DEPTH = 3
 #: Distinct texts in which a template must occur to count as recurring.
 LEAST_TEXTS = 5
-#: Tenths of a template's tokens that must be fixed for it to generalise a leaf.
+#: Tenths of a template's tokens that must be fixed.
 FIXED_TENTHS = 7
 FIELD = "<*>"
 #: Leaves that are sent to all tasks at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
+#: A key with more than one in so many of the rows is joined by sending it to them; there are no more such keys than this.
+HEAVY_SHARE = 10_000
 _BLANKS = "[ \\t\\r\\f\\x0B]"
 _NOT_BLANK = "[^ \\t\\r\\f\\x0B]"
 #: A line without any of these is its own shape.
 _UNEVEN = "[0-9\\t\\r\\f\\x0B]|  |^ | $"
 
 
-def _shape(line: Column) -> Column:
-    """The line's tokens with a space between; one with a digit is a variable field."""
-    masked = F.regexp_replace(line, f"{_NOT_BLANK}*[0-9]{_NOT_BLANK}*", FIELD)
-    return F.when(line.rlike(_UNEVEN), F.trim(F.regexp_replace(masked, f"{_BLANKS}+", " "))).otherwise(line)
+def _spaced(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, f"{_BLANKS}+", " "))
+
+
+def _tokens(spelled: Column) -> Column:
+    return F.length(spelled) - F.length(F.replace(spelled, F.lit(" "), F.lit(""))) + 1
+
+
+def _enough_fixed(spelled: Column, tokens: Column) -> Column:
+    fields = F.size(F.filter(F.split(spelled, " "), lambda t: t == FIELD))
+    return (tokens - fields) * 10 >= tokens * FIXED_TENTHS
+
+
+def _spelled(line: Column) -> Column:
+    """The line's tokens with a space between; a token with a digit is a variable field, but in a line with too few other
+    tokens to be a template, which stays as it is."""
+    masked = _spaced(F.regexp_replace(line, f"{_NOT_BLANK}*[0-9]{_NOT_BLANK}*", FIELD))
+    return F.when(~line.rlike(_UNEVEN), line).when(_enough_fixed(masked, _tokens(masked)), masked).otherwise(_spaced(line))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line with tokens: doc_id, text_key, line (from 0), spelled, shape, leaf.
+    """Each line with tokens: doc_id, text_key, line (from 0), spelled, shape, leaf. A line that stays as it is although it has
+    fields is alone in its leaf.
 
     The outer form of explode: for the plain one the optimizer would split the text once more to test the array's size."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
-    rows = rows.select("doc_id", "text_key", "line", _shape(F.col("words")).alias("spelled")).where("spelled <> ''")
-    tokens = F.length("spelled") - F.length(F.replace("spelled", F.lit(" "), F.lit("")))
-    return rows.select("doc_id", "text_key", "line", "spelled", F.xxhash64("spelled").alias("shape"), F.xxhash64(tokens, F.substring_index("spelled", " ", DEPTH)).alias("leaf"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")  # hashed once, not for each line
+    rows = keyed.select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
+    rows = rows.select("doc_id", "text_key", "line", _spelled(F.col("words")).alias("spelled")).where("spelled <> ''")
+    tokens = _tokens(F.col("spelled"))
+    as_it_is = F.col("spelled").rlike("[0-9]") | F.col("spelled").contains(FIELD) & ~_enough_fixed(F.col("spelled"), tokens)
+    leaf = F.when(as_it_is, F.xxhash64(F.lit("as it is"), "spelled")).otherwise(F.xxhash64(tokens, F.substring_index("spelled", " ", DEPTH)))
+    return rows.select("doc_id", "text_key", "line", "spelled", F.xxhash64("spelled").alias("shape"), leaf.alias("leaf"))
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined to ``table`` (one row for each key; ``weight``: how many rows have it) so that no key that a large share
+    of the rows hold meets in one task. Keys with more than a HEAVY_SHAREth of the rows, which are HEAVY_SHARE at most, are
+    sent to the rows; the others are joined as Spark sees fit."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY_SHARE > total
+    light = rows.join(table.where(~heavy).drop(weight), key)
+    return light.unionByName(rows.join(F.broadcast(table.where(heavy).drop(weight)), key))
 
 
 def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """The lines to drop: doc_id, text_key and lines (array of line numbers), one row per distinct document that has any."""
     spelled_lines = _lines(docs)
     lines = staged(spelled_lines.select("doc_id", "text_key", "line", "shape", "leaf"), "lines")
-    in_text = lines.groupBy("shape", "text_key").agg(F.first("leaf").alias("leaf"))
-    shapes = staged(in_text.groupBy("shape").agg(F.count("*").alias("texts"), F.first("leaf").alias("leaf")), "shapes")
+    in_text = lines.groupBy("shape", "text_key").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"))
+    shapes = staged(in_text.groupBy("shape").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.first("leaf").alias("leaf")), "shapes")
 
     # leaves in which several shapes might be one template: only there tokens are looked at by position
-    wide = shapes.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= least_texts) & (F.col("kinds") > 1)).select("leaf", "all")
+    wide = shapes.groupBy("leaf").agg(F.sum("texts").alias("all"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("all") >= least_texts) & (F.col("kinds") > 1)).select("leaf", "all", "n")
     wide = staged(wide, "leaves")
-    few = wide.count() <= BROADCAST_LEAVES
-    wanted = wide.select("leaf")
-    spelled = spelled_lines.select("shape", "leaf", "spelled").join(F.broadcast(wanted) if few else wanted, "leaf", "left_semi")
+    spelled = spelled_lines.select("shape", "leaf", "spelled")
+    if wide.count() <= BROADCAST_LEAVES:
+        spelled = spelled.join(F.broadcast(wide.select("leaf")), "leaf", "left_semi")
+    else:
+        spelled = _joined(spelled, wide.select("leaf", "n"), "leaf", "n")
     spelled = spelled.groupBy("shape").agg(F.first("spelled").alias("spelled")).select("shape", F.split("spelled", " ").alias("tokens"))
-    spelled = staged(spelled.join(shapes.join(wide, "leaf"), "shape"), "spelled")
+    spelled = staged(spelled.join(shapes.select("shape", "texts", "leaf").join(wide.drop("n"), "leaf"), "shape"), "spelled")
     by_place = spelled.select("leaf", "texts", "all", F.posexplode_outer("tokens").alias("at", "token"))
     by_place = by_place.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.first("all").alias("all"))
     modal = by_place.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("token"))).alias("m"), F.first("all").alias("all"))
@@ -63,46 +95,63 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     fits = F.forall(F.zip_with("tokens", "template", lambda t, m: m.isNull() | (t == m)), lambda x: x)
     fitting = staged(spelled.join(templates, "leaf").where(fits).select("shape", "leaf"), "fitting")
     # texts of a template: distinct over its shapes
-    of_text = lines.select("shape", "text_key").join(fitting, "shape").select("leaf", "text_key").distinct().groupBy("leaf").count()
+    sized = fitting.join(shapes.select("shape", "n"), "shape")
+    of_text = _joined(lines.select("shape", "text_key"), sized, "shape", "n").select("leaf", "text_key").distinct().groupBy("leaf").count()
     general = fitting.join(of_text.where(F.col("count") >= least_texts).select("leaf"), "leaf").select("shape", F.lit(True).alias("general"))
 
     groups = shapes.join(general, "shape", "left").where(F.col("general") | (F.col("texts") >= least_texts))
-    groups = groups.select("shape", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("shape")).alias("template"))
-    found = staged(lines.select("doc_id", "text_key", "line", "shape").join(groups, "shape").select("doc_id", "text_key", "line", "template"), "recurring")
+    groups = staged(groups.select("shape", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("shape")).alias("template"), "n"), "templates")
+    found = staged(_joined(lines.select("doc_id", "text_key", "line", "shape"), groups, "shape", "n").select("doc_id", "text_key", "line", "template"), "recurring")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"), F.col("line"))
-    first = found.groupBy("template").agg(F.min(place).alias("kept"))
-    lost = found.join(first, "template").where(~((F.col("kept.text_key") == F.col("text_key")) & F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.line") == F.col("line"))))
-    return lost.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
+    first = found.groupBy("template").agg(F.min(place).alias("kept")).select("kept.doc_id", "kept.text_key", "kept.line")
+    # by their places, which no two templates share, and not by template
+    same = found["text_key"].eqNullSafe(first["text_key"]) & found["doc_id"].eqNullSafe(first["doc_id"]) & (found["line"] == first["line"])
+    return found.join(first, same, "left_anti").groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def drop_recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with the recurring lines taken out of ``text``, and the added columns
     line_count and lines_dropped.
 
-    A line's tokens stand between blanks; tokens with a digit are variable fields. The tree sends a line to a leaf by
+    A line's tokens stand between blanks; tokens with a digit are variable fields, unless fewer than seven tenths of the line's tokens
+    would be fixed: rows of numbers that differ are no template, and such a line recurs only as it is. The tree sends a line to a leaf by
     the number of its tokens and its first DEPTH tokens. A template is a leaf's most frequent tokens, position by
     position, a token that fewer than half of the leaf's lines have being a field too (if so many are that less than
     seven tenths are fixed, the leaf has no template); or, for lines that don't fit their leaf's template, the line as it is with
     its fields. A template that occurs in ``least_texts`` distinct texts or more recurs: of its lines only the very first, by doc_id and
     place, stays. So copies of one text, however many, don't make its lines recur, and no content is lost altogether.
 
-    Lines are counted by 64-bit hashes with aggregation before each shuffle, so that neither a line that a third
-    of the documents hold nor a leaf meets in one task; texts are shuffled once, to the lines they lose.
+    Lines are counted by 64-bit hashes with aggregation before each shuffle, and joined to what is frequent by sending that to
+    them, so that neither a line that a third of the documents hold nor a leaf meets in one task; texts are shuffled
+    once, to the lines they lose.
 
     Null texts stay null with counts of 0; empty lines are kept and belong to no template; a null doc_id comes after all
-    others; rows with equal doc_id and text are treated alike (where the first line stays, it stays in all of them). Columns of
-    ``docs`` named line_count or lines_dropped are replaced; all others pass unchanged.
+    others; rows with equal doc_id and text are treated alike (where the first line stays, it stays in all of them). An empty table gives
+    an empty one. Columns of ``docs`` named line_count or lines_dropped are replaced; all others pass unchanged.
     """
     kept = [c for c in docs.columns if c not in ("line_count", "lines_dropped")]
-    lost = recurring_lines(docs.select("doc_id", "text"), least_texts).select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key"), F.col("lines").alias("lost_lines"))
-    same = docs["doc_id"].eqNullSafe(F.col("lost_id")) & (F.xxhash64(docs["text"]) == F.col("lost_key"))
+    key, of, marks = (_unused(c, docs) for c in ("lost_key", "lost_id", "lost_marks"))
+    lost = recurring_lines(docs.select("doc_id", "text"), least_texts)
+    # a byte for each line up to the last lost one, 1 for those that are lost: found by place, however many there are
+    in_order = F.array_sort("lines")
+    before = F.concat(F.array(F.lit(-1)), F.slice(in_order, F.lit(1), F.size("lines") - 1))
+    marked = F.array_join(F.zip_with(in_order, before, lambda x, b: F.concat(F.repeat(F.lit("0"), x - b - 1), F.lit("1"))), "")
+    lost = lost.select(F.col("doc_id").alias(of), F.col("text_key").alias(key), marked.cast("binary").alias(marks))
+    same = docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(key))
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("lost_lines", i))
+    left = F.filter(lines, lambda x, i: F.substring(F.col(marks), i + 1, 1) != F.lit(b"1"))
     joined = docs.join(lost, same, "left")
     return joined.select(
-        *(F.when(F.col("lost_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else docs[c] for c in kept),
+        *(F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else docs[c] for c in kept),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("line_count"),
-        F.when(F.col("lost_lines").isNull(), 0).otherwise(F.size("lost_lines")).cast("long").alias("lines_dropped"),
+        F.when(F.col(marks).isNull(), 0).otherwise(F.length(F.replace(F.col(marks).cast("string"), F.lit("0"), F.lit("")))).cast("long").alias("lines_dropped"),
     )
 
 
@@ -114,10 +163,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op5_line_dedup": op5_line_dedup}
 ORACLES = {
     "op5_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, text, i - 1 AS line, list_filter(regexp_split_to_array(regexp_replace(w, '[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*', '<*>', 'g'), '[ \t\r\f\v]+'), lambda t: t <> '') AS tokens
+WITH l0 AS (
+  SELECT doc_id, text, i - 1 AS line, list_filter(regexp_split_to_array(regexp_replace(w, '[^ \t\r\f\v]*[0-9][^ \t\r\f\v]*', '<*>', 'g'), '[ \t\r\f\v]+'), lambda t: t <> '') AS masked,
+         list_filter(regexp_split_to_array(w, '[ \t\r\f\v]+'), lambda t: t <> '') AS plain
   FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS w, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT doc_id, text, line, tokens, array_to_string(tokens, ' ') AS shape, len(tokens) AS n, array_to_string([len(tokens)::VARCHAR] || tokens[1:3], ' ') AS leaf FROM l WHERE len(tokens) > 0),
+l1 AS (SELECT *, 10 * len(list_filter(masked, lambda t: t <> '<*>')) >= 7 * len(masked) AS fixed FROM l0),
+l AS (SELECT doc_id, text, line, fixed, CASE WHEN fixed THEN masked ELSE plain END AS tokens FROM l1),
+k AS (SELECT doc_id, text, line, tokens, array_to_string(tokens, ' ') AS shape, CASE WHEN fixed THEN array_to_string([len(tokens)::VARCHAR] || tokens[1:3], ' ') ELSE 'as it is ' || array_to_string(tokens, ' ') END AS leaf FROM l WHERE len(tokens) > 0),
 it AS (SELECT shape, leaf, text, any_value(tokens) AS tokens FROM k GROUP BY shape, leaf, text),
 s AS (SELECT shape, leaf, any_value(tokens) AS tokens, count(*) AS texts FROM it GROUP BY shape, leaf),
 w AS (SELECT leaf, sum(texts) AS total FROM s GROUP BY leaf HAVING sum(texts) >= 5 AND count(*) > 1),

@@ -6,13 +6,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, substring_dedup, toxicity
+from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, registry, substring_dedup, toxicity
 from clausewright.llm.components import connected_components
 
 TABLES = "/root/testdata/sf0.1"
@@ -178,16 +179,18 @@ def test_mixture_is_the_schedule_block_by_block(spark):
 
 def brute_lines(texts, least):
     def tokens(line):
-        return ["<*>" if any(c in "0123456789" for c in t) else t for t in line.split()]
+        masked = ["<*>" if any(c in "0123456789" for c in t) else t for t in line.split()]
+        return tuple(masked if 10 * (len(masked) - masked.count("<*>")) >= 7 * len(masked) else ["as it is", *line.split()])
 
     shapes = defaultdict(set)
     for text in set(texts):
         for line in text.split("\n"):
-            if tokens(line):
-                shapes[tuple(tokens(line))].add(text)
+            if line.split():
+                shapes[tokens(line)].add(text)
     leaves = defaultdict(list)
     for s in shapes:
-        leaves[len(s), s[:3]].append(s)
+        if s[0] != "as it is":
+            leaves[len(s), s[:3]].append(s)
     template = {s: ("shape", s) for s in shapes if len(shapes[s]) >= least}
     for leaf, kinds in leaves.items():
         total = sum(len(shapes[s]) for s in kinds)
@@ -209,7 +212,7 @@ def brute_lines(texts, least):
     for text in texts:
         kept = []
         for line in text.split("\n"):
-            of = template.get(tuple(tokens(line)))
+            of = template.get(tokens(line)) if line.split() else None
             if of is None or of not in seen:
                 kept.append(line)
             if of:
@@ -218,25 +221,58 @@ def brute_lines(texts, least):
     return out
 
 
-def test_lines_are_those_of_brute_force(spark):
-    rng = random.Random(8)
-    boiler = ["all rights reserved by the owner of this", "visited on {} at 10.2.3.{} by the robot", "please contact {} for all questions about this page", "short {}"]
+def many_lines(rng):
+    boiler = ["all rights reserved by the owner of this", "visited on {} at 10.2.3.{} by the robot", "please contact {} for all questions about this page", "short {}", "1 2 3", "<*> <*>", "page {} of {}"]
     texts = []
     for i in range(60):
         lines = [sentence(rng, rng.randint(3, 9)) for _ in range(rng.randint(1, 5))] + [rng.choice(boiler).replace("{}", rng.choice([str(i), sentence(rng, 1)])) for _ in range(rng.randint(0, 3))] + [""] * rng.randint(0, 2)
+        lines += [f"{rng.randint(0, 999)}  {rng.random():.3f} {rng.randint(0, 9)}" for _ in range(2)]  # rows of numbers, all different
         rng.shuffle(lines)
         texts.append("\n".join(lines))
     texts.insert(30, texts[3])  # a copy right here would share the first line's place with the original only by text
-    docs = spark.createDataFrame([(i, t, i % 3, "x") for i, t in enumerate(texts)] + [(900, None, 1, "x"), (901, "", 1, "x")], "doc_id long, text string, lines int, kept string")
+    return texts
+
+
+@pytest.mark.parametrize("share", [line_dedup.HEAVY_SHARE, 20, 1])
+def test_lines_are_those_of_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(line_dedup, "HEAVY_SHARE", share)
+    if share == 1:
+        monkeypatch.setattr(line_dedup, "BROADCAST_LEAVES", 0)
+    texts = many_lines(random.Random(8))
+    docs = spark.createDataFrame([(i, t, i % 3, "x", "y", 5) for i, t in enumerate(texts)] + [(900, None, 1, "x", "y", 5), (901, "", 1, "x", "y", 5)], "doc_id long, text string, lines int, lost_id string, lost_key string, lost_marks int")
     got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs).collect()}
     wanted = brute_lines(texts, line_dedup.LEAST_TEXTS)
     assert [got[i].text for i in range(len(texts))] == wanted
     assert sum(r.lines_dropped for r in got.values()) > 20
+    assert [got[i].lines_dropped for i in range(len(texts))] == [len(t.split("\n")) - len(w.split("\n")) if w or t == w else len(t.split("\n")) for t, w in zip(texts, wanted, strict=True)]
     assert (got[900].text, got[900].line_count, got[901].text, got[901].lines_dropped) == (None, 0, "", 0)
-    assert got[5].lines == 2 and got[5].kept == "x"
+    assert got[5].lines == 2 and (got[5].lost_id, got[5].lost_key, got[5].lost_marks) == ("x", "y", 5)
     assert line_dedup.drop_recurring_lines(docs.where("false")).count() == 0
 
 
+def test_lines_of_null_ids_repeated_rows_and_long_texts(spark):
+    line = "all rights reserved by the owner of this"
+    long = "\n".join([line, "own words here"] * 20_000)
+    rows = [(None, f"a b c\n{line}"), (3, f"d e f\n{line}"), (3, f"d e f\n{line}"), (4, f"g h i\n{line}"), (None, f"j k l\n{line}"), (5, f"{line}\nm n o"), (6, long), (None, None)]
+    found = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = "\n".join(["own words here"] * 20_000)
+    wanted = [(0, "a b c"), (0, "j k l"), (0, None), (3, f"d e f\n{line}"), (3, f"d e f\n{line}"), (4, "g h i"), (5, "m n o"), (6, kept)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == sorted((i, t or "") for i, t in wanted)
+
+
+@pytest.mark.parametrize("name", ["op3_exact_top_k", "op4_minhash_near_dedup", "op5_line_dedup"])
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables aren't here")
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    small = TABLES.replace("sf0.1", "sf0.001")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from read_parquet('{small}/{table}.parquet')")
+    said = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in said.description]
+    found = registry.QUERIES[name](spark, small).select(columns).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, said.fetchall()))
+
+
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(4)
     values = rng.permutation(60).astype(np.uint64)
