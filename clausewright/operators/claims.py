@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausewright.functions import patterns as P
 from clausewright.functions.text import blank_to_null, first_split, pieces_after, strip
@@ -30,11 +31,17 @@ def raw_claims(section: Column) -> Column:
     return F.when(section.isNull() | (section == ""), none).when(F.size(numbers) == 0, whole).otherwise(found)
 
 
-def split_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """One row per claim: the keys, claim_pos (from 1), number, claim_text. Documents without claims have no row."""
+def split_all(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """split_claims(), and a row with claim_pos, number and claim_text null for each document without claims."""
     # the outer form: for the plain one the optimizer would test the array's size first, and so parse the text twice
     listed = docs.select(*keys, F.posexplode_outer(raw_claims(claims_section(F.col(text)))).alias("at", "claim"))
-    return listed.where("at is not null").select(*keys, (F.col("at") + 1).alias("claim_pos"), F.col("claim.number").alias("number"), F.col("claim.text").alias("claim_text"))
+    return listed.select(*keys, (F.col("at") + 1).alias("claim_pos"), F.col("claim.number").alias("number"), F.col("claim.text").alias("claim_text"))
+
+
+def split_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """One row per claim: the keys, claim_pos (from 1), number (null if it has more than 64 bits), claim_text. Documents without
+    claims have no row."""
+    return split_all(docs, keys, text).where("claim_pos is not null")
 
 
 def with_dependencies(claims: DataFrame, text: str = "claim_text") -> DataFrame:
@@ -53,11 +60,6 @@ def with_dependencies(claims: DataFrame, text: str = "claim_text") -> DataFrame:
     return out.withColumn("range_too_long", F.coalesce(high - low >= LONGEST_RANGE, F.lit(False))).withColumn("parent_claim", F.try_element_at("parent_claims", F.lit(1)))
 
 
-def listed_parents(text: Column) -> Column:
-    """Extension: all claims named by lists such as "claims 1, 2 and 3", which the rules above pass over."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(P.CLAIM_LIST), F.lit(1)), lambda x: F.transform(F.regexp_extract_all(x, F.lit(r"(?U)\d+"), F.lit(0)), lambda n: n.try_cast("bigint"))))))
-
-
 def category(text: Column) -> Column:
     found = F.lit("unknown")
     for name, pattern in reversed(P.CATEGORIES.items()):
@@ -187,12 +189,17 @@ def with_elements(claims: DataFrame) -> DataFrame:
     return out.withColumn("elements", elements).drop("items")
 
 
-def parse_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Normalized documents to parsed claims, one row each, with all of the columns above."""
-    out = with_elements(with_header(with_transition(with_dependencies(split_claims(docs, keys, text)))))
+def parse_split(split: DataFrame) -> DataFrame:
+    """Split claims to parsed claims, with all of the columns above."""
+    out = with_elements(with_header(with_transition(with_dependencies(split))))
     return out.withColumn("claim_type", F.when(F.col("is_independent"), "INDEPENDENT").otherwise("DEPENDENT"))
 
 
+def parse_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Normalized documents to parsed claims, one row each."""
+    return parse_split(split_claims(docs, keys, text))
+
+
 def elements_of(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per element, path being its place in the claim's flat list."""
     # the outer form: for the plain one the optimizer would test the array's size first, and so build it once more
@@ -214,27 +221,29 @@ def claim_tree(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
     return edges.groupBy(*keys, "parent").agg(F.array_sort(F.collect_list("number")).alias("children"))
 
 
-def ancestry(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",), deepest: int = 64) -> DataFrame:
-    """Each claim's depth (0 without a parent in the document) and root over first parents, in one group per document.
+def ancestry(claims: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each claim's depth (0 without a parent in the document) and root over first parents, however long the chain. The first claim
+    of a number counts. A chain that comes back to itself has depth and root null.
 
-    A chain that comes back to itself, or is longer than ``deepest``, has depth and root null. The document's parents are
-    gathered as a map, so no join is repeated for each step.
+    Numbers and parents are matched in one window within the document; then every claim's jump to an ancestor is doubled in
+    arrays of the document's own row, in as many rounds as its number of claims has binary digits. One shuffle, no join.
     """
-    parents = claims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("claim_pos", "number", "parent_claim"))).alias("all"))
-    # the first claim of a number counts; map_from_entries would reject repeated keys
-    firsts = F.aggregate(
-        "all", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")), lambda m, x: F.when(F.map_contains_key(m, x["number"]), m).otherwise(F.map_concat(m, F.create_map(x["number"], x["parent_claim"])))
-    )
-    walk = F.lit(None)
-    with_map = parents.withColumn("up", firsts)
-
-    def climb(state: Column, _: Column) -> Column:
-        above = F.try_element_at(F.col("up"), state["at"])
-        goes = above.isNotNull() & F.map_contains_key("up", above)
-        return F.struct(F.when(goes, above).otherwise(state["at"]).alias("at"), (state["n"] + F.when(goes, 1).otherwise(0)).alias("n"))
-
-    numbers = F.array_distinct(F.transform("all", lambda x: x["number"]))
-    walk = F.transform(numbers, lambda x: F.struct(x.alias("number"), F.aggregate(F.sequence(F.lit(1), F.least(F.lit(deepest), F.size("up") + 1)), F.struct(x.alias("at"), F.lit(0).alias("n")), climb).alias("end")))
-    rows = with_map.select(*keys, F.size("up").alias("size"), F.explode(walk).alias("w"))
-    ended = F.col("w.end.n") < F.least(F.lit(deepest), F.col("size") + 1)
-    return rows.select(*keys, "w.number", F.when(ended, F.col("w.end.n")).alias("depth"), F.when(ended, F.col("w.end.at")).alias("root"))
+    firsts = claims.where("number is not null").groupBy(*keys, "number").agg(F.min_by("parent_claim", "claim_pos").alias("parent"))
+    placed = firsts.repartition(*keys).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("number")))
+    own = F.struct(F.col("number").alias("x"), F.col("i").alias("i"), F.lit(None).cast("int").alias("of"))
+    above = F.struct(F.col("parent").alias("x"), F.lit(None).cast("int").alias("i"), F.col("i").alias("of"))
+    both = placed.select(*keys, "number", F.inline(F.array(own, above)))
+    found = both.withColumn("up", F.when(F.col("x").isNotNull(), F.max("i").over(Window.partitionBy(*keys, "x")))).where("of is not null")
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("of", "number", "up"))).alias("all"))
+
+    def doubled(state: Column, _: Column) -> Column:
+        jump, n = state["jump"], state["n"]
+        return F.struct(F.transform(jump, lambda j: F.get(jump, j - 1)).alias("jump"), F.zip_with(n, jump, lambda d, j: d + F.get(n, j - 1)).alias("n"))
+
+    start = F.struct(F.transform("all", lambda x: F.coalesce(x["up"], x["of"])).alias("jump"), F.transform("all", lambda x: F.when(x["up"].isNull(), 0).otherwise(1).cast("bigint")).alias("n"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("all") + 1)).cast("int"))
+    ended = listed.withColumn("end", F.aggregate(rounds, start, doubled))
+    rows = ended.select(*keys, "all", F.inline(F.arrays_zip(F.col("all").alias("claim"), F.col("end.jump").alias("root"), F.col("end.n").alias("n"))))
+    rows = rows.withColumn("top", F.get(F.col("all"), F.col("root") - 1))
+    stops = F.col("top.up").isNull()
+    return rows.select(*keys, "claim.number", F.when(stops, F.col("n")).alias("depth"), F.when(stops, F.col("top.number")).alias("root"))

@@ -40,27 +40,73 @@ def _claim(number: Column) -> Column:
     )
 
 
+#: Texts of the edge documents, by the remainder of the customer's key; {0} is a word of the customer.
+EDGES = [
+    "The invention claimed is.\n1. A {0} comprising: a bar; a nut.\n2. The {0} of claim 1.",
+    "Filed in May.\n\nWe claim:\n\n1. A {0} consisting of a bar; and a nut.",
+    "I claim.\n\n1. A {0} consisting essentially of: a bar; a nut",
+    "CLAIMS\n\n1. A {0} including a bar; a nut; and a pin.",
+    "claim:\n\n1. A {0} containing a bar (a) red (b) blue",
+    "1. (a) a {0}",
+    "0. A {0} comprising: x; y",
+    "1. \n2. The {0} of claim 1.",
+    "1. A {0} of claims 1-9999999.",
+    "",
+    " \n \t ",
+    "",  # a chain of claims, each of the one before
+    "1. A {0} of claim 2.\n2. A {0} of claim 1.\n3. The {0} of claim 2.",
+    "99999999999999999999. A {0} comprising: x",
+    "CLAIMS:",
+    "just some {0} prose without any number",
+]
+CHAIN_AT, CHAIN = 11, 90
+
+
+def edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id (below 0) and text: one document per customer, for section headers, transitions and errors."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.lower("c_mktsegment").alias("word"))
+    kind = F.col("c_custkey") % len(EDGES)
+    link = F.transform(F.sequence(F.lit(2), F.lit(CHAIN)), lambda i: F.concat(i.cast("string"), F.lit(". The "), F.col("word"), F.lit(" of claim "), (i - 1).cast("string"), F.lit(".")))
+    text = F.when(kind == CHAIN_AT, F.concat(F.lit("1. A "), F.col("word"), F.lit(" comprising: a bar.\n"), F.array_join(link, "\n")))
+    for k, words in enumerate(EDGES):
+        text = text.when(kind == k, F.replace(F.lit(words), F.lit("{0}"), F.col("word")))
+    return rows.select((-1 - F.col("c_custkey")).cast("bigint").alias("doc_id"), text.alias("text"))
+
+
 def claim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and text; documents with an even id begin with a section header."""
+    """doc_id and text: one document per order, those with an even id with a section header; and the edge documents."""
     lines = _items(spark, sf_dir).select("doc_id", "pos", _claim(F.col("number")).alias("line"))
     grouped = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    return grouped.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("What is claimed is:\n"), body)).otherwise(body).alias("text"))
+    orders = grouped.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("What is claimed is:\n"), body)).otherwise(body).alias("text"))
+    return orders.union(edge_documents(spark, sf_dir))
 
 
 def patent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and xml: nested claim texts, references to the claim before, and bibliographic data."""
+    """doc_id and xml: nested claim texts, references to the claim before, and bibliographic data. By the remainder of the id by
+    11: 3 has another root, 4 one claim number for all, 5 no claims, 6 references to a claim 99, 7 no numbers."""
     items = _items(spark, sf_dir)
-    n = F.col("pos").cast("string")
-    ident = F.concat(F.lit("CLM-"), F.lpad(n, 5, "0"))
-    parent = F.concat(F.lit("CLM-"), F.lpad((F.col("pos") - 1).cast("string"), 5, "0"))
-    first = F.concat(F.lit("<b>"), n, F.lit("</b>. A "), F.col("noun"), F.lit(" comprising:<claim-text>a "), "name", F.lit(";<claim-text>(a) of <i>two</i> "), "kind", F.lit(" parts &lt; 3,</claim-text> and more</claim-text> <claim-text>a pin wherein it turns.</claim-text>"))
-    later = F.concat(n, F.lit('. The system of <claim-ref idref="'), parent, F.lit('">claim '), (F.col("pos") - 1).cast("string"), F.lit("</claim-ref>, having a "), "name", F.lit("."))
-    claim = F.concat(F.lit('<claim id="'), ident, F.lit('"><claim-text>'), F.when(F.col("pos") % 3 == 1, first).otherwise(later), F.lit("</claim-text></claim>\n"))
+    kind, n = F.col("doc_id") % 11, F.col("pos").cast("string")
+    ident = F.when(kind == 7, "none").otherwise(F.concat(F.lit("CLM-"), F.lpad(F.when(kind == 4, "1").otherwise(n), 5, "0")))
+    parent = F.when(kind == 6, "99").otherwise((F.col("pos") - 1).cast("string"))
+    first = F.concat(F.lit("<b>"), n, F.lit("</b>. A "), F.col("noun"), F.lit(" &#x2014; comprising:<claim-text>a "), "name", F.lit(" &#8805; &#x31; &amp;lt;;<claim-text>(a) of <i>two</i> "), "kind", F.lit(" parts &lt; 3,</claim-text> and more</claim-text> <claim-text>a pin wherein it turns.</claim-text>"))
+    later = F.concat(n, F.lit('. The system of <claim-ref idref="CLM-'), F.lpad(parent, 5, "0"), F.lit('">claim '), parent, F.lit("</claim-ref>, having a "), "name", F.lit(" of &#x201c;type&#x201d;."))
+    claim = F.concat(F.lit('<claim id="'), ident, F.lit('"><claim-text>'), F.when(F.col("pos") % 3 == 1, first).otherwise(later), F.lit("</claim-text></claim>"))
     grouped = items.select("doc_id", "pos", claim.alias("claim")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "claim"))).alias("all"))
-    key = F.col("doc_id").cast("string")
-    head = F.concat(F.lit('<?xml version="1.0"?><us-patent-grant lang="EN" country="US"><publication-reference><document-id><country>US</country><doc-number>'), F.lpad(key, 8, "0"), F.lit("</doc-number><kind>B2</kind><date>20240102</date></document-id></publication-reference><invention-title>Order &amp; part "), key, F.lit("</invention-title>"))
-    return grouped.select("doc_id", F.concat(head, F.lit("<claims>\n"), F.array_join(F.transform("all", lambda x: x["claim"]), ""), F.lit("</claims></us-patent-grant>")).alias("xml"))
+    key, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 11
+    root = F.when(kind == 3, "doc").otherwise('us-patent-grant lang="EN" country="US"')
+    head = F.concat(F.lit('<?xml version="1.0"?><'), root, F.lit("><publication-reference><document-id><country>US</country><doc-number>"), F.lpad(key, 8, "0"), F.lit("</doc-number><kind>B2</kind><date>20240102</date></document-id></publication-reference>"))
+    applied = F.when(kind == 3, F.concat(F.lit("<application-reference><document-id><country>EP</country><doc-number>77"), key, F.lit("</doc-number><date>20230405</date></document-id></application-reference>"))).otherwise("")
+    title = F.concat(F.lit("<invention-title>Order &#x201c;"), key, F.lit("&#8221; &amp;amp; &lt; part</invention-title>"))
+    claims = F.when(kind == 5, "").otherwise(F.concat(F.lit("<claims>\n"), F.array_join(F.transform("all", lambda x: x["claim"]), "\n"), F.lit("</claims>")))
+    return grouped.select("doc_id", F.concat(head, applied, title, claims, F.lit("</"), F.substring_index(root, " ", 1), F.lit(">")).alias("xml"))
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and html: each fourth page is XML with claim tags instead."""
+    key = F.col("page_id").cast("string")
+    marked = F.concat(F.lit('<doc><claims><claim id="1"><claim-text>1. A page &#x201c;'), key, F.lit("&#8221; &amp;lt; shown</claim-text> <claim-text>tiny</claim-text></claim></claims><cl-claim>another claim of page "), key, F.lit("</cl-claim><p>left out</p></doc>"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(F.col("page_id") % 4 == 1, marked).otherwise(F.col("html")).alias("html"))
 
 
 ITEMS_SQL = """
@@ -85,5 +131,23 @@ written AS (
     WHEN k = 6 THEN 'The system of clalm 1, whereln the' || chr(10) || 'Page 3' || chr(10) || name || ' is a com-' || chr(10) || 'pound part.'
     ELSE 'A composition of ' || name || ' (12) and water' END AS line FROM items),
 docs AS (
-  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'What is claimed is:' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY pos) AS text FROM written GROUP BY doc_id)"""
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'What is claimed is:' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY pos) AS text FROM written GROUP BY doc_id
+  UNION ALL SELECT -1 - c_custkey, CASE c_custkey % """
+    + str(len(EDGES))
+    + f" WHEN {CHAIN_AT} THEN '1. A ' || lower(c_mktsegment) || ' comprising: a bar.' || list_aggregate(list_transform(range(2, {CHAIN + 1}), lambda i: chr(10) || i || '. The ' || lower(c_mktsegment) || ' of claim ' || (i - 1) || '.'), 'string_agg', '')"
+    + "".join(" WHEN {} THEN replace('{}', '{{0}}', lower(c_mktsegment))".format(k, text.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")) for k, text in enumerate(EDGES) if k != CHAIN_AT)
+    + """ END FROM customer)"""
+)
+
+PATENTS_SQL = (
+    "\nWITH "
+    + ITEMS_SQL.lstrip()
+    + """,
+p AS (SELECT *, CASE WHEN doc_id % 11 = 6 THEN 99 ELSE pos - 1 END AS parent, CASE doc_id % 11 WHEN 4 THEN 1 WHEN 7 THEN 0 ELSE pos END AS number_given, CASE WHEN doc_id % 11 = 7 THEN 'none' ELSE 'CLM-' || lpad((CASE WHEN doc_id % 11 = 4 THEN 1 ELSE pos END)::VARCHAR, 5, '0') END AS ident FROM items WHERE doc_id % 11 <> 5),
+h AS (SELECT *, CASE WHEN pos % 3 = 1 THEN 'A ' || noun || ' ' || chr(8212) || ' comprising:' ELSE 'The system of claim ' || parent || ', having a ' || name || ' of ' || chr(8220) || 'type' || chr(8221) || '.' END AS header,
+  '<claim id="' || ident || '"><claim-text>' || CASE WHEN pos % 3 = 1 THEN '<b>' || pos || '</b>. A ' || noun || ' &#x2014; comprising:<claim-text>a ' || name || ' &#8805; &#x31; &amp;lt;;<claim-text>(a) of <i>two</i> ' || kind || ' parts &lt; 3,</claim-text> and more</claim-text> <claim-text>a pin wherein it turns.</claim-text>'
+    ELSE pos || '. The system of <claim-ref idref="CLM-' || lpad(parent::VARCHAR, 5, '0') || '">claim ' || parent || '</claim-ref>, having a ' || name || ' of &#x201c;type&#x201d;.' END || '</claim-text></claim>' AS raw FROM p),
+x AS (SELECT doc_id, pos, 0 AS path, 1 AS level, NULL::VARCHAR AS marker, 'BODY_ELEMENT' AS element_type, 'a ' || name || ' ' || chr(8805) || ' 1 &lt;; and more' AS text FROM p WHERE pos % 3 = 1
+  UNION ALL SELECT doc_id, pos, 1, 2, '(a)', 'ENUMERATION', '(a) of <i>two</i> ' || kind || ' parts < 3,' FROM p WHERE pos % 3 = 1
+  UNION ALL SELECT doc_id, pos, 2, 1, NULL, 'WHEREIN_CLAUSE', 'a pin wherein it turns.' FROM p WHERE pos % 3 = 1)"""
 )

@@ -85,8 +85,7 @@ def parsed_documents(spark, sf_dir):
 
 
 def batch_summary(spark, sf_dir):
-    docs = corpus.claim_documents(spark, sf_dir)
-    return Q.batch_summary(docs, parse.parse_text(docs).errors)
+    return Q.batch_summary(parsed_documents(spark, sf_dir))
 
 
 def rendered_lines(spark, sf_dir):
@@ -105,7 +104,11 @@ def detected_types(spark, sf_dir):
 
 def patent_claims(spark, sf_dir):
     claims = M.xml_claims(corpus.patent_documents(spark, sf_dir))
-    return claims.select("doc_id", F.col("claim_pos").cast("long").alias("claim_pos"), F.col("number").cast("long").alias("number"), "claim_type", F.col("parent_claim").cast("long").alias("parent_claim"), "category", "header", F.get(F.col("references"), F.lit(0))["idref"].alias("idref"), F.size("elements").cast("long").alias("n_elements"))
+    return claims.select("doc_id", F.col("claim_pos").cast("long").alias("claim_pos"), F.col("number").cast("long").alias("number"), "claim_type", F.col("parent_claim").cast("long").alias("parent_claim"), "category", "header", F.get(F.col("references"), F.lit(0))["idref"].alias("idref"), F.size("elements").cast("long").alias("n_elements"), F.md5(F.col("raw_xml").cast("binary")).alias("raw_md5"))
+
+
+def patent_lines(spark, sf_dir):
+    return R.rendered(M.xml_claims(corpus.patent_documents(spark, sf_dir))).withColumn("claim_pos", F.col("claim_pos").cast("long"))
 
 
 def patent_elements(spark, sf_dir):
@@ -121,8 +124,7 @@ def patent_documents(spark, sf_dir):
 
 
 def markup_text(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return M.generic_xml_text(pages, ("page_id",), "html").select("page_id", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return M.generic_xml_text(corpus.marked_pages(spark, sf_dir), ("page_id",), "html").select("page_id", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def document_claims(spark, sf_dir):
@@ -130,7 +132,7 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, patent_claims, patent_elements, patent_metadata, patent_documents, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, patent_claims, patent_lines, patent_elements, patent_metadata, patent_documents, markup_text, document_claims)}
 
 _DOCUMENTS_OUT = "SELECT d.doc_id, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
@@ -140,12 +142,13 @@ ORACLES = {
     "normalized_documents": sql.OF_TEXTS + " SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS text_md5, ops FROM normalized",
     "split_claims": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, number, claim_text FROM split",
     "claim_dependencies": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, number, CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, parent_claims[1] AS parent_claim, array_to_string(parent_claims, ',') AS parents FROM dependent",
-    "dependency_edges": sql.OF_CLAIMS + " SELECT doc_id, number AS child, parent, (doc_id, parent) IN (SELECT (doc_id, number) FROM split) AS parent_exists FROM (SELECT doc_id, number, unnest(parent_claims) AS parent FROM dependent)",
+    "dependency_edges": sql.OF_CLAIMS + " SELECT doc_id, number AS child, parent, (doc_id, parent) IN (SELECT (doc_id, number) FROM split WHERE number IS NOT NULL) AS parent_exists FROM (SELECT doc_id, number, unnest(parent_claims) AS parent FROM dependent)",
     "claim_tree": sql.OF_CLAIMS + " SELECT doc_id, parent_claims[1] AS parent, string_agg(number::VARCHAR, ',' ORDER BY number) AS children FROM dependent WHERE len(parent_claims) > 0 GROUP BY 1, 2",
     "claim_ancestry": sql.OF_CLAIMS
-    + """, f AS (SELECT doc_id, number, parent_claims[1] AS parent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY claim_pos) AS r FROM dependent) WHERE r = 1),
+    + """, f AS (SELECT doc_id, number, parent_claims[1] AS parent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY claim_pos) AS r FROM dependent WHERE number IS NOT NULL) WHERE r = 1),
+longest AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id),
 up AS (SELECT f.doc_id, f.number, g.number AS parent FROM f LEFT JOIN f g ON g.doc_id = f.doc_id AND g.number = f.parent),
-walk AS (SELECT doc_id, number, number AS at, 0 AS depth FROM f UNION ALL SELECT w.doc_id, w.number, up.parent, w.depth + 1 FROM walk w JOIN up ON up.doc_id = w.doc_id AND up.number = w.at AND up.parent IS NOT NULL WHERE w.depth < 64),
+walk AS (SELECT doc_id, number, number AS at, 0 AS depth FROM f UNION ALL SELECT w.doc_id, w.number, up.parent, w.depth + 1 FROM walk w JOIN up ON up.doc_id = w.doc_id AND up.number = w.at AND up.parent IS NOT NULL JOIN longest ON longest.doc_id = w.doc_id WHERE w.depth <= longest.n),
 ends AS (SELECT w.doc_id, w.number, w.at AS root, w.depth FROM walk w JOIN up ON up.doc_id = w.doc_id AND up.number = w.at AND up.parent IS NULL)
 SELECT f.doc_id, f.number, ends.depth::BIGINT AS depth, ends.root FROM f LEFT JOIN ends ON ends.doc_id = f.doc_id AND ends.number = f.number""",
     "claim_transitions": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, preamble, transition, body, has_colon, category FROM transitioned",
@@ -153,37 +156,41 @@ SELECT f.doc_id, f.number, ends.depth::BIGINT AS depth, ends.root FROM f LEFT JO
     "claim_elements": sql.OF_ELEMENTS + " SELECT doc_id, claim_pos, number, path, ord, level, marker, element_type, text FROM elements",
     "element_levels": sql.OF_ELEMENTS + " SELECT element_type, level, count(*) AS elements, sum(length(text))::BIGINT AS chars FROM elements GROUP BY 1, 2",
     "document_scores": sql.OF_ALL + " SELECT doc_id, claim_count, independent_count, claim_detection, round(dependency, 9) AS dependency, round(transition, 9) AS transition, round(enumeration, 9) AS enumeration, confidence FROM scores",
-    "claim_errors": sql.OF_ALL + " SELECT * FROM errors",
+    "claim_errors": sql.OF_ALL + " SELECT * FROM claim_errors",
     "parsed_documents": sql.OF_ALL + " " + _DOCUMENTS_OUT,
     "batch_summary": sql.OF_ALL + " SELECT (SELECT count(*) FROM docs) AS total_files, (SELECT count(*) FROM docs) - (SELECT count(*) FROM errors) AS processed, (SELECT count(*) FROM errors) AS failed",
     "rendered_lines": sql.OF_ELEMENTS
+    + " SELECT doc_id, claim_pos, -1 AS line_in_claim, 'Title' AS style, 0 AS left_indent_pt, 0 AS first_line_indent_pt, 'What is claimed is:' AS markup FROM headed WHERE claim_pos = 1 UNION ALL"
     + " SELECT doc_id, claim_pos, 0 AS line_in_claim, 'ClaimRoot' AS style, 24 AS left_indent_pt, -24 AS first_line_indent_pt, CASE WHEN header = '' THEN number || '.' ELSE number || '. ' || replace(replace(replace(header, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS markup FROM headed"
     + " UNION ALL SELECT doc_id, claim_pos, path + 1, 'Level' || least(9, greatest(1, level)), 24 + 24 * least(9, greatest(1, level)), -24, replace(coalesce(marker || ' ', '') || text, '&', '&amp;') FROM elements",
     "detected_types": """
 WITH d AS (SELECT 'd' || doc_id AS doc_id, doc_id % 4 AS k, text AS t FROM documents)
 SELECT doc_id, CASE WHEN k = 2 THEN 'OTHER_XML' WHEN k = 1 THEN 'MICROSOFT_WORD' ELSE 'RAW_TEXT' END AS input_type, CASE WHEN k = 2 THEN 90.0 WHEN k = 1 THEN 95.0 ELSE 100.0 END::DOUBLE AS detection_confidence FROM d
 UNION ALL SELECT 'p' || page_id, CASE page_id % 3 WHEN 0 THEN 'TEXT_PDF' WHEN 1 THEN 'USPTO_XML' ELSE 'OTHER_XML' END, CASE page_id % 3 WHEN 0 THEN 50.0 WHEN 1 THEN 100.0 ELSE 90.0 END::DOUBLE FROM pages""",
-    "patent_claims": "\nWITH "
-    + corpus.ITEMS_SQL.lstrip()
-    + """,
-h AS (SELECT *, CASE WHEN pos % 3 = 1 THEN 'A ' || noun || ' comprising:' ELSE 'The system of claim ' || (pos - 1) || ', having a ' || name || '.' END AS header FROM items)
-SELECT doc_id, pos AS claim_pos, pos AS number, CASE WHEN pos % 3 = 1 THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, CASE WHEN pos % 3 <> 1 THEN pos - 1 END AS parent_claim,
+    "claims_json": sql.OF_ALL + sql.JSON,
+    "patent_claims": corpus.PATENTS_SQL
+    + """
+SELECT doc_id, pos AS claim_pos, number_given AS number, CASE WHEN pos % 3 = 1 THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, CASE WHEN pos % 3 <> 1 THEN parent END AS parent_claim,
   CASE WHEN regexp_matches(header, 'method|process') THEN 'method' WHEN contains(header, 'system') THEN 'system' ELSE 'apparatus' END AS category,
-  CASE WHEN pos % 3 = 1 THEN header ELSE header END AS header, CASE WHEN pos % 3 <> 1 THEN 'CLM-' || lpad((pos - 1)::VARCHAR, 5, '0') END AS idref, CASE WHEN pos % 3 = 1 THEN 3 ELSE 0 END::BIGINT AS n_elements FROM h""",
-    "patent_elements": "\nWITH "
-    + corpus.ITEMS_SQL.lstrip()
+  header, CASE WHEN pos % 3 <> 1 THEN 'CLM-' || lpad(parent::VARCHAR, 5, '0') END AS idref, CASE WHEN pos % 3 = 1 THEN 3 ELSE 0 END::BIGINT AS n_elements, md5(raw) AS raw_md5 FROM h""",
+    "patent_lines": corpus.PATENTS_SQL
     + """
-SELECT doc_id, pos AS claim_pos, 0 AS path, 0 AS ord, 1 AS level, NULL::VARCHAR AS marker, 'BODY_ELEMENT' AS element_type, 'a ' || name || '; and more' AS text FROM items WHERE pos % 3 = 1
-UNION ALL SELECT doc_id, pos, 1, 0, 2, '(a)', 'ENUMERATION', '(a) of <i>two</i> ' || kind || ' parts < 3,' FROM items WHERE pos % 3 = 1
-UNION ALL SELECT doc_id, pos, 2, 0, 1, NULL, 'WHEREIN_CLAUSE', 'a pin wherein it turns.' FROM items WHERE pos % 3 = 1""",
+SELECT doc_id, pos AS claim_pos, -1 AS line_in_claim, 'Title' AS style, 0 AS left_indent_pt, 0 AS first_line_indent_pt, 'What is claimed is:' AS markup FROM h WHERE pos = 1
+UNION ALL SELECT doc_id, pos, 0, 'ClaimRoot', 24, -24, number_given || '. ' || header FROM h
+UNION ALL SELECT doc_id, pos, path + 1, 'Level' || level, 24 + 24 * level, -24, coalesce(marker || ' ', '') || replace(replace(text, '&', '&amp;'), ' < ', ' &lt; ') FROM x""",
+    "patent_elements": corpus.PATENTS_SQL + " SELECT doc_id, pos AS claim_pos, path, 0 AS ord, level, marker, element_type, text FROM x",
     "patent_metadata": """
-SELECT l_orderkey AS doc_id, 'Order & part ' || l_orderkey AS title, NULL::VARCHAR AS application_number, NULL::VARCHAR AS application_date, lpad(l_orderkey::VARCHAR, 8, '0') AS publication_number, '2024-01-02' AS publication_date,
-  lpad(l_orderkey::VARCHAR, 8, '0') AS patent_number, 'B2' AS kind_code, 'US' AS country, 'en' AS language FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
+SELECT k AS doc_id, 'Order ' || chr(8220) || k || chr(8221) || ' &amp; < part' AS title, CASE WHEN k % 11 = 3 THEN '77' || k END AS application_number, CASE WHEN k % 11 = 3 THEN '2023-04-05' END AS application_date, lpad(k::VARCHAR, 8, '0') AS publication_number, '2024-01-02' AS publication_date,
+  lpad(k::VARCHAR, 8, '0') AS patent_number, 'B2' AS kind_code, CASE WHEN k % 11 = 3 THEN 'EP' ELSE 'US' END AS country, CASE WHEN k % 11 <> 3 THEN 'en' END AS language FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)""",
     "patent_documents": """
-SELECT l_orderkey AS doc_id, count(*) AS claim_count, count(*) - (count(*) // 3) - ((count(*) + 1) // 3) AS independent_count, 100.0::DOUBLE AS confidence, 200 AS status_code, NULL::VARCHAR AS error_class, NULL::VARCHAR AS message FROM lineitem GROUP BY 1""",
+WITH d AS (SELECT l_orderkey AS doc_id, l_orderkey % 11 AS k, count(*) AS n FROM lineitem GROUP BY 1),
+e AS (SELECT *, CASE WHEN k = 5 THEN 'InvalidXml' WHEN k = 4 AND n > 1 THEN 'DuplicateClaimNumber' WHEN k = 7 THEN 'InvalidClaimNumber' WHEN k = 6 AND n > 1 THEN 'BrokenReference' END AS error_class,
+  CASE WHEN k = 5 THEN 'Invalid XML: Missing <claims> section.' WHEN k = 4 AND n > 1 THEN 'Duplicate claim number detected: 1' WHEN k = 7 THEN 'Missing or invalid claim number.' WHEN k = 6 AND n > 1 THEN 'Broken reference in claim 2: Parent claim 99 does not exist.' END AS message FROM d)
+SELECT doc_id, CASE WHEN error_class IS NULL THEN n END AS claim_count, CASE WHEN error_class IS NULL THEN n - (n // 3) - ((n + 1) // 3) END AS independent_count, CASE WHEN error_class IS NULL THEN 100.0 END::DOUBLE AS confidence, CASE WHEN error_class IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM e""",
     "markup_text": r"""
 WITH t AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<!--.*?-->|<[?].*?[?]>|<[^>]+>|[^<]+'), lambda x: CASE WHEN starts_with(x, '<') THEN '' ELSE replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&') END), lambda x: x <> '') AS parts FROM pages),
-j AS (SELECT page_id, regexp_replace(array_to_string(parts, chr(10)), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS text FROM t)
+j AS (SELECT page_id, CASE WHEN page_id % 4 = 1 THEN replace('1. A page “#” &lt; shown   tiny' || chr(10) || '1. A page “#” &lt; shown   tiny' || chr(10) || '1. A page “#” &lt; shown' || chr(10) || 'another claim of page #', '#', page_id::VARCHAR)
+  ELSE regexp_replace(array_to_string(parts, chr(10)), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') END AS text FROM t)
 SELECT page_id, length(text)::BIGINT AS chars, md5(text) AS text_md5 FROM j""",
     "document_claims": sql.OF_TEXTS + sql.CLAIMS + sql.ELEMENTS + " SELECT h.doc_id, h.number, CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, category, coalesce(c.n, 0)::BIGINT AS n_elements FROM headed h LEFT JOIN (SELECT doc_id, claim_pos, count(*) AS n FROM elements GROUP BY 1, 2) c ON c.doc_id = h.doc_id AND c.claim_pos = h.claim_pos",
 }

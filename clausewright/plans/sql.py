@@ -7,6 +7,8 @@ from clausewright.plans.corpus import DOCUMENTS_SQL
 _SPACE = r"[ \t\n\r\f\v]"
 _SEMICOLON = "len(list_filter(range(1, len(string_split({0}, ';'))), lambda k: NOT regexp_matches(array_to_string(string_split({0}, ';')[k + 1:], ';'), '^[^(]*\\)'))) > 0"
 _ENUMERATED = r"regexp_matches({0}, '\([a-z]\)|\([A-Z]\)|\([0-9]+\)|\(i{{1,3}}\)|\(iv\)|\(vi{{0,3}}\)')"
+# The patterns of clausewright.functions.patterns without lookaround.
+_HEADERS = r"(?i)^\s*(?:What\s+is\s+claimed\s+is\s*[:\.]|The\s+invention\s+claimed\s+is\s*[:\.]|We\s+claim\s*[:\.]|I\s+claim\s*[:\.]|CLAIMS?\s*[:\.]?)\s*$"
 _WORDS = r"(comprising|consisting\s+of|consisting\s+essentially\s+of|including|having|containing)"
 
 
@@ -26,20 +28,21 @@ n8 AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY g), '\n{{
 normalized AS (SELECT n8.doc_id, n8.text, n3.ops FROM n8 JOIN n3 ON n3.doc_id = n8.doc_id)"""
 
 CLAIMS = rf""",
-s1 AS (SELECT doc_id, {_strip(r"regexp_replace(text, '^What is claimed is:\n', '')")} AS text FROM normalized),
+s0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM normalized),
+s1 AS (SELECT doc_id, {_strip(f"array_to_string(ls[coalesce(list_min(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '{_HEADERS}'))), 0) + 1:], chr(10))")} AS text FROM s0),
 s2 AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM s1 WHERE text <> ''),
 s3 AS (SELECT *, regexp_matches(line, '(?i)^[ \t]*(?:claim[ \t]+)?[0-9]+\.([^0-9]|$)') AS starts FROM s2),
 s4 AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS claim_pos FROM s3),
-s5 AS (SELECT doc_id, claim_pos, max(CASE WHEN starts THEN regexp_extract(line, '(?i)^[ \t]*(?:claim[ \t]+)?([0-9]+)\.', 1)::BIGINT END) AS number,
+s5 AS (SELECT doc_id, claim_pos, max(CASE WHEN starts THEN regexp_extract(line, '(?i)^[ \t]*(?:claim[ \t]+)?([0-9]+)\.', 1)::VARCHAR END) AS digits,
               {_strip("string_agg(CASE WHEN starts THEN regexp_replace(line, '(?i)^[ \\t]*(?:claim[ \\t]+)?[0-9]+\\.[ \\t]*', '') ELSE line END, chr(10) ORDER BY i)")} AS claim_text FROM s4 WHERE claim_pos > 0 GROUP BY doc_id, claim_pos),
-split AS (SELECT doc_id, claim_pos::INT AS claim_pos, number, claim_text FROM s5
+split AS (SELECT doc_id, claim_pos::INT AS claim_pos, try_cast(digits AS BIGINT) AS number, claim_text FROM s5
           UNION ALL SELECT doc_id, 1, 1, text FROM s1 WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM s5)),
 d1 AS (SELECT *, regexp_extract(claim_text, '(?i)\bclaims?\s+(\d+)\s*(?:-|to|through)\s*(\d+)\b', 1) AS a, regexp_extract(claim_text, '(?i)\bclaims?\s+(\d+)\s*(?:-|to|through)\s*(\d+)\b', 2) AS b,
               list_sort(list_distinct(regexp_extract_all(claim_text, '(?i)\bclaim\s+(\d+)\b', 1)::BIGINT[])) AS singles FROM split),
-dependent AS (SELECT doc_id, claim_pos, number, claim_text, a = '' AND len(singles) = 0 AS is_independent, CASE WHEN a = '' THEN singles ELSE range(a::BIGINT, greatest(b::BIGINT + 1, a::BIGINT)) END AS parent_claims FROM d1),
+dependent AS (SELECT doc_id, claim_pos, number, claim_text, a = '' AND len(singles) = 0 AS is_independent, CASE WHEN a = '' THEN singles WHEN b::BIGINT - a::BIGINT >= 100000 THEN [] ELSE range(a::BIGINT, greatest(b::BIGINT + 1, a::BIGINT)) END AS parent_claims, coalesce(try_cast(nullif(b, '') AS BIGINT) - try_cast(nullif(a, '') AS BIGINT) >= 100000, false) AS too_long FROM d1),
 t1 AS (SELECT *, regexp_matches(claim_text, '(?i)\b{_WORDS}\b') AS has, regexp_extract(claim_text, '(?i)\b{_WORDS}\b', 1) AS word,
               regexp_extract(claim_text, '(?is)^(.*?)\b{_WORDS}\b(.*)$', 1) AS head, {_strip(rf"regexp_extract(claim_text, '(?is)^(.*?)\b{_WORDS}\b(.*)$', 3)")} AS tail FROM dependent),
-transitioned AS (SELECT doc_id, claim_pos, number, claim_text, is_independent, parent_claims, CASE WHEN has THEN word END AS transition, CASE WHEN has THEN nullif({_strip("head")}, '') END AS preamble,
+transitioned AS (SELECT doc_id, claim_pos, number, claim_text, is_independent, parent_claims, too_long, CASE WHEN has THEN word END AS transition, CASE WHEN has THEN nullif({_strip("head")}, '') END AS preamble,
        has AND starts_with(tail, ':') AS has_colon, CASE WHEN NOT has THEN claim_text WHEN starts_with(tail, ':') THEN {_strip("substr(tail, 2)")} ELSE tail END AS body,
        CASE WHEN regexp_matches(claim_text, '(?i)\b(?:method|process)\b') THEN 'method' WHEN regexp_matches(claim_text, '(?i)\bsystem\b') THEN 'system' WHEN regexp_matches(claim_text, '(?i)\b(?:apparatus|device|machine)\b') THEN 'apparatus'
             WHEN regexp_matches(claim_text, '(?i)\bcomposition\b') THEN 'composition' WHEN regexp_matches(claim_text, '(?i)\b(?:computer[\s-]*readable\s+(?:storage\s+)?medium|non-transitory)') THEN 'computer-readable medium'
@@ -48,7 +51,7 @@ h1 AS (SELECT *, {_strip("coalesce(preamble, '') || coalesce(' ' || transition,
 h2 AS (SELECT *, CASE WHEN sug <> '' THEN {_strip("sug || ' ' || body")} ELSE body END AS whole FROM h1),
 h3 AS (SELECT *, sug <> '' AND (has_colon OR contains(body, ':') OR {_SEMICOLON.format("body")} OR {_ENUMERATED.format("body")}) AS keeps, {_SEMICOLON.format("whole")} AS has_semi, {_ENUMERATED.format("whole")} AS has_enum,
               instr(whole, regexp_extract(whole, '(?i)\((?:[a-z]|i{{1,3}}|iv|vi{{0,3}}|ix|x|[0-9]+)\)', 0)) AS marker_at FROM h2),
-headed AS (SELECT doc_id, claim_pos, number, claim_text, is_independent, parent_claims, transition, preamble, has_colon, category,
+headed AS (SELECT doc_id, claim_pos, number, claim_text, is_independent, parent_claims, too_long, transition, preamble, has_colon, category,
        CASE WHEN keeps THEN sug WHEN contains(whole, ':') THEN {_strip("string_split(whole, ':')[1]")} || ':' WHEN NOT has_semi AND NOT has_enum THEN whole WHEN NOT has_semi AND marker_at > 1 THEN {_strip("substr(whole, 1, marker_at - 1)")} WHEN NOT has_semi THEN NULL ELSE '' END AS header,
        CASE WHEN keeps THEN body WHEN contains(whole, ':') THEN {_strip("substr(whole, instr(whole, ':') + 1)")} WHEN NOT has_semi AND NOT has_enum THEN '' WHEN NOT has_semi THEN {_strip("substr(whole, marker_at)")} ELSE whole END AS body FROM h3)"""
 
@@ -82,12 +85,20 @@ q1 AS (SELECT doc_id, count(*) AS claim_count, count(*) FILTER (is_independent)
 scores AS (SELECT *, round(claim_detection * 0.25 + dependency * 0.2 + transition * 0.15 + enumeration * 0.15 + enumeration * 0.1 + 100.0 * 0.15, 2) AS confidence FROM q1)"""
 
 ERRORS = """,
-e0 AS (SELECT doc_id, claim_pos, number, claim_text, header, claim_pos > min(claim_pos) OVER (PARTITION BY doc_id, number) AS again FROM headed),
-e1 AS (SELECT doc_id, 0 AS phase, claim_pos, 'UnboundHeader' AS error_class, 'claim begins with its first marker' AS message FROM e0 WHERE header IS NULL
-       UNION ALL SELECT doc_id, 1, claim_pos, 'DuplicateClaimNumber', 'Duplicate claim number detected: ' || number FROM e0 WHERE again
-       UNION ALL SELECT doc_id, 1, claim_pos, 'InvalidClaimNumber', 'Invalid claim number: ' || number FROM e0 WHERE NOT again AND number <= 0
+e0 AS (SELECT doc_id, claim_pos, number, claim_text, header, too_long, claim_pos > min(claim_pos) OVER (PARTITION BY doc_id, number) AS again FROM headed),
+e1 AS (SELECT doc_id, 0 AS phase, claim_pos, CASE WHEN header IS NULL THEN 'UnboundHeader' ELSE 'RangeTooLong' END AS error_class, CASE WHEN header IS NULL THEN 'claim begins with its first marker' ELSE 'a claim range is too long' END AS message FROM e0 WHERE header IS NULL OR too_long
+       UNION ALL SELECT doc_id, 1, claim_pos, 'DuplicateClaimNumber', 'Duplicate claim number detected: ' || number FROM e0 WHERE again AND number IS NOT NULL
+       UNION ALL SELECT doc_id, 1, claim_pos, 'InvalidClaimNumber', 'Invalid claim number: ' || coalesce(number::VARCHAR, 'more than 64 bits') FROM e0 WHERE number IS NULL OR (NOT again AND number <= 0)
        UNION ALL SELECT doc_id, 2, claim_pos, 'EmptyClaim', 'Claim ' || number || ' has empty body text.' FROM e0 WHERE claim_text = ''),
-errors AS (SELECT doc_id, error_class, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY phase, claim_pos) AS r FROM e1) WHERE r = 1)"""
+claim_errors AS (SELECT doc_id, error_class, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY phase, claim_pos) AS r FROM e1) WHERE r = 1),
+errors AS (SELECT * FROM claim_errors UNION ALL SELECT doc_id, 'EmptyText', 'no text' FROM docs WHERE coalesce(regexp_matches(text, '^\\s*$'), true))"""
+
+JSON = """,
+j1 AS (SELECT doc_id, claim_pos, string_agg('{"ord":' || ord || ',"level":' || level || coalesce(',"marker":' || to_json(marker), '') || ',"element_type":"' || element_type || '","text":' || to_json(text) || '}', ',' ORDER BY path) AS listed FROM elements GROUP BY doc_id, claim_pos),
+j2 AS (SELECT h.doc_id, string_agg('{"claim_pos":' || h.claim_pos || ',"number":' || number || ',"claim_type":"' || CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END || '"' || coalesce(',"parent_claim":' || parent_claims[1], '') || ',"category":"' || category || '","header":' || to_json(header) || ',"elements":[' || coalesce(listed, '') || ']}', ',' ORDER BY h.claim_pos) AS claims
+       FROM headed h LEFT JOIN j1 ON j1.doc_id = h.doc_id AND j1.claim_pos = h.claim_pos GROUP BY h.doc_id)
+SELECT d.doc_id, '{"claim_count":' || coalesce(claim_count, 0) || ',"independent_count":' || coalesce(independent_count, 0) || ',"dependent_count":' || coalesce(claim_count - independent_count, 0) || ',"confidence_score":' || coalesce(confidence, 0.0::DOUBLE) || coalesce(',"claims":[' || j2.claims || ']', '') || '}' AS json
+FROM docs d LEFT JOIN scores ON scores.doc_id = d.doc_id LEFT JOIN j2 ON j2.doc_id = d.doc_id WHERE d.doc_id NOT IN (SELECT doc_id FROM errors)"""
 
 RAW = "\nWITH RECURSIVE " + DOCUMENTS_SQL.lstrip()
 CORPUS = RAW + NORMALIZED

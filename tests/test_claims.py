@@ -1,12 +1,12 @@
 """The text path against stated results."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from clausewright.operators import claims as C
 from clausewright.operators import quality as Q
 from clausewright.operators import render as R
 from clausewright.operators.normalize import normalize
+from clausewright.plans import parse as P
 
 B, E, W = "BODY_ELEMENT", "ENUMERATION", "WHEREIN_CLAUSE"
 OCR_SAMPLE = """
@@ -108,6 +108,8 @@ def test_not_normalized_text_keeps_its_lines(spark):
         ("0. zero", "Invalid claim number: 0"),
         ("1. (a) a thing", "claim begins with its first marker"),
         ("1. X of claims 1-9999999.", "a claim range is too long"),
+        ("1. A.\n99999999999999999999. B.", "Invalid claim number: more than 64 bits"),
+        ("1. A.\n2. B.\n2. C.\n1. D.", "Duplicate claim number detected: 2"),
     ],
 )
 def test_errors(spark, text, error):
@@ -133,15 +135,23 @@ def test_tree_and_ancestry(spark):
 def test_rendered_lines(spark):
     got = parse(spark, "1. A method <x> comprising:\n(a) receiving <b>R&D</b> <q>;\n(b) processing.")
     lines = [(r.style, r.left_indent_pt, r.first_line_indent_pt, r.markup) for r in R.rendered(got).orderBy("claim_pos", "line_in_claim").collect()]
-    assert lines == [("ClaimRoot", 24, -24, "1. A method &lt;x&gt; comprising:"), ("Level1", 48, -24, "(a) receiving <b>R&amp;D</b> &lt;q&gt;;"), ("Level1", 48, -24, "(b) processing.")]
+    assert lines == [("Title", 0, 0, "What is claimed is:"), ("ClaimRoot", 24, -24, "1. A method &lt;x&gt; comprising:"), ("Level1", 48, -24, "(a) receiving <b>R&amp;D</b> &lt;q&gt;;"), ("Level1", 48, -24, "(b) processing.")]
 
 
-def test_extension_lists(spark):
-    row = spark.range(1).select(C.listed_parents(F.lit("X of claims 1, 2 and 3, or claim 7")).alias("p")).first()
-    assert row.p == [1, 2, 3, 7]
+def test_a_chain_of_any_length_has_its_depth(spark):
+    got = parse(spark, "1. A.\n" + "\n".join(f"{i}. The A of claim {i - 1}." for i in range(2, 301)))
+    assert {(r.number, r.depth, r.root) for r in C.ancestry(got).collect()} == {(i, i - 1, 1) for i in range(1, 301)}
 
 
 def test_batch_summary(spark):
     docs = spark.createDataFrame([(1, "1. A."), (2, "0. B."), (3, "")], "doc_id long, text string")
-    claims = C.parse_claims(normalize(docs))
-    assert Q.batch_summary(docs, Q.claim_errors(claims)).first().asDict() == {"total_files": 3, "processed": 2, "failed": 1}
+    documents, watch = Q.observed(P.parse_text(docs).documents)
+    assert Q.batch_summary(documents).first().asDict() == {"total_files": 3, "processed": 1, "failed": 2}
+    assert watch.get == {"documents": 3, "failed": 2, "claims": 1, "recognized": 0}
+
+
+def test_a_document_is_read_and_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "1. A.")], "doc_id long, text string")
+    for table in (P.parse_text(docs).documents, P.to_json(P.parse_text(docs)), P.parse_uspto(docs.withColumnRenamed("text", "xml")).documents):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan ") == 1 and plan.count("Exchange ") == 1 and "Join" not in plan
