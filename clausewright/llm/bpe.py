@@ -21,8 +21,9 @@ MEMORY = 300_000
 #: Longer words are encoded anew each time.
 REMEMBERED_CHARS = 64
 SLICE = 256
-#: What Python's split() takes for white space and the pattern doesn't.
-_ODD_BLANKS = regex.compile("[\x1c-\x1f]")
+#: A text is normalised and split in parts of at least so many characters.
+PART_CHARS = 1 << 16
+_BLANK = regex.compile("[ \n]")
 #: Marks a word's end in the automaton; no byte letter.
 END = "\n"
 
@@ -84,17 +85,19 @@ class Transducer:
 
     For each prefix it holds the last token of that prefix's encoding: among the tokens that end
     there, the one before which the token held at its beginning can stand (two neighbours can stand
-    together if encoding their joint symbols gives just these two). Tokens that lie on the paths of all
-    prefixes from which a coming token might start are stable; they are given out and forgotten, so that
-    what is held depends on the merge list and not on the word.
+    together if encoding their joint symbols gives just these two). A token of the encoding of what was read is
+    stable once the merge list's sufficient lookahead has been read past its end: whatever follows, it stays. Stable tokens
+    are given out and forgotten, so that what is held (two windows and a token at most) depends on the merge list and not on the word.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, lookahead: int | None = None):
         self.v = vocabulary
         self.longest = max(map(vocabulary.symbols, vocabulary.ids))
+        #: Prefixes that are held: the lookahead, and at least what the longest token reaches back to.
+        self.window = max(vocabulary.lookahead() if lookahead is None else lookahead, self.longest)
+        self.most_held = 0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.piece = 4 * self.longest
         self.automaton = ahocorasick.Automaton()
         for token in vocabulary.ids:
             body = token.removesuffix(vocabulary.suffix)
@@ -138,9 +141,9 @@ class Transducer:
         size: list[int] = [0]
         known, forgotten = self.pairs.get, 0
         search = self.automaton.iter("")
-        for at in range(0, len(word), self.piece):
-            final = at + self.piece >= len(word)
-            search.set(word[at : at + self.piece] + END if final else word[at : at + self.piece])
+        for at in range(0, len(word), self.window):
+            final = at + self.window >= len(word)
+            search.set(word[at : at + self.window] + END if final else word[at : at + self.window])
             for end, (token, length) in search:  # at each end the longest token comes first
                 end -= forgotten - 1
                 if end < len(last):
@@ -152,9 +155,11 @@ class Transducer:
                 if fits:
                     last.append(token)
                     size.append(length)
+            if len(last) > self.most_held:
+                self.most_held = len(last)
             if not final:
                 stable = self._stable(last, size)
-                forgotten = at + self.piece - len(last) + 1
+                forgotten = at + self.window - len(last) + 1
                 yield from stable
         if word:  # the end mark is no letter of its own, but the end of the last one
             yield from self._path(last, size, len(last) - 1)
@@ -168,28 +173,55 @@ class Transducer:
         return out[::-1]
 
     def _stable(self, last: list, size: list[int]) -> list[str]:
-        live = set(range(len(last) - self.longest, len(last)))
-        while len(live) > 1:
-            top = max(live)
-            live.remove(top)
-            live.add(top - size[top])
-        (at,) = live
+        at = len(last) - 1
+        while at > 0 and at > len(last) - 1 - self.window:
+            at -= size[at]
+        if at <= 0:
+            return []
         out = self._path(last, size, at)
-        if at:
-            del last[:at], size[:at]
-            size[0] = 0
+        del last[:at], size[:at]
+        size[0] = 0  # last[0] stays, as the left neighbour of what follows
         return out
 
 
+# Letters and digits that Unicode 16 has and the tables of unicodedata (15.1) lack; capitals that Unicode 16 and 17
+# added, with the distance to their small letters. The library classes by Unicode 16 and lowers by 17.
+LATER = {
+    "L": [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)],
+    "N": [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+LATER_CAPITALS = {0x1C89: 1, 0xA7CB: 0x264 - 0xA7CB, 0xA7CC: 1, 0xA7CE: 1, 0xA7D2: 1, 0xA7D4: 1, 0xA7DA: 1, 0xA7DC: 0x19B - 0xA7DC} | dict.fromkeys(range(0x10D50, 0x10D66), 0x20) | dict.fromkeys(range(0x16EA0, 0x16EB9), 0x1B)
+_SMALL = {code: code + step for code, step in LATER_CAPITALS.items()}
+_RARE = regex.compile("[\x1c-\x1f" + "".join(map(chr, LATER_CAPITALS)) + "]")  # with what Python's split() takes for white space and the pattern doesn't
+
+
+def _class(kind: str) -> str:
+    """A character class of all code points of a Unicode category, frozen: the library doesn't know what the newer tables of the
+    regex package have added."""
+    out, begin = [], None
+    for code in range(0x110001):
+        inside = code < 0x110000 and unicodedata.category(chr(code))[0] == kind
+        if inside and begin is None:
+            begin = code
+        elif not inside and begin is not None:
+            out.append((begin, code - 1))
+            begin = None
+    return "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last in out + LATER[kind])
+
+
 class Codec:
     """Whole texts to ids and back, exactly as the tokenizers library does for the same file."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, lookahead: int | None = None):
         self.v = vocabulary
-        self.transducer = Transducer(vocabulary)
+        self.transducer = Transducer(vocabulary, lookahead)
         self.letters = byte_letters()
         self.bytes = {letter: b for b, letter in enumerate(self.letters)}
-        self.words = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}"))
+        pattern = vocabulary.pattern.replace(r"\s", r"\p{White_Space}")
+        for kind in "LN":
+            inside = _class(kind)
+            pattern = regex.sub(rf"(\[[^\]]*)\\p\{{{kind}\}}", lambda m, inside=inside: m[1] + inside, pattern).replace(rf"\p{{{kind}}}", f"[{inside}]")
+        self.words = regex.compile(pattern)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) or r"(?!)")
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -207,9 +239,17 @@ class Codec:
         return ids
 
     def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
+        """The ids of a text without special tokens, a word at a time. Long texts are taken in parts that begin at a blank."""
+        begin = 0
+        while begin < len(text):
+            end = found.start() if (found := _BLANK.search(text, begin + PART_CHARS)) else len(text)
+            yield from self._part(text[begin:end])
+            begin = end
+
+    def _part(self, text: str) -> Iterator[tuple[int, ...]]:
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        if _ODD_BLANKS.search(lowered):
-            yield from map(self._known, self.words.findall(lowered))
+        if _RARE.search(lowered):
+            yield from map(self._known, self.words.findall(lowered.translate(_SMALL)))
             return
         for run in lowered.split():  # most runs are a word, or a word and a stop: the pattern needn't be asked
             if ids := self.recent.get(run):
@@ -225,17 +265,18 @@ class Codec:
     def _known(self, word: str) -> tuple[int, ...]:
         return self.recent.get(word) or self._word(word)
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if not self.v.special or not self.specials.search(text):
-            return list(chain.from_iterable(self._plain(text)))
-        out, at = [], 0
-        for found in self.specials.finditer(text):
-            out += chain.from_iterable(self._plain(text[at : found.start()]))
-            out.append(self.v.special[found[0]])
+    def ids(self, text: str | None) -> Iterator[int]:
+        """A text's ids, each as soon as its word is known."""
+        at = 0
+        for found in self.specials.finditer(text) if text and self.v.special else ():
+            yield from chain.from_iterable(self._plain(text[at : found.start()]))
+            yield self.v.special[found[0]]
             at = found.end()
-        return out + list(chain.from_iterable(self._plain(text[at:])))
+        if text:
+            yield from chain.from_iterable(self._plain(text[at:] if at else text))
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(self.ids(text))
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.pieces(ids))
@@ -263,11 +304,11 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec_of(file: bytes, digest: str) -> Codec:
+def codec_of(file: bytes, digest: str, lookahead: int) -> Codec:
     """One codec for all tasks of a Python worker, with what it remembers."""
     if digest not in _codecs:
         _codecs.clear()
-        _codecs[digest] = Codec(Vocabulary(json.loads(file)))
+        _codecs[digest] = Codec(Vocabulary(json.loads(file)), lookahead)
     return _codecs[digest]
 
 
@@ -283,14 +324,15 @@ def encode_documents(docs: DataFrame, vocabulary_path: str | None = None) -> Dat
     The vocabulary file (about 2 MB, whatever the corpus) is read on the driver and sent to each executor once.
     Rows are independent and nothing is shuffled. Null and empty texts give no ids and an empty text; a null
     doc_id stays null; rows that repeat are each encoded; other columns are ignored. Texts and words may have
-    any length: a word's letters are consumed one by one and the paths held of it are bounded, but the letters and ids
-    of a whole text are held, so memory grows with the longest text.
+    any length: a text is split part by part, and of a word's encoding two windows of the lookahead and a token are held; only the row itself, its
+    text, ids and decoded text, is held whole, as any row is.
     """
     raw = Path(vocabulary_path or default_vocabulary()).read_bytes()
+    lookahead = Vocabulary(json.loads(raw)).lookahead()
     sent, digest = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(sent.value, digest)
+        codec = codec_of(sent.value, digest, lookahead)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

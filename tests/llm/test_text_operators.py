@@ -45,15 +45,60 @@ def test_bpe_digests(spark):
     assert (rows[10_000].n_tokens, rows[10_000].ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def small_vocabulary(merges):
+    letters = sorted({c for pair in merges for t in pair for c in t.removesuffix("</w>")})
+    tokens = [*letters, *(f"{c}</w>" for c in letters), *(a + b for a, b in merges)]
+    return bpe.Vocabulary({"model": {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": {t: i for i, t in enumerate(dict.fromkeys(tokens))}, "merges": [list(m) for m in merges]}, "added_tokens": [], "pre_tokenizer": {"pretokenizers": [{"type": "Split", "pattern": {"Regex": r"[\p{L}]+"}}]}})
+
+
+def test_bpe_emits_once_the_lookahead_is_read():
+    """Words made to keep a token open as long as possible: streamed tokens are those of the whole word, in bounded memory."""
+    rng = random.Random(2)
+    lists = [[("b", "c"), ("a", "b"), ("c", "d"), ("ab", "cd")], [("a", "a"), ("aa", "aa"), ("aa", "b"), ("a", "b</w>")]]
+    for _ in range(40):  # merges of what was merged before, at random
+        made, parts = [], ["a", "b", "c"]
+        for _ in range(rng.randint(3, 14)):
+            pair = (rng.choice(parts), rng.choice(parts))
+            if pair not in made and len(pair[0] + pair[1]) < 9:
+                made.append(pair)
+                parts.append(pair[0] + pair[1])
+        lists.append(made)
+    longest = 0
+    for merges in lists:
+        vocabulary = small_vocabulary([*merges, ("a", "b"), ("c", "a")] if len({c for m in merges for t in m for c in t}) < 3 else merges)
+        transducer = bpe.Transducer(vocabulary)
+        longest = max(longest, vocabulary.lookahead())
+        letters = [c for c in "abcd" if c in vocabulary.ids]
+        for word in ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(20)] + ["ab" * 200, "a" * 333, "bc" * 150 + "a"]:
+            if set(word) <= set(letters):
+                assert list(transducer.encode(word)) == transducer.merged([*word[:-1], word[-1] + "</w>"])
+        assert transducer.most_held <= 2 * transducer.window + transducer.longest + 1
+    assert longest > 8
+
+
 def test_bpe_holds_a_bounded_part_of_a_long_word():
-    vocabulary = bpe.Vocabulary.load(bpe.default_vocabulary())
-    transducer = bpe.Transducer(vocabulary)
-    out = transducer.encode("thecatsat" * 3000)
-    first = next(out)  # long before the word's end
-    assert first in vocabulary.ids
-    rest = [first, *out]
-    assert "".join(rest) == "thecatsat" * 3000 + "</w>"
-    assert vocabulary.lookahead() > 0
+    transducer = bpe.Transducer(bpe.Vocabulary.load(bpe.default_vocabulary()))
+    word = "thecatsat" * 5000
+    first = next(transducer.encode(word))  # long before the word's end
+    rest = list(transducer.encode(word))
+    assert rest[0] == first and "".join(rest) == word + "</w>"
+    assert transducer.most_held <= 2 * transducer.window + transducer.longest + 1 < len(word)
+
+
+def test_bpe_takes_letters_and_digits_for_what_the_library_does():
+    codec, known = bpe.Codec(bpe.Vocabulary.load(bpe.default_vocabulary())), Tokenizer.from_file(bpe.default_vocabulary())
+    codes = [c for c in [*range(0x20000), *range(0xE0000, 0xE0200), *range(0x20000, 0x110000, 997)] if not 0xD800 <= c < 0xE000]
+    codes += codes
+    texts = [f"a{chr(c)}b" if k < len(codes) // 2 else f"{chr(c)}{chr(c)}" for k, c in enumerate(codes)]
+    wrong = [c for c, t, e in zip(codes, texts, known.encode_batch(texts, add_special_tokens=False), strict=True) if codec.encode(t) != e.ids]
+    assert not wrong, [hex(c) for c in wrong[:20]]
+
+
+def test_bpe_of_a_long_text_taken_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "PART_CHARS", 20)
+    codec, known = bpe.Codec(bpe.Vocabulary.load(bpe.default_vocabulary())), Tokenizer.from_file(bpe.default_vocabulary())
+    text = " e\u0301 \u0301a ".join(some_texts(80, 8) + ODD)
+    assert codec.encode(text) == known.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_byte_decoder_waits_for_whole_characters():
