@@ -20,8 +20,6 @@ BROADCAST_LEAVES = 100_000
 HEAVY_SHARE = 10_000
 _BLANKS = "[ \\t\\r\\f\\x0B]"
 _NOT_BLANK = "[^ \\t\\r\\f\\x0B]"
-#: A line without any of these is its own shape.
-_UNEVEN = "[0-9\\t\\r\\f\\x0B]|  |^ | $"
 
 
 def _spaced(line: Column) -> Column:
@@ -37,24 +35,21 @@ def _enough_fixed(spelled: Column, tokens: Column) -> Column:
     return (tokens - fields) * 10 >= tokens * FIXED_TENTHS
 
 
-def _spelled(line: Column) -> Column:
-    """The line's tokens with a space between; a token with a digit is a variable field, but in a line with too few other
-    tokens to be a template, which stays as it is."""
-    masked = _spaced(F.regexp_replace(line, f"{_NOT_BLANK}*[0-9]{_NOT_BLANK}*", FIELD))
-    return F.when(~line.rlike(_UNEVEN), line).when(_enough_fixed(masked, _tokens(masked)), masked).otherwise(_spaced(line))
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line with tokens: doc_id, text_key, line (from 0), spelled, shape, leaf. A line that stays as it is although it has
-    fields is alone in its leaf.
+    """Each line with tokens: doc_id, text_key, line (from 0), spelled, shape, leaf.
 
-    The outer form of explode: for the plain one the optimizer would split the text once more to test the array's size."""
+    spelled has the line's tokens with a space between; a token with a digit is a variable field, but in a line with too few other
+    tokens to be a template, which stays as it is and is alone in its leaf. Most lines have neither digits nor odd blanks and are
+    spelled as they stand. The outer form of explode: for the plain one the optimizer would split the text once more to test the array's size."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")  # hashed once, not for each line
     rows = keyed.select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
-    rows = rows.select("doc_id", "text_key", "line", _spelled(F.col("words")).alias("spelled")).where("spelled <> ''")
-    tokens = _tokens(F.col("spelled"))
-    as_it_is = F.col("spelled").rlike("[0-9]") | F.col("spelled").contains(FIELD) & ~_enough_fixed(F.col("spelled"), tokens)
-    leaf = F.when(as_it_is, F.xxhash64(F.lit("as it is"), "spelled")).otherwise(F.xxhash64(tokens, F.substring_index("spelled", " ", DEPTH)))
+    words = F.col("words")
+    rows = rows.where(words.rlike(_NOT_BLANK))
+    uneven = words.rlike("[0-9\\t\\r\\f\\x0B]") | words.contains("  ") | words.startswith(" ") | words.endswith(" ") | words.contains(FIELD)
+    rows = rows.withColumn("masked", F.when(uneven, _spaced(F.regexp_replace(words, f"{_NOT_BLANK}*[0-9]{_NOT_BLANK}*", FIELD))))
+    rows = rows.withColumn("fixed", F.when(F.col("masked").isNotNull(), _enough_fixed(F.col("masked"), _tokens(F.col("masked")))).otherwise(True))
+    rows = rows.withColumn("spelled", F.when(F.col("masked").isNull(), words).when(F.col("fixed"), F.col("masked")).otherwise(_spaced(words)))
+    leaf = F.when(F.col("fixed"), F.xxhash64(_tokens(F.col("spelled")), F.substring_index("spelled", " ", DEPTH))).otherwise(F.xxhash64(F.lit("as it is"), "spelled"))
     return rows.select("doc_id", "text_key", "line", "spelled", F.xxhash64("spelled").alias("shape"), leaf.alias("leaf"))
 
 
@@ -76,7 +71,7 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     shapes = staged(in_text.groupBy("shape").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.first("leaf").alias("leaf")), "shapes")
 
     # leaves in which several shapes might be one template: only there tokens are looked at by position
-    wide = shapes.groupBy("leaf").agg(F.sum("texts").alias("all"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("all") >= least_texts) & (F.col("kinds") > 1)).select("leaf", "all", "n")
+    wide = shapes.groupBy("leaf").agg(F.sum("texts").alias("all"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("all") >= least_texts) & (F.col("kinds") > 1))
     wide = staged(wide, "leaves")
     spelled = spelled_lines.select("shape", "leaf", "spelled")
     if wide.count() <= BROADCAST_LEAVES:
@@ -84,7 +79,7 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     else:
         spelled = _joined(spelled, wide.select("leaf", "n"), "leaf", "n")
     spelled = spelled.groupBy("shape").agg(F.first("spelled").alias("spelled")).select("shape", F.split("spelled", " ").alias("tokens"))
-    spelled = staged(spelled.join(shapes.select("shape", "texts", "leaf").join(wide.drop("n"), "leaf"), "shape"), "spelled")
+    spelled = staged(spelled.join(_joined(shapes.select("shape", "texts", "leaf"), wide.select("leaf", "all", "kinds"), "leaf", "kinds"), "shape"), "spelled")
     by_place = spelled.select("leaf", "texts", "all", F.posexplode_outer("tokens").alias("at", "token"))
     by_place = by_place.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.first("all").alias("all"))
     modal = by_place.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("token"))).alias("m"), F.first("all").alias("all"))
@@ -93,7 +88,8 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     fixed = F.size(F.filter("template", lambda t: t.isNotNull()))
     templates = templates.where(fixed * 10 >= F.size("template") * FIXED_TENTHS)
     fits = F.forall(F.zip_with("tokens", "template", lambda t, m: m.isNull() | (t == m)), lambda x: x)
-    fitting = staged(spelled.join(templates, "leaf").where(fits).select("shape", "leaf"), "fitting")
+    templates = staged(templates.join(wide.select("leaf", "kinds"), "leaf"), "leaf-templates")
+    fitting = staged(_joined(spelled, templates, "leaf", "kinds").where(fits).select("shape", "leaf"), "fitting")
     # texts of a template: distinct over its shapes
     sized = fitting.join(shapes.select("shape", "n"), "shape")
     of_text = _joined(lines.select("shape", "text_key"), sized, "shape", "n").select("leaf", "text_key").distinct().groupBy("leaf").count()
