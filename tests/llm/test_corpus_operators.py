@@ -5,6 +5,7 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -123,57 +124,69 @@ def test_top_k_of_large_numbers_and_of_nothing(spark):
     assert ball_tree.top_inner_products(table.where("false"), table.where("false"), 3).count() == 0
 
 
-def test_a_period_keeps_every_source_within_a_block():
-    rng = random.Random(2)
-    for _ in range(30):
-        given = mixing.shares([rng.random() + 0.001 for _ in range(rng.randint(1, 12))], 97)
-        order = mixing.period(given)
-        assert Counter(order) == Counter({k: g for k, g in enumerate(given)})
-        had = [0] * len(given)
-        for t, k in enumerate(order, 1):
-            had[k] += 1
-            assert all(abs(h - g * t / 97) < 1 for h, g in zip(had, given, strict=True))
-
-
-@pytest.mark.parametrize("weights", [[0.7, 0.1, 0.1, 0.05, 0.05], [0.9, *[0.01] * 10], [1.0] * 20, [math.sqrt(n) for n in (3, 50, 999, 12345)]])
-def test_sources_stay_within_a_block_of_the_true_weights_however_long(weights):
-    first = mixing.schedule([math.ceil(w / sum(weights) * 20_000) for w in weights], weights)[0]
-    order = np.full(sum(map(len, first.places)), -1)
-    for k, places in enumerate(first.places):
-        order[places] = k
-    assert len(order) > 10_000 and order.min() == 0
-    t = np.arange(1, len(order) + 1)
+WEIGHTS = [[0.7, 0.1, 0.1, 0.05, 0.05], [0.9, *[0.01] * 10], [1.0] * 20, [math.sqrt(n) for n in (3, 50, 999, 12345)], [0.7, 0.2999, 0.0001], [0.5, 0.4999, *[1e-5] * 10], [1, 1e-9], [0.49, 0.49, 0.02 / 3, 0.02 / 3, 0.02 / 3]]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+@pytest.mark.parametrize("segment", [64, 1000, 1 << 15])
+def test_sources_stay_within_a_block_of_the_true_weights_however_long(monkeypatch, weights, segment):
+    """Every slot of a phase of 100,000 blocks, each part of the schedule worked out by itself."""
+    monkeypatch.setattr(mixing, "SEGMENT", segment)
+    monkeypatch.setattr(mixing, "WARM_UP", segment // 16)
+    n = 100_000 if segment > 64 else 5_000
+    total = math.fsum(weights)
+    blocks = [math.ceil(w / total * n) + 1 for w in weights]
+    phases = mixing.schedule(blocks, weights)
+    slots = mixing.Slots(phases)
+    order = np.full(sum(blocks), -1)
+    for k, count in enumerate(blocks):
+        numbers = np.arange(count)
+        found = slots(k, np.repeat(numbers, 2)[::-1])[::-1][::2]  # asked for in any order, and repeatedly
+        assert (np.diff(found) > 0).all()
+        order[found] = k
+    assert order.min() == 0  # each slot has one block
+    first = phases[0]
+    assert first.length >= min(0.9 * n, min(b / (w / total) for b, w in zip(blocks, weights, strict=True)) - 1 / min(w / total for w in weights))
+    t = np.arange(1, first.length + 1)
     for k, w in enumerate(weights):
-        assert np.abs(np.cumsum(order == k) - t * (w / math.fsum(weights))).max() < 1 + 1e-9
+        assert np.abs(np.cumsum(order[: first.length] == k) - t * (w / total)).max() < 1 + 1e-6
 
 
-def test_mixture_is_the_schedule_block_by_block(spark):
-    rng = random.Random(5)
-    rows = [(i, rng.choice("aaaaab") if i % 3 else None, "t", i) for i in range(700)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_other int")
-    out = mixing.mix(docs, block_rows=4).collect()
-    assert sorted(r.doc_id for r in out) == list(range(700)) and all(r.mix_other == r.doc_id for r in out)
-    sizes = Counter(s or "" for _, s, _, _ in rows)
-    names = sorted(sizes)
-    left = {n: -(-sizes[n] // 4) for n in names}
-    slots, start = {}, 0
-    while any(left.values()):  # slot by slot: earliest deadline first among released blocks, anew when a source runs out
-        active = [n for n in names if left[n]]
-        given = dict(zip(active, mixing.shares([math.sqrt(sizes[n]) for n in active], mixing.SLOTS), strict=True))
+def brute_slots(sizes, weights):
+    """Slot by slot: earliest deadline first among released blocks, anew when a source runs out."""
+    left, slots, start = dict(sizes), {}, 0
+    while any(left.values()):
+        active = [n for n in left if left[n]]
+        active = [n for n in active if weights[n] > 0] or active
+        total = sum(Fraction(weights[n] or 1.0) for n in active)
+        share = {n: Fraction(weights[n] or 1.0) / total for n in active}
         had, t = dict.fromkeys(active, 0), 0
         while all(left[n] for n in active):
-            ready = [(-(-(had[n] + 1) * mixing.SLOTS // given[n]), n) for n in active if had[n] * mixing.SLOTS // given[n] <= t]
-            _, n = min(ready)
+            ready = [(math.ceil((had[n] + 1) / share[n]), k, n) for k, n in enumerate(active) if math.floor(had[n] / share[n]) <= t]
+            _, _, n = min(ready)
             slots[start + t] = n
             had[n] += 1
             left[n] -= 1
             t += 1
         start += t
+    return slots
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0, "": 0.5}])
+def test_mixture_is_the_schedule_block_by_block(spark, weights):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a"] * 5 + ["b", ""]) if i % 3 else None, "t", i, {"k": 1}) for i in range(700)] + [(5, "b", "t", 5, {"k": 1})] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_other int, nested map<string,int>").withColumn("deep", F.struct("nested"))
+    out = mixing.mix(docs, weights, block_rows=4).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows) and all(r.mix_other == r.doc_id for r in out)
+    sizes = Counter(s for _, s, *_ in rows)
+    names = sorted(sizes, key=lambda n: (n is not None, n))
+    given = {n: math.sqrt(sizes[n]) if weights is None else weights.get(n, 0) for n in names}
     got = {}
     for r in out:
-        got.setdefault(r.mix_slot, set()).add(r.source or "")
-    assert got == {t: {n} for t, n in slots.items()}
-    assert len({(r.mix_slot, r.mix_place) for r in out}) == 700
+        got.setdefault(r.mix_slot, set()).add(r.source)
+    assert got == {t: {n} for t, n in brute_slots({n: -(-sizes[n] // 4) for n in names}, given).items()}
+    assert len({(r.mix_slot, r.mix_place) for r in out}) == len(rows)
     assert mixing.mix(docs.where("false")).count() == 0
 
 
