@@ -318,8 +318,9 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, any other columns) to one row per row: doc_id, ids (array of int), decoded (text).
+def encode_documents(docs: DataFrame, vocabulary_path: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, any other columns) to one row per row: doc_id, ids (array of int), decoded (text), and the ``carried``
+    columns as they are.
 
     The vocabulary file (about 2 MB, whatever the corpus) is read on the driver and sent to each executor once.
     Rows are independent and nothing is shuffled. Null and empty texts give no ids and an empty text; a null
@@ -337,9 +338,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str | None = None) -> Dat
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string()), *part.columns[2:]], ["doc_id", "ids", "decoded", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, f"doc_id long, ids array<int>, decoded string{kinds}")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -348,6 +351,7 @@ def digests(encoded: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *(c for c in encoded.columns if c not in ("doc_id", "ids", "decoded")),
     )
 
 

@@ -461,6 +461,11 @@ def test_held_out_toxicity(spark):
     assert np.mean([r.predicted for r in rows if not r.toxic]) < 0.01
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stage_by_stage(spark):
     rng = random.Random(11)
     speech = {"aa": "der die das und nicht", "bb": "le la les avec pour", "cc": "the of and with from"}
@@ -471,6 +476,7 @@ def test_pipeline_stage_by_stage(spark):
         docs.append((i, " ".join(words) + ("\nall rights reserved by us" if i % 4 == 0 else ""), lang, "s%d" % (i % 2), 0))
     docs += [(100, docs[7][1], "bb", "s0", 0), (101, "12345 !!", None, "s0", 0), (102, None, None, None, None)]
     table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    table = table.selectExpr("*", "'x' lost_id", "1 mix_extra", "2 component_id")
     now, seen = table, {}
     for name, stage in corpus_pipeline.STAGES:
         now = corpus_pipeline.staged(stage(spark, now, ""), name)
@@ -483,4 +489,5 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in seen["near_dedup"].collect()} == set(texts) - {100}
     order = [(r.mix_slot, r.mix_place, r.doc_id) for r in mixing.mix(seen["near_dedup"]).collect()]
     assert [r.doc_id for r in seen["mixing"].collect()] == [i for *_, i in sorted(order)]
+    assert [r.doc_id for r in seen["bpe"].orderBy("mix_file", "mix_row").collect()] == [i for *_, i in sorted(order)]
     assert seen["bpe"].count() == len(order) and seen["bpe"].where(F.col("n_tokens") > 0).count() == len(order)
