@@ -36,8 +36,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens and the text they give back, as digests."""
-    return bpe.digests(bpe.encode_documents(docs))
+    """Each document's tokens and the text they give back, as digests, with its place in the mixture: mix_file and mix_row, by which
+    the rows of the stage before were written in the order of its slots. ``docs`` must be read from files."""
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    return bpe.digests(bpe.encode_documents(placed, carried=("mix_file", "mix_row")))
 
 
 STAGES = [
