@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clausewright.llm.staging import staged
 
-#: Vectors of a shard, queries of a block, vectors of a leaf.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 1_024, 128
+#: Vectors of a shard, queries that one task takes to a shard, vectors of a leaf.
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 65_536, 128
+#: Vectors from which the shards' regions are drawn up, and shards whose balls a task holds at a time.
+SAMPLE_ROWS, BALL_ROWS = 20_000, 4_096
+#: Queries that are searched together in a task.
+TOGETHER = 1_024
 _EXACT = 1 << 53
 
 
@@ -21,7 +27,8 @@ class BallTree:
     """A binary tree of balls over a shard's vectors; a node's rows lie together in ``order``."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors.astype(np.float64)
+        self.whole, self.vectors = vectors, vectors.astype(np.float64)
+        self.most = float(np.abs(vectors).max()) if vectors.size else 0.0
         self.order = np.arange(len(vectors))
         self.centres, self.radii, self.spans, self.children = [], [], [], []
         if len(vectors):
@@ -47,38 +54,84 @@ class BallTree:
         return node
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray) -> list[list[tuple[int, int]]]:
+def bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """What no vector of a ball exceeds: q.c + |q| r, and a little more for rounding."""
+    norms = np.sqrt((queries**2).sum(axis=1))
+    most = queries @ centres.T + norms[:, None] * radii[None, :]
+    return most + 1e-9 * (np.abs(most) + norms[:, None] * (np.sqrt((centres**2).sum(axis=1)) + radii)[None, :]) + 1e-6
+
+
+class Regions:
+    """Regions of near vectors, as a binary tree of half spaces drawn up from a bounded sample; a vector goes down it."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: float):
+        self.planes: list[tuple[np.ndarray, float, int, int]] = []
+        self.regions = 0
+        self.root = self._grow(sample.astype(np.float64), leaf_rows)
+
+    def _grow(self, rows: np.ndarray, leaf_rows: float) -> int:
+        if len(rows) > max(1.0, leaf_rows):
+            away = ((rows - rows.mean(axis=0)) ** 2).sum(axis=1)
+            a = rows[np.argmax(away)]
+            b = rows[np.argmax(((rows - a) ** 2).sum(axis=1))]
+            side = rows @ (b - a)
+            middle = np.median(side)
+            left = side < middle
+            if left.any() and not left.all():
+                node = len(self.planes)
+                self.planes.append((b - a, float(middle), 0, 0))
+                children = self._grow(rows[left], leaf_rows), self._grow(rows[~left], leaf_rows)
+                self.planes[node] = (b - a, float(middle), *children)
+                return node
+        self.regions += 1
+        return -self.regions  # a region, not a plane
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.empty(len(vectors), np.int64)
+        waiting = [(self.root, np.arange(len(vectors)))]
+        while waiting:
+            node, rows = waiting.pop()
+            if node < 0:
+                out[rows] = -node - 1
+            elif len(rows):
+                normal, middle, left, right = self.planes[node]
+                below = vectors[rows] @ normal < middle
+                waiting += [(left, rows[below]), (right, rows[~below])]
+        return out
+
+
+def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray, cut: list[int] | None = None) -> list[list[tuple[int, int]]]:
     """For each query its ``k`` best (score, id) in this shard that reach ``least`` (its kth score elsewhere); its own id excepted.
 
-    A node can't beat q.c + |q| r. From the root down, nodes below the current kth score are cut off; the leaves
-    that are left are visited best first, all queries at once, and each visit raises the kth scores.
+    A node can't beat its bounds(). From the root down, nodes below the current kth score are cut off; the leaves
+    that are left are visited best first, all queries at once, and each visit raises the kth scores. ``cut`` gets the
+    numbers of leaves (for each query) that there were and that were visited added.
     """
     best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    vectors = tree.whole
     if not len(vectors) or not len(queries):
         return best
-    exact = float(np.abs(vectors).max()) * float(np.abs(queries).max()) * vectors.shape[1] < _EXACT
-    tree, wanted = BallTree(vectors), queries.astype(np.float64)
-    norms = np.sqrt((wanted**2).sum(axis=1))
-    bounds = wanted @ tree.centres.T + norms[:, None] * tree.radii[None, :]
-    bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * (np.sqrt((tree.centres**2).sum(axis=1)) + tree.radii)[None, :]) + 1e-6
-    alive = np.zeros(bounds.shape, bool)
-    alive[:, 0] = bounds[:, 0] >= least
+    exact = tree.most * float(np.abs(queries).max()) * vectors.shape[1] < _EXACT
+    wanted = queries.astype(np.float64)
+    most = bounds(wanted, tree.centres, tree.radii)
+    alive = np.zeros(most.shape, bool)
+    alive[:, 0] = most[:, 0] >= least
     for node, pair in enumerate(tree.children):  # parents come before children
         for child in pair or ():
-            alive[:, child] = alive[:, node] & (bounds[:, child] >= least)
+            alive[:, child] = alive[:, node] & (most[:, child] >= least)
     leaves = np.array([n for n, pair in enumerate(tree.children) if pair is None])
-    reach = np.where(alive[:, leaves], bounds[:, leaves], -np.inf)
+    reach = np.where(alive[:, leaves], most[:, leaves], -np.inf)
     order = np.argsort(-reach, axis=1, kind="stable")
     kth = least.astype(np.float64).copy()
-    scores = np.zeros((len(queries), 0), np.int64)
-    found = np.zeros((len(queries), 0), np.int64)
     lowest = np.iinfo(np.int64).min
     scores, found = np.full((len(queries), k), lowest), np.full((len(queries), k), np.iinfo(np.int64).max)
+    visited = 0
     for turn in range(len(leaves)):
         leaf = order[:, turn]
         go = np.flatnonzero((reach[np.arange(len(queries)), leaf] >= kth) & np.isfinite(reach[np.arange(len(queries)), leaf]))
         if not len(go):
             break
+        visited += len(go)
         for one in np.unique(leaf[go]):
             at = go[leaf[go] == one]
             begin, end = tree.spans[leaves[one]]
@@ -95,6 +148,9 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
             scores[at], found[at] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_ids, top, 1)
             full = scores[at, k - 1] > lowest
             kth[at[full]] = np.maximum(kth[at[full]], scores[at, k - 1][full])
+    if cut is not None:
+        cut[0] += len(leaves) * len(queries)
+        cut[1] += visited
     for q in range(len(queries)):
         best[q] = [(int(s), int(i)) for s, i in zip(scores[q], found[q], strict=True) if s > lowest]
     return best
@@ -108,46 +164,149 @@ def whole_numbers(table: DataFrame, scale: int = 64) -> DataFrame:
     return table.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(-9e18)), F.lit(9e18)))).alias("v"))
 
 
+def _matrix(column: pa.Array, kind: type = np.int64) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), -1)
+
+
+def _sharded(vectors: DataFrame) -> DataFrame:
+    """Adds shard (string): vectors of one length that lie near one another, SHARD_ROWS of them on average and few more.
+
+    Regions are drawn up from a bounded sample for each length (those with the least hashes); a region with more rows
+    than a shard holds, as of many equal vectors, is dealt out to several shards by hash.
+    """
+    counts = {r.dim: r["count"] for r in vectors.groupBy("dim").count().collect()}  # one row for each length
+    of: dict[int, Regions] = {}
+    for dim, n in counts.items():
+        share = min(1.0, SAMPLE_ROWS / n)
+        drawn = vectors.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("v", "vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toArrow().column("v").combine_chunks()
+        of[dim] = Regions(_matrix(drawn), SHARD_ROWS * share) if len(drawn) else Regions(np.zeros((0, dim)), 1)
+    sent = vectors.sparkSession.sparkContext.broadcast(of)  # a plane for each region, of which SAMPLE_ROWS bounds the number
+
+    @F.pandas_udf("int")
+    def region(v: pd.Series, dim: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        for d in dim.unique():
+            at = np.flatnonzero(dim.to_numpy() == d)
+            out[at] = sent.value[int(d)].of(np.stack(v.to_numpy()[at]).astype(np.float64))
+        return pd.Series(out)
+
+    placed = staged(vectors.withColumn("region", region("v", "dim")), "regions")
+    sizes = placed.groupBy("dim", "region").count().select("dim", "region", F.ceil(F.col("count") / SHARD_ROWS).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
+    return placed.join(F.broadcast(sizes), ["dim", "region"]).select("vec_id", "v", "dim", F.concat_ws("-", "dim", "region", part).alias("shard"))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch], pa.RecordBatch]]:
+    """Rows (cell, kind, ...) in order to each cell's rows of kind 0, which are held, with those of kind 1, a few at a time."""
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):  # noqa: B905
+            if cell[begin] != now:
+                now, parts = cell[begin], []
+            if kind[begin] == 0:
+                parts.append(batch.slice(begin, end - begin))
+            elif parts:
+                for at in range(begin, end, TOGETHER):
+                    yield now, parts, batch.slice(at, min(TOGETHER, end - at))
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, v) to their sums and number, for each batch and shard."""
+    for batch in batches:
+        shard = batch.column(0).to_numpy(zero_copy_only=False)
+        names, first, which = np.unique(shard, return_index=True, return_inverse=True)
+        rows = [_matrix(batch.column(1).filter(pa.array(which == k))).astype(np.float64) for k in range(len(first))]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([r.sum(axis=0) for r in rows], pa.list_(pa.float64())), pa.array([len(r) for r in rows], pa.int64())], ["shard", "total", "n"])
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``vectors`` and ``queries`` (vec_id: long, v: array of long) to query_id, rank, vec_id, score.
 
     Every query gets its k highest scores over all vectors but those of its own vec_id (all, if fewer), ties to
-    the smaller vec_id. Vectors are dealt to shards and queries to blocks of bounded size; each pair of a shard and a
-    block is searched as a group of its own. Each block is first searched in one shard; the kth scores found there
-    are shared with the searches of all other shards, which prune by them from the root and give out only what reaches them.
+    the smaller vec_id.
+
+    1. Vectors that lie near one another make a shard of bounded size. A shard's ball (mean and radius) is found by aggregation.
+    2. Each query is searched in the shard with the highest bound for it; the kth scores found there are shared.
+    3. Shards whose ball can't reach a query's kth score are ruled out before any vector is moved; the rest are searched. (Of vectors
+       spread at random in many dimensions none can be ruled out, and each query goes to each shard.)
+    In 2 and 3 a shard's vectors and its queries meet in one task, which builds the ball tree once and lets the queries, BLOCK_ROWS of
+    them at most, pass through it a few at a time; only a shard with more queries is sent to several tasks.
 
     Only vectors of a query's own length count for it. Rows that repeat a vec_id all are candidates; as queries the
     first of them in the order of vectors is taken. No vectors or no queries: no rows.
     """
-    vectors = staged(vectors.select("vec_id", "v", F.size("v").alias("dim")).where("dim > 0"), "vectors")
+    vectors = staged(_sharded(vectors.select("vec_id", "v", F.size("v").alias("dim")).where("dim > 0")), "vectors")
     first = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = staged(first.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim")), "queries")
-    shards, blocks = (max(1, math.ceil(t.count() / size)) for t, size in ((vectors, SHARD_ROWS), (queries, BLOCK_ROWS)))
-    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int"))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int"))
-
-    def run(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, query_ids = right.column("vec_id").to_numpy(), left.column("query_id").to_numpy()
-        matrix = [np.array(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1), np.int64) for t, c in ((right, "v"), (left, "q"))]
-        found = search(matrix[0], ids, matrix[1], query_ids, k, left.column("least").to_numpy())
-        rows = [(int(q), i, s) for q, hits in zip(query_ids, found, strict=True) for s, i in hits]
-        return pa.table({name: pa.array([r[c] for r in rows], pa.int64()) for c, name in enumerate(("query_id", "vec_id", "score"))})
-
-    def searched(pairs: DataFrame, here: DataFrame) -> DataFrame:
-        """``pairs``: queries with shard and least; ``here``: vectors with shard and block."""
-        left = pairs.groupBy("dim", "shard", "block")
-        return left.cogroup(here.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
-
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
+    queries = staged(first.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim")).where("dim > 0"), "queries")
+
+    centre = vectors.select("shard", "v").mapInArrow(_balls, "shard string, total array<double>, n long")
+    place = centre.select("shard", "n", F.posexplode("total").alias("at", "x")).groupBy("shard", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    centres = place.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", (F.col("x") / F.col("n")).alias("x")))), lambda p: p["x"]).alias("centre"))
+    # a row for each shard: SHARD_ROWS times fewer than vectors
+    distance = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x))
+    balls = vectors.join(centres, "shard").groupBy("shard", "dim").agg(F.first("centre").alias("centre"), F.max(distance).alias("radius"))
+    balls = staged(balls, "balls")
+    groups, blocks = (math.ceil(t.count() / size) for t, size in ((balls, BALL_ROWS), (queries, BLOCK_ROWS)))
     lowest = F.lit(-(1 << 63))
-    of_shard = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = vectors.withColumn("block", F.explode(of_shard))
-    begun = staged(searched(queries.select("*", home.alias("shard"), lowest.alias("least")), placed.where(home == F.col("shard"))), "begun")
-    reached = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
-    known = queries.join(reached, "query_id", "left").withColumn("least", F.coalesce("kth", lowest)).drop("kth")
-    rest = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(home != F.col("shard"))
-    ended = searched(rest, placed.where(home != F.col("shard")))
-    ranked = begun.union(ended).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+
+    def of_all(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+
+    def near(asked: DataFrame, first_only: bool) -> DataFrame:
+        """``asked`` (query_id, q, dim, least) to (query_id, shard, bound): the shards whose balls reach ``least``, or the one of highest
+        bound in each group of balls. Groups of balls and blocks of queries meet in cells, as many rows as queries times groups."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = None
+            for cell, parts, rows in _met(batches):
+                if cell != now:
+                    now, names = cell, np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
+                    centres, radii = np.concatenate([_matrix(p.column(4), float) for p in parts]), np.concatenate([p.column(5).to_numpy() for p in parts])
+                most = bounds(_matrix(rows.column(4), float), centres, radii)
+                row, shard = (np.arange(len(most)), most.argmax(axis=1)) if first_only else np.nonzero(most >= rows.column(6).to_numpy()[:, None])
+                yield pa.RecordBatch.from_arrays([rows.column(3).take(pa.array(row)), pa.array(names[shard], pa.string()), pa.array(most[row, shard])], ["query_id", "shard", "bound"])
+
+        cell = F.concat_ws("/", "dim", "group", "block")
+        here = balls.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(max(1, groups)))).withColumn("block", of_all(blocks))
+        here = here.select(cell.alias("cell"), F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("id"), F.col("centre").alias("v"), "radius", lowest.alias("least"))
+        there = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))).withColumn("group", of_all(groups))
+        there = there.select(cell.alias("cell"), F.lit(1).alias("kind"), F.lit("").alias("shard"), F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"), F.lit(0.0).alias("radius"), "least")
+        return here.union(there).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "query_id long, shard string, bound double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (cell, kind, id, v, least): in each cell first the vectors, then the queries. A row without a query tells leaves."""
+        now = None
+        for cell, parts, rows in _met(batches):
+            if cell != now:
+                now, tree, ids = cell, BallTree(np.concatenate([_matrix(p.column(3)) for p in parts])), np.concatenate([p.column(2).to_numpy() for p in parts])
+            query_ids, cut = rows.column(2).to_numpy(), [0, 0]
+            hits = search(tree, ids, _matrix(rows.column(3)), query_ids, k, rows.column(4).to_numpy(), cut)
+            found = [(int(q), i, s) for q, own in zip(query_ids, hits, strict=True) for s, i in own] + [(None, *cut)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (query_id, q, shard, least) to the hits in those shards."""
+        many = pairs.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        cell = F.concat_ws("/", "shard", "block")
+        here = vectors.join(many, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        here = here.select(cell.alias("cell"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", lowest.alias("least"))
+        there = pairs.join(many, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+        there = there.select(cell.alias("cell"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"), "least")
+        return here.union(there).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
+
+    start = queries.withColumn("least", lowest)
+    home = staged(near(start, True).groupBy("query_id").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard")), "home")
+    begun = staged(searched(start.join(home, "query_id")), "begun")
+    kth = begun.where("query_id is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
+    known = staged(queries.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", lowest)).drop("kth"), "known")
+    rest = staged(near(known, False).select("query_id", "shard").join(home, ["query_id", "shard"], "left_anti"), "pairs")
+    ended = searched(known.join(rest, "query_id"))
+    ranked = begun.union(ended).where("query_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -101,10 +101,12 @@ def brute_top(vectors, queries, k):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(8192, 1024), (40, 7)])
+@pytest.mark.parametrize("sizes", [(8192, 1024, 20_000), (40, 7, 20_000), (10, 3, 60)])
 def test_top_k_is_exact(spark, monkeypatch, sizes):
-    monkeypatch.setattr(ball_tree, "SHARD_ROWS", sizes[0])
-    monkeypatch.setattr(ball_tree, "BLOCK_ROWS", sizes[1])
+    for name, size in zip(("SHARD_ROWS", "BLOCK_ROWS", "SAMPLE_ROWS"), sizes, strict=True):
+        monkeypatch.setattr(ball_tree, name, size)
+    monkeypatch.setattr(ball_tree, "BALL_ROWS", 2)
+    monkeypatch.setattr(ball_tree, "TOGETHER", 4)
     monkeypatch.setattr(ball_tree, "LEAF_ROWS", 8)
     rng = random.Random(3)
     rows = [(i, [rng.choice([-3, 0, 1, 2, 7]) * rng.random() for _ in range(5)]) for i in range(150)] + [(i, [1.0, 2.0, 0.5, -1.0, 0.0]) for i in range(150, 230)]
@@ -116,6 +118,27 @@ def test_top_k_is_exact(spark, monkeypatch, sizes):
     assert found == brute_top(vectors, [(i, v) for i, v in vectors if i % 20 == 0], 20)
 
 
+def test_repeated_ids_are_candidates_and_one_query(spark):
+    rows = [(0, [1, 0]), (0, [2, 0]), (1, [5, 1]), (1, [4, 1]), (2, [3, 3])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    found = sorted(tuple(r) for r in ball_tree.top_inner_products(table, table.where("vec_id = 0"), 20).collect())
+    assert found == [(0, 1, 1, 5), (0, 2, 1, 4), (0, 3, 2, 3)]
+
+
+def test_leaves_and_shards_are_cut_where_vectors_lie_in_clusters():
+    rng = np.random.default_rng(6)
+    vectors = np.rint(np.repeat(rng.normal(size=(32, 16)) * 400, 256, axis=0) + rng.normal(size=(8192, 16)) * 10).astype(np.int64)
+    tree, cut = ball_tree.BallTree(vectors), [0, 0]
+    found = ball_tree.search(tree, np.arange(8192), vectors[::256], np.arange(8192)[::256], 20, np.full(32, -(1 << 63)), cut)
+    assert cut[1] < cut[0] / 5
+    for q, hits in zip(range(0, 8192, 256), found, strict=True):
+        scores = np.delete(vectors @ vectors[q], q)
+        assert [s for s, _ in hits] == sorted(scores.tolist(), reverse=True)[:20]
+    regions = ball_tree.Regions(vectors[::4], 64)
+    where = regions.of(vectors.astype(float))
+    assert regions.regions >= 24 and np.mean([len(np.unique(where[k : k + 256])) for k in range(0, 8192, 256)]) < 3
+
+
 def test_top_k_of_large_numbers_and_of_nothing(spark):
     table = spark.createDataFrame([(i, [2**40 + i, -(2**41), i]) for i in range(30)], "vec_id long, v array<long>")
     found = {tuple(r) for r in ball_tree.top_inner_products(table, table.where("vec_id = 0"), 3).collect()}
