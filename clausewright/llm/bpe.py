@@ -265,15 +265,18 @@ class Codec:
     def _known(self, word: str) -> tuple[int, ...]:
         return self.recent.get(word) or self._word(word)
 
-    def ids(self, text: str | None) -> Iterator[int]:
-        """A text's ids, each as soon as its word is known."""
+    def _all(self, text: str | None) -> Iterator[tuple[int, ...]]:
         at = 0
         for found in self.specials.finditer(text) if text and self.v.special else ():
-            yield from chain.from_iterable(self._plain(text[at : found.start()]))
-            yield self.v.special[found[0]]
+            yield from self._plain(text[at : found.start()])
+            yield (self.v.special[found[0]],)
             at = found.end()
         if text:
-            yield from chain.from_iterable(self._plain(text[at:] if at else text))
+            yield from self._plain(text[at:] if at else text)
+
+    def ids(self, text: str | None) -> Iterator[int]:
+        """A text's ids, each as soon as its word is known."""
+        return chain.from_iterable(self._all(text))
 
     def encode(self, text: str | None) -> list[int]:
         return list(self.ids(text))

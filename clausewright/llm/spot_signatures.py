@@ -19,8 +19,10 @@ from clausewright.llm.staging import staged
 ANCHORS = "a an the is was are of and to in der die das ein eine ist und le les un une est et du el los una es y que".split()
 #: Content words in a chain.
 CHAIN = 2
-#: Rows of one ordered part; a part is worked through in order, a row at a time.
-PART_ROWS = 20_000
+#: Rows of one ordered part, and parts at most. A part is worked through in order, a row at a time, so it may have any size.
+PART_ROWS, MOST_PARTS = 20_000, 100_000
+#: Ids from which the parts are drawn up: so many, or so many for each part; and how often one is drawn that is cut by its texts.
+SAMPLE_IDS, SAMPLE_OF_PART, FREQUENT = 20_000, 10, 20
 SLICE = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -106,6 +108,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sortable(place: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as bytes in the same order."""
+    both = np.stack([place, text], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").reshape(-1)
+
+
 def fingerprint_and_compare(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) to one row per row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
@@ -113,43 +121,48 @@ def fingerprint_and_compare(docs: DataFrame) -> DataFrame:
     The next document is the one after it in the order of descending doc_id (after the last: the first); the edited
     text is the text with its last third replaced by the beginning of the next. Equal texts have equal fingerprints.
 
-    The ids are cut into ranges of about PART_ROWS rows by their quantiles. Each text is shuffled once, to its
-    range; the first row of each range goes to the range before it too, as the lead after its last row. So each
-    range can be worked through in order, a row at a time, and no window over all rows is needed. The driver gets two
-    numbers for each range.
+    The ids are cut into parts of about PART_ROWS rows (MOST_PARTS at most) by a bounded sample of them; an id that is
+    frequent in it, as null may be, is cut by the hashes of its texts too. Each text is shuffled once, to its
+    part, which is a task of its own; the first row of each part goes to the part before it too, as the lead after its last row. So each
+    part can be worked through in order, a row at a time, and no window over all rows is needed. The driver gets the sample and a
+    row for each part.
 
-    A null text is an empty one. Rows with a null doc_id come last; rows that repeat a doc_id follow each other
-    in the order of their texts. A single row is its own next one. An empty table gives an empty one.
+    A null text is an empty one. Rows with a null doc_id come last; rows that repeat a doc_id follow each other in the
+    order of their texts, or of the texts' hashes if it is frequent. A single row is its own next one. An empty table gives an empty one.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    least = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = rows.select(F.coalesce("doc_id", F.lit(least)).alias("place"))
-    count = ids.count()
-    wanted = max(math.ceil(count / PART_ROWS), min(count, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-    cuts = ids.agg(F.percentile_approx("place", [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0] if wanted > 1 else None
-    bounds = np.unique(np.array(cuts if cuts else [], np.int64))
+    rows = rows.withColumn("place", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)))  # ascends where doc_id descends; null is last
+    count = rows.count()
+    wanted = min(MOST_PARTS, max(math.ceil(count / PART_ROWS), min(count, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))))
+    share = min(1.0, max(SAMPLE_IDS, SAMPLE_OF_PART * wanted) / max(1, count))
+    drawn = F.rand(7) < share  # which rows are drawn changes the parts' sizes alone, never the result
+    often = [r.place for r in rows.where(drawn).groupBy("place").count().where(F.col("count") >= FREQUENT).select("place").collect()]
+    # the texts are read for this only if there are such ids
+    rows = rows.withColumn("cut", F.when(F.col("place").isin(often), F.xxhash64("text")).otherwise(0) if often else F.lit(0).cast("long"))
+    some = rows.where(drawn).select("place", "cut").toPandas()
+    order = np.sort(_sortable(some.place.to_numpy(np.int64), some.cut.to_numpy(np.int64)))
+    bounds = np.unique(order[[len(order) * k // wanted for k in range(1, wanted)]]) if len(order) and wanted > 1 else order[:0]
 
     @F.pandas_udf("int")
-    def part_of(place: pd.Series) -> pd.Series:
-        return pd.Series((len(bounds) - np.searchsorted(bounds, place.to_numpy(np.int64))).astype(np.int32))
+    def part_of(place: pd.Series, cut: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, _sortable(place.to_numpy(np.int64), cut.to_numpy(np.int64)), side="right").astype(np.int32))
 
-    first = sorted((r.part, r.place) for r in ids.groupBy(part_of("place").alias("part")).agg(F.max("place").alias("place")).collect())
-    leads = {place: first[k - 1][0] for k, (_, place) in enumerate(first)}  # the first of all follows the last
-    lead_places = np.array(sorted(leads), np.int64)
-    lead_parts = np.array([leads[p] for p in lead_places.tolist()], np.int32)
+    first = sorted((r.part, r.least.place, r.least.cut) for r in rows.groupBy(part_of("place", "cut").alias("part")).agg(F.min(F.struct("place", "cut")).alias("least")).collect())
+    leads = _sortable(np.array([p for _, p, _ in first], np.int64), np.array([c for _, _, c in first], np.int64))  # ascending, as the parts are
+    lead_parts = np.array([first[k - 1][0] for k in range(len(first))], np.int32)  # the first of all follows the last
 
     @F.pandas_udf("array<struct<part:int,lead:boolean>>")
-    def parts_of(place: pd.Series) -> pd.Series:
-        places = place.to_numpy(np.int64)
-        own = len(bounds) - np.searchsorted(bounds, places)
-        at = np.minimum(np.searchsorted(lead_places, places), max(0, len(lead_places) - 1))
-        leading = lead_places[at] == places if len(lead_places) else np.zeros(len(places), bool)
+    def parts_of(place: pd.Series, cut: pd.Series) -> pd.Series:
+        keys = _sortable(place.to_numpy(np.int64), cut.to_numpy(np.int64))
+        own = np.searchsorted(bounds, keys, side="right")
+        at = np.minimum(np.searchsorted(leads, keys), max(0, len(leads) - 1))
+        leading = leads[at] == keys if len(leads) else np.zeros(len(keys), bool)
         return pd.Series([[{"part": int(o), "lead": False}] + ([{"part": int(lead_parts[a]), "lead": True}] if x else []) for o, a, x in zip(own, at, leading, strict=True)])
 
-    dealt = rows.withColumn("to", F.explode(parts_of(F.coalesce("doc_id", F.lit(least))))).select("to.part", "to.lead", "doc_id", "text")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "lead", F.desc_nulls_last("doc_id"), "text")
-    return ordered.mapInArrow(_compared, schema)
+    dealt = rows.withColumn("to", F.explode(parts_of("place", "cut"))).select("to.part", "to.lead", "doc_id", "text", "place", "cut")
+    ordered = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "lead", "place", "cut", "text")
+    return ordered.select("part", "lead", "doc_id", "text").mapInArrow(_compared, schema)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -196,9 +209,20 @@ def similar(found: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFr
     return members, measured.where(F.col("likeness") >= threshold - 1e-12)
 
 
+def links(found: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Fingerprints to one row per document with a doc_id: doc_id, class_id, n_links (other classes that are alike)."""
+    members, pairs = similar(found, threshold)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def spot_signature_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_compare(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op9_spot_signatures": op9_spot_signatures}
+QUERIES = {"op9_spot_signatures": op9_spot_signatures, "spot_signature_links": spot_signature_links}
 ORACLES: dict[str, str] = {}

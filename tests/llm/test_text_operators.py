@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import pytest
 import zstandard
@@ -198,23 +199,51 @@ def test_held_out_languages(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) and sum(r.rejected for r in rows) <= 0.02 * len(rows)
 
 
-def test_spot_signatures_follow_the_order_of_ids(spark):
+COMMON = set("a an the is was are of and to in der die das ein eine ist und le les un une est et du el los una es y que".split())
+
+
+def spots(text):
+    """The signatures of a text by name: each common word with the next two words that aren't common; without any, its words."""
+    words = re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").lower())
+    out = set()
+    for i, word in enumerate(words):
+        rest = [w for w in words[i + 1 :] if w not in COMMON][:2]
+        if word in COMMON and len(rest) == 2:
+            out.add((word, *rest))
+    return out or set(words) or ({text} if text else set())
+
+
+def near(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.mark.parametrize("frequent", [spot_signatures.FREQUENT, 2])
+def test_spot_signatures_follow_the_order_of_ids(spark, monkeypatch, frequent):
+    monkeypatch.setattr(spot_signatures, "FREQUENT", frequent)
     texts = ODD + some_texts(60, 9) + ["the cat sat on the mat and the dog ran to a red house in the wood"] * 2
-    rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(5000, None)]
+    rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(5000, None)] + [(None, f"the cat of number {chr(97 + k)}x ran") for k in range(26)] + [(5000, "a red house is old news"), (5000, "the blue house is old news"), (6000, "z"), (6000, "z")]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, near_next double")
-    order = sorted(((i, t or "") for i, t in rows), reverse=True)
-    spotter = spot_signatures.Spotter()
-    found = {r.doc_id: r for r in spot_signatures.fingerprint_and_compare(docs.repartition(3)).collect()}
-    assert len(found) == len(rows)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    by_hash = frequent == 2
+    often = {None, 5000, 6000} if by_hash else {None}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]] if r[0] in often else 0, r[1] or ""))
+    found = spot_signatures.fingerprint_and_compare(docs.repartition(3)).collect()
+    wanted = []
     for k, (i, text) in enumerate(order):
-        following = order[(k + 1) % len(order)][1]
-        n = len(text)
-        edited = text[: n - n // 3] + following[: n // 3]
-        own, other, after = spotter.of([text, edited, following])
-        r = found[i]
-        assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (spot_signatures.shown(own), spot_signatures.shown(other))
-        assert r.near_edited == spot_signatures.likeness(own, other) and r.near_next == spot_signatures.likeness(own, after)
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        wanted.append((i or -1, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(near(spots(text), spots(edited)), 9), round(near(spots(text), spots(following)), 9)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id or -1, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == sorted(wanted)
+    same = {}
+    for r in found:
+        assert len(r.fingerprint) % 8 == 0
+        same.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert len(same[6000]) == 1 and len(same[None]) == 26
+
+
+def test_a_single_document_is_its_own_next(spark):
+    rows = spot_signatures.fingerprint_and_compare(spark.createDataFrame([(3, "the red cat of old houses")], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.near_next) for r in rows] == [(3, 1.0)]
 
 
 def test_spot_signatures_pruned_jaccard(spark):
@@ -231,6 +260,8 @@ def test_spot_signatures_pruned_jaccard(spark):
     reps = sorted(first.values())
     wanted = {(a, b) for a in reps for b in reps if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     assert {(r.u, r.v) for r in pairs.collect()} == wanted
+    counts = {r.doc_id: r.n_links for r in spot_signatures.links(found).collect()}
+    assert counts == {i: sum(first[s] in pair for pair in wanted) for i, s in sets.items()}
 
 
 def test_held_out_documents_teach_nothing(spark):
