@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.llm.skew import joined
 from clausewright.llm.staging import staged
 
 #: Leading tokens that choose a line's leaf, after the number of its tokens.
@@ -16,8 +17,6 @@ FIXED_TENTHS = 7
 FIELD = "<*>"
 #: Leaves that are sent to all tasks at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_LEAVES = 100_000
-#: A key with more than one in so many of the rows is joined by sending it to them; there are no more such keys than this.
-HEAVY_SHARE = 10_000
 _BLANKS = "[ \\t\\r\\f\\x0B]"
 _NOT_BLANK = "[^ \\t\\r\\f\\x0B]"
 
@@ -53,16 +52,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "line", "spelled", F.xxhash64("spelled").alias("shape"), leaf.alias("leaf"))
 
 
-def _joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """``rows`` joined to ``table`` (one row for each key; ``weight``: how many rows have it) so that no key that a large share
-    of the rows hold meets in one task. Keys with more than a HEAVY_SHAREth of the rows, which are HEAVY_SHARE at most, are
-    sent to the rows; the others are joined as Spark sees fit."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) * HEAVY_SHARE > total
-    light = rows.join(table.where(~heavy).drop(weight), key)
-    return light.unionByName(rows.join(F.broadcast(table.where(heavy).drop(weight)), key))
-
-
 def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """The lines to drop: doc_id, text_key and lines (array of line numbers), one row per distinct document that has any."""
     spelled_lines = _lines(docs)
@@ -77,9 +66,9 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     if wide.count() <= BROADCAST_LEAVES:
         spelled = spelled.join(F.broadcast(wide.select("leaf")), "leaf", "left_semi")
     else:
-        spelled = _joined(spelled, wide.select("leaf", "n"), "leaf", "n")
+        spelled = joined(spelled, wide.select("leaf", "n"), "leaf", "n")
     spelled = spelled.groupBy("shape").agg(F.first("spelled").alias("spelled")).select("shape", F.split("spelled", " ").alias("tokens"))
-    spelled = staged(spelled.join(_joined(shapes.select("shape", "texts", "leaf"), wide.select("leaf", "all", "kinds"), "leaf", "kinds"), "shape"), "spelled")
+    spelled = staged(spelled.join(joined(shapes.select("shape", "texts", "leaf"), wide.select("leaf", "all", "kinds"), "leaf", "kinds"), "shape"), "spelled")
     by_place = spelled.select("leaf", "texts", "all", F.posexplode_outer("tokens").alias("at", "token"))
     by_place = by_place.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("c"), F.first("all").alias("all"))
     modal = by_place.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("token"))).alias("m"), F.first("all").alias("all"))
@@ -89,15 +78,15 @@ def recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFram
     templates = templates.where(fixed * 10 >= F.size("template") * FIXED_TENTHS)
     fits = F.forall(F.zip_with("tokens", "template", lambda t, m: m.isNull() | (t == m)), lambda x: x)
     templates = staged(templates.join(wide.select("leaf", "kinds"), "leaf"), "leaf-templates")
-    fitting = staged(_joined(spelled, templates, "leaf", "kinds").where(fits).select("shape", "leaf"), "fitting")
+    fitting = staged(joined(spelled, templates, "leaf", "kinds").where(fits).select("shape", "leaf"), "fitting")
     # texts of a template: distinct over its shapes
     sized = fitting.join(shapes.select("shape", "n"), "shape")
-    of_text = _joined(lines.select("shape", "text_key"), sized, "shape", "n").select("leaf", "text_key").distinct().groupBy("leaf").count()
+    of_text = joined(lines.select("shape", "text_key"), sized, "shape", "n").select("leaf", "text_key").distinct().groupBy("leaf").count()
     general = fitting.join(of_text.where(F.col("count") >= least_texts).select("leaf"), "leaf").select("shape", F.lit(True).alias("general"))
 
     groups = shapes.join(general, "shape", "left").where(F.col("general") | (F.col("texts") >= least_texts))
     groups = staged(groups.select("shape", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("shape")).alias("template"), "n"), "templates")
-    found = staged(_joined(lines.select("doc_id", "text_key", "line", "shape"), groups, "shape", "n").select("doc_id", "text_key", "line", "template"), "recurring")
+    found = staged(joined(lines.select("doc_id", "text_key", "line", "shape"), groups, "shape", "n").select("doc_id", "text_key", "line", "template"), "recurring")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"), F.col("line"))
     first = found.groupBy("template").agg(F.min(place).alias("kept")).select("kept.doc_id", "kept.text_key", "kept.line")
     # by their places, which no two templates share, and not by template
@@ -143,8 +132,8 @@ def drop_recurring_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> Dat
     same = docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(key))
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda x, i: F.substring(F.col(marks), i + 1, 1) != F.lit(b"1"))
-    joined = docs.join(lost, same, "left")
-    return joined.select(
+    both = docs.join(lost, same, "left")
+    return both.select(
         *(F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else docs[c] for c in kept),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("line_count"),
         F.when(F.col(marks).isNull(), 0).otherwise(F.length(F.replace(F.col(marks).cast("string"), F.lit("0"), F.lit("")))).cast("long").alias("lines_dropped"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.components import connected_components
 from clausewright.llm.shingles import Bands, Minima, WordHasher, shingle_sets, sketch
+from clausewright.llm.skew import joined_salted
 from clausewright.llm.staging import staged
 
 MINIMA, BANDS, ROWS = 512, 64, 8
@@ -149,7 +150,7 @@ def _across(percent: int):
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are alike enough."""
     u, v = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("u", "v"))
-    both = pairs.join(v, "v").join(u, "u").select("u", "v", "text_u", "text_v")
+    both = joined_salted(joined_salted(pairs, v, "v", "u"), u, "u", "v").select("u", "v", "text_u", "text_v")
     sized = both.mapInArrow(_shared(size), "u long, v long, n_u long, n_v long, n_both long")
     return sized.where(F.col("n_both") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("n_both")) * percent).select("u", "v")
 
@@ -187,8 +188,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     buckets = staged(keys.join(hubs, "key"), "buckets")
     u, v = (unique.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
 
-    star = buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    starred = star.join(v, "v").join(u, "u").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
+    star = staged(buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "star")
+    starred = joined_salted(star.join(v, "v"), u, "u", "v").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
     likely = staged(starred.mapInArrow(_likely(percent), "u long, v long"), "likely")
     links = staged(_confirmed(likely, texts, shingle, percent), "links")
     parts = connected_components(links)
@@ -202,7 +203,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rest = rest.select("key", F.explode(cells).alias("cell"), "half", "doc_id", "part").join(unique.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id")
     rest = rest.select("key", "cell", "half", "doc_id", "part", "n_shingles", "sketch", "bands").repartition("key", "cell").sortWithinPartitions("key", "cell")
     across = rest.mapInArrow(_across(percent), "u long, v long").distinct()
-    more = staged(_confirmed(across.join(likely, ["u", "v"], "left_anti"), texts, shingle, percent), "links")
+    across = staged(across.join(likely, ["u", "v"], "left_anti"), "across")
+    more = staged(_confirmed(across, texts, shingle, percent), "links")
     tied = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     tied = tied.union(classes.where("doc_id <> first_id").select("doc_id", "first_id"))
     final = connected_components(tied)

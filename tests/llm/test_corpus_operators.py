@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, registry, substring_dedup, toxicity
+from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, registry, skew, substring_dedup, toxicity
 from clausewright.llm.components import connected_components
 
 TABLES = "/root/testdata/sf0.1"
@@ -84,12 +84,21 @@ def test_near_duplicates_are_those_of_brute_force(spark, size, percent):
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b), (3, b), (4, c), (5, None), (5, c + " y"), (6, c)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 4, False), (6, 4, False)]
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(frame(spark, ["a"]).where("false"), 3, 85).count() == 0
 
 
 def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "CELL", 4)
+    monkeypatch.setattr(skew, "HEAVY_SHARE", 25)
     test_near_duplicates_are_those_of_brute_force(spark, 3, 85)
 
 
@@ -269,9 +278,9 @@ def many_lines(rng):
     return texts
 
 
-@pytest.mark.parametrize("share", [line_dedup.HEAVY_SHARE, 20, 1])
+@pytest.mark.parametrize("share", [skew.HEAVY_SHARE, 20, 1])
 def test_lines_are_those_of_brute_force(spark, monkeypatch, share):
-    monkeypatch.setattr(line_dedup, "HEAVY_SHARE", share)
+    monkeypatch.setattr(skew, "HEAVY_SHARE", share)
     if share == 1:
         monkeypatch.setattr(line_dedup, "BROADCAST_LEAVES", 0)
     texts = many_lines(random.Random(8))
