@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, registry, skew, substring_dedup, toxicity
+from clausewright.llm import ball_tree, line_dedup, mixing, near_dedup, registry, skew, staging, substring_dedup, toxicity
 from clausewright.llm.components import connected_components
 
 TABLES = "/root/testdata/sf0.1"
@@ -38,6 +38,15 @@ def shingle_set(text, size):
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
+def test_staged_tables_are_deleted(spark):
+    table = staging.staged(spark.range(5), "five")
+    assert table.count() == 5
+    folder = staging.shared_folder(spark)
+    assert os.listdir(folder)
+    staging.clear(spark)
+    assert not os.path.exists(folder)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(200 + i, 201 + i) for i in range(30)] + [(5, 5), (None, 3)]
@@ -350,6 +359,36 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert substring_dedup.repeated_passages(frame(spark, texts).where("false")).count() == 0
 
 
+def test_a_pair_that_shares_less_with_an_earlier_document_is_found(spark):
+    """Documents 1 and 2 of each three share 60 words, around a stock sentence that document 0 holds alone."""
+    rng, texts, wanted = random.Random(21), [], set()
+    for _ in range(30):
+        stock, before, after = sentence(rng, rng.randint(30, 42)), sentence(rng, 12), sentence(rng, 14)
+        texts.append(f"{sentence(rng, 60)} {stock} {sentence(rng, 60)}")
+        texts += [f"{sentence(rng, 60)} {before} {stock} {after} {sentence(rng, 60)}" for _ in range(2)]
+        wanted.add((len(texts) - 1, len(texts) - 2))
+    found = {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(frame(spark, texts, False)).collect()}
+    assert len(wanted & found) >= 29
+
+
+def test_recall_against_all_pairs(spark):
+    """Passages of 50 to 120 words with edits, down to the threshold, in a few hundred texts; brute force over all pairs of them."""
+    rng, texts, pairs = random.Random(22), [], {}
+    for _ in range(120):
+        words = sentence(rng, rng.randint(50, 120)).split()
+        other = list(words)
+        for at in rng.sample(range(5, len(words) - 5), rng.randint(0, max(1, len(words) // 50))):
+            other[at] = sentence(rng, 1) + "q"
+        a, b = shingle_set(" ".join(words), 5), shingle_set(" ".join(other), 5)
+        pairs[len(texts) + 1, len(texts)] = len(a & b) / len(a | b)
+        texts += [f"{sentence(rng, rng.randint(0, 90))} {' '.join(w)} {sentence(rng, rng.randint(0, 90))}" for w in (words, other)]
+    found = {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(frame(spark, texts, False)).collect()}
+    wanted = {p for p, alike in pairs.items() if alike >= 0.8}
+    assert found <= set(pairs) and len(wanted) > 60
+    assert len(wanted & found) >= 0.96 * len(wanted)
+    assert all(p in found for p, alike in pairs.items() if alike >= 0.95)
+
+
 def _found(one, two):
     grams = substring_dedup._grams_of([" ".join(one), " ".join(two)], substring_dedup.WordHasher())
     x, y = grams
