@@ -47,7 +47,7 @@ def split_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
 def with_dependencies(claims: DataFrame, text: str = "claim_text") -> DataFrame:
     """Adds is_independent, parent_claims, parent_claim and range_too_long. The first range wins; else all single
     references count, in ascending order. A range that runs backwards is a dependency without parents."""
-    t = F.col(text)
+    t = F.when(F.col(text).rlike(P.ANY_CLAIM), F.col(text)).otherwise(F.substr(F.col(text), F.lit(1), F.lit(0)))  # nothing to look at without the word
     a, b = (F.regexp_extract(t, P.CLAIM_RANGE, k) for k in (1, 2))
     low, high = a.try_cast("bigint"), b.try_cast("bigint")
     singles = F.concat(F.array(F.regexp_extract(t, P.CLAIM_EXPLICIT, 1)), F.regexp_extract_all(t, F.lit(P.CLAIM_SINGLE), F.lit(1)))
@@ -64,14 +64,15 @@ def category(text: Column) -> Column:
     found = F.lit("unknown")
     for name, pattern in reversed(P.CATEGORIES.items()):
         found = F.when(text.rlike(pattern), name).otherwise(found)
-    return found
+    return F.when(text.rlike(P.ANY_CATEGORY), found).otherwise("unknown")
 
 
 def with_transition(claims: DataFrame, text: str = "claim_text") -> DataFrame:
     """Adds preamble, transition, body, has_colon and category."""
     t = F.col(text)
-    word = blank_to_null(F.regexp_extract(t, P.TRANSITION, 1))
-    before, after = first_split(t, P.TRANSITION)
+    has = t.rlike(P.ANY_TRANSITION)
+    word = F.when(has, blank_to_null(F.regexp_extract(t, P.TRANSITION, 1)))
+    before, after = (F.when(has, part) for part in first_split(t, P.TRANSITION))
     rest = strip(after)
     colon = F.coalesce(rest.startswith(":"), F.lit(False))
     out = claims.withColumn("transition", word).withColumn("preamble", F.when(word.isNotNull(), blank_to_null(strip(before))))
@@ -80,11 +81,11 @@ def with_transition(claims: DataFrame, text: str = "claim_text") -> DataFrame:
 
 
 def enumerated(text: Column) -> Column:
-    return text.rlike(P.ENUMERATED)
+    return text.contains("(") & text.rlike(P.ENUMERATED)
 
 
 def structured(text: Column) -> Column:
-    return text.rlike(P.STRUCTURAL_SEMICOLON)
+    return text.contains(";") & text.rlike(P.STRUCTURAL_SEMICOLON)
 
 
 def with_header(claims: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ def without_page_artifacts(text: Column) -> Column:
 
 
 def with_ocr_fixes(text: Column) -> Column:
+    fixed = text
     for wrong, right in P.OCR_FIXES.items():
-        text = F.regexp_replace(text, rf"(?iuU)\b{wrong}\b", right)
-    return text
+        fixed = F.regexp_replace(fixed, rf"(?iuU)\b{wrong}\b", right)
+    return F.when(text.rlike(P.ANY_OCR_ERROR), fixed).otherwise(text)
 
 
 def dehyphenated(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)([a-zA-Z])-\s*\n\s*([a-zA-Z])", "$1$2")
+    return F.when(text.contains("-"), F.regexp_replace(text, r"(?U)([a-zA-Z])-\s*\n\s*([a-zA-Z])", "$1$2")).otherwise(text)
 
 
 def merged_lines(text: Column) -> Column:
