@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.components import connected_components
 from clausewright.llm.shingles import Bands, Minima, WordHasher, shingle_sets, sketch
-from clausewright.llm.skew import joined_salted
+from clausewright.llm.skew import joined, joined_salted
 from clausewright.llm.staging import staged
 
 MINIMA, BANDS, ROWS = 512, 64, 8
@@ -93,56 +93,103 @@ def _likely(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Rows (key, cell, half, doc_id, part, n, sketch, bands), in the order of key and cell, to the likely pairs across parts.
+class Cell:
+    """Rows (key, cell, half, doc_id, part, n, sketch, bands, ...) of one cell of a bucket."""
 
-    A pair that shares several buckets is given out in the first of its bands alone.
-    """
-    most = _most_differing(percent)
+    def __init__(self, table: pa.Table, percent: int):
+        self.key, self.half, self.doc, self.part, self.n = (table.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
+        self.sketches, self.bands = (_longs(table.column(k).combine_chunks()) for k in (6, 7))
+        self.percent, self.most = percent, _most_differing(percent)
 
-    def pairs(table: pa.Table) -> Iterator[tuple[int, int]]:
-        key, half, doc, part, n = (table.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
-        if len(doc) < 2 or (part == part[0]).all():
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row with those, the likeliest first, that lie in other parts and that sizes and signatures don't rule out. A pair that shares several
+        buckets is looked at in the first of its bands alone, and pairs within the largest part aren't."""
+        if len(self.doc) < 2 or (self.part == self.part[0]).all():
             return
-        sketches, bands = (_longs(table.column(k).combine_chunks()) for k in (6, 7))
-        split = half.min() != half.max()
-        names, counts = np.unique(part, return_counts=True)
-        rest = np.flatnonzero(part != names[np.argmax(counts)])  # pairs within the largest part needn't be looked at
-        done = np.zeros(len(doc), bool)
-        for i in rest:
+        split = self.half.min() != self.half.max()
+        names, counts = np.unique(self.part, return_counts=True)
+        done = np.zeros(len(self.doc), bool)
+        for i in np.flatnonzero(self.part != names[np.argmax(counts)]):
             done[i] = True
-            fits = ~done & (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            fits = ~done & (self.part != self.part[i]) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
             if split:
-                fits &= half != half[i]
+                fits &= self.half != self.half[i]
             near = np.flatnonzero(fits)
-            near = near[_differing(sketches[near], sketches[i]) <= most]
-            shared = bands[near] == bands[i]
-            for j in near[bands[i][np.argmax(shared, axis=1)] == key[:1].view(np.uint64)[0]]:
-                yield (doc[i], doc[j]) if doc[i] < doc[j] else (doc[j], doc[i])
+            apart = _differing(self.sketches[near], self.sketches[i])
+            near = near[np.argsort(apart, kind="stable")][: int((apart <= self.most).sum())]
+            shared = self.bands[near] == self.bands[i]
+            near = near[self.bands[i][np.argmax(shared, axis=1)] == self.key[:1].view(np.uint64)[0]]
+            if len(near):
+                yield i, near
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (key, cell, ...) in that order to a table for each cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(key[0]), int(cell[0])):
+            yield pa.Table.from_batches(held)
+            held = []
+        for begin, end in zip(bounds, bounds[1:]):  # noqa: B905
+            held.append(batch.slice(begin, end - begin))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _involved(percent: int):
+    """Cells' rows without texts to those that are a candidate of another: key, cell, doc_id. As many rows as came in at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for table in _by_cell(batches):
+            cell, some = Cell(table, percent), np.zeros(table.num_rows, bool)
+            for i, near in cell.candidates():
+                some[i] = True
+                some[near] = True
+            if some.any():
+                yield from table.select([0, 1, 3]).filter(pa.array(some)).to_batches()
 
-        def closed(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-            found = list(pairs(pa.Table.from_batches(tables)))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            bounds = [0, *cuts.tolist(), batch.num_rows]
-            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(key[0]), int(cell[0])):
-                yield closed(held)
-                held = []
-            for begin, end in zip(bounds, bounds[1:]):  # noqa: B905
-                held.append(batch.slice(begin, end - begin))
-                if end < batch.num_rows:
-                    yield closed(held)
-                    held = []
-        if held:
-            yield closed(held)
+
+def _linking(size: int, percent: int):
+    """Cells' rows with texts to links (u, v) that join all parts which the candidates' full sets join, and no more links than that
+    takes: pairs whose parts are joined already aren't held against each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for table in _by_cell(batches):
+            cell, texts, sets, links = Cell(table, percent), table.column(8), {}, []
+            up = {p: p for p in cell.part.tolist()}
+
+            def root(p: int, up: dict[int, int] = up) -> int:
+                while up[p] != p:
+                    up[p] = p = up[up[p]]
+                return p
+
+            def set_of(i: int, sets: dict = sets, texts: pa.ChunkedArray = texts) -> np.ndarray:
+                if i not in sets:
+                    (sets[i],) = shingle_sets([texts[i].as_py()], size, hasher)
+                return sets[i]
+
+            for i, near in cell.candidates():
+                for j in near.tolist():
+                    a, b = root(int(cell.part[i])), root(int(cell.part[j]))
+                    if a == b:
+                        continue
+                    x, y = set_of(int(i)), set_of(j)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both * 100 >= (len(x) + len(y) - both) * percent:
+                        up[a] = b
+                        links.append(sorted((int(cell.doc[i]), int(cell.doc[j]))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
@@ -167,8 +214,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     3. In each bucket of a band everything is paired with the bucket's first document (a star, linear in
        the bucket). Pairs that the signatures don't rule out are confirmed on the full sets.
     4. Buckets whose documents are all in one component are settled: another link could add nothing. In the
-       rest, pairs across components that the signatures don't rule out are confirmed too, so that no
-       candidate is left out. A bucket is compared in cells of a bounded size, however many members it has.
+       rest, documents of different components that the signatures don't rule out are held against each other on their full sets, so
+       that no candidate is left out. This is done in cells of a bounded size, however many members a bucket has; a cell gives out
+       the links that join its components, never its pairs.
 
     Null and empty texts, and texts without words, have an empty set and are linked with nothing.
     A null doc_id is a component of its own (component_id null, kept true). Rows that repeat a doc_id
@@ -177,8 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>, bands array<long>"), "signatures")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = base.where("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    classes = staged(full.join(first, ["set_hi", "set_lo"]).select("doc_id", "first_id"), "classes")
+    first = staged(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "sets")
+    classes = staged(joined(full.select("doc_id", "set_hi", "set_lo"), first, ["set_hi", "set_lo"], "copies").select("doc_id", "first_id"), "classes")
     unique = full.join(classes.where("doc_id = first_id").select("doc_id").distinct(), "doc_id", "left_semi")
     if full.groupBy("doc_id").count().where("count > 1").limit(1).count():  # a repeated doc_id
         unique = full.dropDuplicates(["doc_id", "set_hi", "set_lo"])
@@ -201,10 +249,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # a bucket of one half is one cell; of more halves, each pair of halves is a cell
     cells = F.transform(F.sequence(F.lit(0), F.col("halves") - 1), lambda x: F.least(x, "half") * F.col("halves") + F.greatest(x, "half"))
     rest = rest.select("key", F.explode(cells).alias("cell"), "half", "doc_id", "part").join(unique.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id")
-    rest = rest.select("key", "cell", "half", "doc_id", "part", "n_shingles", "sketch", "bands").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    across = rest.mapInArrow(_across(percent), "u long, v long").distinct()
-    across = staged(across.join(likely, ["u", "v"], "left_anti"), "across")
-    more = staged(_confirmed(across, texts, shingle, percent), "links")
+    rest = rest.select("key", "cell", "half", "doc_id", "part", "n_shingles", "sketch", "bands")
+    rest = staged(rest, "cells")
+    involved = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_involved(percent), "key long, cell int, doc_id long")
+    held = rest.join(involved, ["key", "cell", "doc_id"], "left_semi").join(texts, "doc_id")
+    held = held.select("key", "cell", "half", "doc_id", "part", "n_shingles", "sketch", "bands", "text").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    more = staged(held.mapInArrow(_linking(shingle, percent), "u long, v long").distinct(), "links")
     tied = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     tied = tied.union(classes.where("doc_id <> first_id").select("doc_id", "first_id"))
     final = connected_components(tied)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 10_000
 
 
-def joined(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def joined(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str) -> DataFrame:
     """``rows`` joined to ``table`` (one narrow row for each key; ``weight``: how many rows have it) so that no heavy key meets
     in one task: their rows of ``table`` are sent to ``rows``, the others are joined as Spark sees fit."""
     total = table.agg(F.sum(weight)).first()[0] or 0
