@@ -16,6 +16,7 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
+# Fixed values, stated a second time so that the SQL doesn't rest on the engine's own: patterns, words, categories, scores, messages.
 NORMALIZED = rf""",
 n1 AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?mi)^[ \t]*(?:Page[ \t]+[0-9]+|[0-9]+[ \t]+of[ \t]+[0-9]+|-[ \t]*[0-9]+[ \t]*-)[ \t]*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM docs),
 n2 AS (SELECT doc_id, text AS before, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bclalm\b', 'claim', 'g'), '(?i)\bclain\b', 'claim', 'g'), '(?i)\bcornprlsing\b', 'comprising', 'g'), '(?i)\bcornprising\b', 'comprising', 'g'), '(?i)\bwhereln\b', 'wherein', 'g') AS text FROM n1),

@@ -9,6 +9,7 @@ from clausewright.operators.normalize import normalize
 from clausewright.plans import parse as P
 
 B, E, W = "BODY_ELEMENT", "ENUMERATION", "WHEREIN_CLAUSE"
+# Stated inputs, their results and messages, here and below.
 OCR_SAMPLE = """
     US Patent No. 12,345,678
     Page 14 of 40
