@@ -197,7 +197,7 @@ def _linking(size: int, percent: int):
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are alike enough."""
     u, v = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in ("u", "v"))
-    both = joined_salted(joined_salted(pairs, v, "v", "u"), u, "u", "v").select("u", "v", "text_u", "text_v")
+    both = joined_salted(joined_salted(pairs, v, "v", "u"), u, "u", "v", pairs).select("u", "v", "text_u", "text_v")
     sized = both.mapInArrow(_shared(size), "u long, v long, n_u long, n_v long, n_both long")
     return sized.where(F.col("n_both") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("n_both")) * percent).select("u", "v")
 
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     u, v = (unique.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("u", "v"))
 
     star = staged(buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "star")
-    starred = joined_salted(star.join(v, "v"), u, "u", "v").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
+    starred = joined_salted(star.join(v, "v"), u, "u", "v", star).select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
     likely = staged(starred.mapInArrow(_likely(percent), "u long, v long"), "likely")
     links = staged(_confirmed(likely, texts, shingle, percent), "links")
     parts = connected_components(links)

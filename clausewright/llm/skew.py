@@ -21,10 +21,11 @@ def joined(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str)
     return light.unionByName(rows.join(F.broadcast(table.where(heavy).drop(weight)), key))
 
 
-def joined_salted(rows: DataFrame, table: DataFrame, key: str, other: str) -> DataFrame:
+def joined_salted(rows: DataFrame, table: DataFrame, key: str, other: str, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``table`` (one row for each key, however wide): the rows of a heavy key are dealt out by ``other`` in
-    parts of about a HEAVY_SHAREth of all, and the key's row of ``table`` goes to each part."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("skew_n"))
+    parts of about a HEAVY_SHAREth of all, and the key's row of ``table`` goes to each part. ``counted``: a table with the same
+    keys that is cheaper to count than ``rows``."""
+    counts = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("skew_n"))
     total = counts.agg(F.sum("skew_n")).first()[0] or 0
     parts = F.ceil(F.col("skew_n") * HEAVY_SHARE / max(1, total)).cast("int")
     heavy = F.broadcast(counts.where(F.col("skew_n") * HEAVY_SHARE > total).select(key, parts.alias("skew_parts")))
