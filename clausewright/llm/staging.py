@@ -41,12 +41,13 @@ def _clear_at_exit(spark: SparkSession) -> None:
 _told: set[str] = set()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and returns the written table. It is deleted by clear(), or when the driver's program ends."""
+def staged(df: DataFrame, name: str, rows_of_file: int = 0) -> DataFrame:
+    """Writes ``df`` once and returns the written table. It is deleted by clear(), or when the driver's program ends. ``rows_of_file``
+    bounds the rows of a file (0: no bound), for rows so wide that a reader should hold few of them."""
     spark = df.sparkSession
     if spark.sparkContext.applicationId not in _told:
         _told.add(spark.sparkContext.applicationId)
         atexit.register(_clear_at_exit, spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_of_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
