@@ -96,10 +96,20 @@ def claims_json(spark, sf_dir):
     return parse.to_json(parse.parse_text(corpus.claim_documents(spark, sf_dir)))
 
 
-def detected_types(spark, sf_dir):
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as files of several types: doc_id, filename, content, length. The pages aren't well-formed XML, and some are nothing but a bracket."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".txt"), F.lit(".docx"), F.lit(".XML"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))).alias("filename"), F.col("text").cast("binary").alias("content"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"), F.lit("page.html").alias("filename"), F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-1.7 ").when(F.col("page_id") % 3 == 1, '<?xml version="1.0"?><claims>').otherwise('<?xml version="1.0"?>'), F.col("html")).cast("binary").alias("content"))
-    return S.detected(docs.union(pages).withColumn("length", F.length("content").cast("long"))).select("doc_id", "input_type", "detection_confidence")
+    page = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), "html")).when(F.col("page_id") % 12 == 2, "<?xml version='1.0'?><").when(F.col("page_id") % 3 == 1, F.concat(F.lit('<?xml version="1.0"?><claims>'), "html")).otherwise(F.concat(F.lit('<?xml version="1.0"?>'), "html"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"), F.lit("page.html").alias("filename"), page.cast("binary").alias("content"))
+    return docs.union(pages).withColumn("length", F.length("content").cast("long"))
+
+
+def detected_types(spark, sf_dir):
+    return S.detected(_as_files(spark, sf_dir)).select("doc_id", "input_type", "detection_confidence")
+
+
+def file_outcomes(spark, sf_dir):
+    return parse.parse_files(_as_files(spark, sf_dir)).documents
 
 
 def patent_claims(spark, sf_dir):
@@ -132,9 +142,9 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, patent_claims, patent_lines, patent_elements, patent_metadata, patent_documents, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_metadata, patent_documents, markup_text, document_claims)}
 
-_DOCUMENTS_OUT = "SELECT d.doc_id, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
+_DOCUMENTS_OUT = "SELECT d.doc_id, 'RAW_TEXT' AS document_type, false AS ocr_used, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
 ORACLES = {
     "claim_types": sql.OF_CLAIMS + " SELECT CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, category, count(*) AS claims, count(DISTINCT doc_id) AS documents FROM transitioned GROUP BY 1, 2",
@@ -167,6 +177,20 @@ SELECT f.doc_id, f.number, ends.depth::BIGINT AS depth, ends.root FROM f LEFT JO
 WITH d AS (SELECT 'd' || doc_id AS doc_id, doc_id % 4 AS k, text AS t FROM documents)
 SELECT doc_id, CASE WHEN k = 2 THEN 'OTHER_XML' WHEN k = 1 THEN 'MICROSOFT_WORD' ELSE 'RAW_TEXT' END AS input_type, CASE WHEN k = 2 THEN 90.0 WHEN k = 1 THEN 95.0 ELSE 100.0 END::DOUBLE AS detection_confidence FROM d
 UNION ALL SELECT 'p' || page_id, CASE page_id % 3 WHEN 0 THEN 'TEXT_PDF' WHEN 1 THEN 'USPTO_XML' ELSE 'OTHER_XML' END, CASE page_id % 3 WHEN 0 THEN 50.0 WHEN 1 THEN 100.0 ELSE 90.0 END::DOUBLE FROM pages""",
+    "file_outcomes": r"""
+WITH tokens AS (SELECT 'd' || doc_id AS doc_id, text AS x FROM documents WHERE doc_id % 4 = 2 UNION ALL SELECT 'p' || page_id, CASE WHEN page_id % 12 = 2 THEN '' ELSE html END FROM pages WHERE page_id % 3 = 2),
+parts AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(x, '(?s)<!--.*?-->|<[?].*?[?]>|<[^>]+>|[^<]+'), lambda x: CASE WHEN starts_with(x, '<') THEN '' ELSE replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&') END), lambda x: x <> '') AS parts FROM tokens),
+docs AS (SELECT doc_id, 'OTHER_XML' AS kind, regexp_replace(coalesce(array_to_string(parts, chr(10)), ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS text FROM parts UNION ALL SELECT 'd' || doc_id, 'RAW_TEXT', text FROM documents WHERE doc_id % 4 IN (0, 3))"""
+    + sql.NORMALIZED
+    + sql.CLAIMS
+    + sql.ELEMENTS
+    + sql.SCORES
+    + sql.ERRORS
+    + " "
+    + _DOCUMENTS_OUT.replace("'RAW_TEXT' AS", "kind AS")
+    + """
+UNION ALL SELECT 'd' || doc_id, 'MICROSOFT_WORD', false, NULL, NULL, NULL, 400, 'MissingClaims', 'word_text: BadZipFile' FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT 'p' || page_id, CASE page_id % 3 WHEN 0 THEN 'TEXT_PDF' ELSE 'USPTO_XML' END, false, NULL, NULL, NULL, 400, CASE page_id % 3 WHEN 0 THEN 'MissingClaims' ELSE 'InvalidXml' END, CASE page_id % 3 WHEN 0 THEN 'no extractor for this type' ELSE 'Invalid XML: Missing <claims> section.' END FROM pages WHERE page_id % 3 <> 2""",
     "claims_json": sql.OF_ALL + sql.JSON,
     "patent_claims": corpus.PATENTS_SQL
     + """
@@ -186,7 +210,7 @@ SELECT k AS doc_id, 'Order ' || chr(8220) || k || chr(8221) || ' &amp; < part' A
 WITH d AS (SELECT l_orderkey AS doc_id, l_orderkey % 11 AS k, count(*) AS n FROM lineitem GROUP BY 1),
 e AS (SELECT *, CASE WHEN k = 5 THEN 'InvalidXml' WHEN k = 4 AND n > 1 THEN 'DuplicateClaimNumber' WHEN k = 7 THEN 'InvalidClaimNumber' WHEN k = 6 AND n > 1 THEN 'BrokenReference' END AS error_class,
   CASE WHEN k = 5 THEN 'Invalid XML: Missing <claims> section.' WHEN k = 4 AND n > 1 THEN 'Duplicate claim number detected: 1' WHEN k = 7 THEN 'Missing or invalid claim number.' WHEN k = 6 AND n > 1 THEN 'Broken reference in claim 2: Parent claim 99 does not exist.' END AS message FROM d)
-SELECT doc_id, CASE WHEN error_class IS NULL THEN n END AS claim_count, CASE WHEN error_class IS NULL THEN n - (n // 3) - ((n + 1) // 3) END AS independent_count, CASE WHEN error_class IS NULL THEN 100.0 END::DOUBLE AS confidence, CASE WHEN error_class IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM e""",
+SELECT doc_id, 'USPTO_XML' AS document_type, false AS ocr_used, CASE WHEN error_class IS NULL THEN n END AS claim_count, CASE WHEN error_class IS NULL THEN n - (n // 3) - ((n + 1) // 3) END AS independent_count, CASE WHEN error_class IS NULL THEN 100.0 END::DOUBLE AS confidence, CASE WHEN error_class IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM e""",
     "markup_text": r"""
 WITH t AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<!--.*?-->|<[?].*?[?]>|<[^>]+>|[^<]+'), lambda x: CASE WHEN starts_with(x, '<') THEN '' ELSE replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&') END), lambda x: x <> '') AS parts FROM pages),
 j AS (SELECT page_id, CASE WHEN page_id % 4 = 1 THEN replace('1. A page “#” &lt; shown   tiny' || chr(10) || '1. A page “#” &lt; shown   tiny' || chr(10) || '1. A page “#” &lt; shown' || chr(10) || 'another claim of page #', '#', page_id::VARCHAR)

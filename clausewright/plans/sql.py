@@ -98,7 +98,9 @@ JSON = """,
 j1 AS (SELECT doc_id, claim_pos, string_agg('{"ord":' || ord || ',"level":' || level || coalesce(',"marker":' || to_json(marker), '') || ',"element_type":"' || element_type || '","text":' || to_json(text) || '}', ',' ORDER BY path) AS listed FROM elements GROUP BY doc_id, claim_pos),
 j2 AS (SELECT h.doc_id, string_agg('{"claim_pos":' || h.claim_pos || ',"number":' || number || ',"claim_type":"' || CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END || '"' || coalesce(',"parent_claim":' || parent_claims[1], '') || ',"category":"' || category || '","header":' || to_json(header) || ',"elements":[' || coalesce(listed, '') || ']}', ',' ORDER BY h.claim_pos) AS claims
        FROM headed h LEFT JOIN j1 ON j1.doc_id = h.doc_id AND j1.claim_pos = h.claim_pos GROUP BY h.doc_id)
-SELECT d.doc_id, '{"claim_count":' || coalesce(claim_count, 0) || ',"independent_count":' || coalesce(independent_count, 0) || ',"dependent_count":' || coalesce(claim_count - independent_count, 0) || ',"confidence_score":' || coalesce(confidence, 0.0::DOUBLE) || coalesce(',"claims":[' || j2.claims || ']', '') || '}' AS json
+SELECT d.doc_id, '{"document_type":"RAW_TEXT","claim_count":' || coalesce(claim_count, 0) || ',"independent_count":' || coalesce(independent_count, 0) || ',"dependent_count":' || coalesce(claim_count - independent_count, 0) || ',"ocr_used":false,"confidence_score":' || coalesce(confidence, 0.0::DOUBLE)
+  || coalesce(',"metadata":{"confidence_report":{"confidence":' || confidence || ',"modules":{"claim_detection":' || claim_detection || ',"dependency":' || round(dependency, 9) || ',"transition":' || round(transition, 9) || ',"enumeration":' || round(enumeration, 9) || ',"semicolon":' || round(enumeration, 9) || ',"hierarchy":100.0}}}', '')
+  || coalesce(',"claims":[' || j2.claims || ']', '') || '}' AS json
 FROM docs d LEFT JOIN scores ON scores.doc_id = d.doc_id LEFT JOIN j2 ON j2.doc_id = d.doc_id WHERE d.doc_id NOT IN (SELECT doc_id FROM errors)"""
 
 RAW = "\nWITH RECURSIVE " + DOCUMENTS_SQL.lstrip()
