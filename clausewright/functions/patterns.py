@@ -17,6 +17,8 @@ CLAIM_BOUNDARY = r"(?iuU)(?:^|\n)[ \t]*(?:claim[ \t]+)?(\d+)\.(?!\d)[ \t]*"
 CLAIM_RANGE = r"(?iuU)\bclaims?\s+(\d+)\s*(?:-|to|through)\s*(\d+)\b"
 CLAIM_EXPLICIT = r"(?iuU)(?:of|according\s+to|in|as\s+(?:recited|defined|set\s+forth)\s+in)\s+claim\s+(\d+)"
 CLAIM_SINGLE = r"(?iuU)\bclaim\s+(\d+)\b"
+CLAIM_LIST = r"(?iuU)\bclaims\s+(\d+(?:(?:\s*(?:,|-|and\b|or\b|to\b|through\b))+\s*\d+)*+)"
+CLAIM_SPAN = r"(?iuU)(\d+)(?:\s*(?:-|to|through)\s*(\d+))?"
 TRANSITION = r"(?iuU)\b(comprising|consisting\s+of|consisting\s+essentially\s+of|including|having|containing)\b"
 CATEGORIES = {
     "method": r"(?iuU)\b(?:method|process)\b",

@@ -60,6 +60,23 @@ def with_dependencies(claims: DataFrame, text: str = "claim_text") -> DataFrame:
     return out.withColumn("range_too_long", F.coalesce(high - low >= LONGEST_RANGE, F.lit(False))).withColumn("parent_claim", F.try_element_at("parent_claims", F.lit(1)))
 
 
+def with_listed_parents(claims: DataFrame, text: str = "claim_text") -> DataFrame:
+    """Adds parents_ext: all claims that are referred to, in ascending order, with those of lists and of every range ("claims 1, 2 and
+    4 to 6"), which parent_claims passes over. Ranges that run backwards or are too long add nothing."""
+    t = F.when(F.col(text).rlike(P.ANY_CLAIM), F.col(text)).otherwise("")
+    lists = F.array_join(F.regexp_extract_all(t, F.lit(P.CLAIM_LIST), F.lit(1)), ";")
+    ends = F.arrays_zip(*(F.regexp_extract_all(lists, F.lit(P.CLAIM_SPAN), F.lit(k)).alias(name) for k, name in ((1, "low"), (2, "high"))))
+
+    def span(x: Column) -> Column:
+        low = x["low"].try_cast("bigint")
+        high = F.when(x["high"] == "", low).otherwise(x["high"].try_cast("bigint"))
+        fits = F.coalesce((low <= high) & (high - low < LONGEST_RANGE), F.lit(False))
+        return F.when(fits, F.sequence(F.when(fits, low), F.when(fits, high))).otherwise(F.array().cast("array<bigint>"))
+
+    singles = F.transform(F.regexp_extract_all(t, F.lit(P.CLAIM_SINGLE), F.lit(1)), lambda x: x.try_cast("bigint"))
+    return claims.withColumn("parents_ext", F.array_sort(F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(ends, span)), singles)))))
+
+
 def category(text: Column) -> Column:
     found = F.lit("unknown")
     for name, pattern in reversed(P.CATEGORIES.items()):

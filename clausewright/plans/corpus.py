@@ -58,6 +58,7 @@ EDGES = [
     "99999999999999999999. A {0} comprising: x",
     "CLAIMS:",
     "just some {0} prose without any number",
+    "1. A {0}.\n2. A {0}.\n3. The {0} of any of claims 1, 2.\n4. The {0} of claims 1, 2, and 3 or claim 9.\n5. The {0} of claims 1-2, 4 and 3 to 4, in part of claims 7 to 6.",
 ]
 CHAIN_AT, CHAIN = 11, 90
 
@@ -151,3 +152,11 @@ x AS (SELECT doc_id, pos, 0 AS path, 1 AS level, NULL::VARCHAR AS marker, 'BODY_
   UNION ALL SELECT doc_id, pos, 1, 2, '(a)', 'ENUMERATION', '(a) of <i>two</i> ' || kind || ' parts < 3,' FROM p WHERE pos % 3 = 1
   UNION ALL SELECT doc_id, pos, 2, 1, NULL, 'WHEREIN_CLAUSE', 'a pin wherein it turns.' FROM p WHERE pos % 3 = 1)"""
 )
+
+#: The elements of the patents' claims as nested intervals, from their text.
+TREE_SQL = """,
+m1 AS (SELECT doc_id, pos AS claim_pos, unnest(regexp_extract_all(raw, '</?claim-text>')) AS tag, generate_subscripts(regexp_extract_all(raw, '</?claim-text>'), 1) AS i FROM h),
+m2 AS (SELECT *, tag = '<claim-text>' AS opening, count(*) FILTER (tag = '<claim-text>') OVER o AS first, (count(*) FILTER (tag = '<claim-text>') OVER o) - (count(*) FILTER (tag <> '<claim-text>') OVER o) + (tag <> '<claim-text>')::INT AS depth FROM m1 WINDOW o AS (PARTITION BY doc_id, claim_pos ORDER BY i)),
+m3 AS (SELECT *, lead(first) OVER (PARTITION BY doc_id, claim_pos, depth ORDER BY i) AS last FROM m2),
+m4 AS (SELECT a.doc_id, a.claim_pos, a.first, a.last, a.depth, max(b.first) AS parent FROM m3 a LEFT JOIN m3 b ON b.doc_id = a.doc_id AND b.claim_pos = a.claim_pos AND b.opening AND b.depth = a.depth - 1 AND b.first < a.first WHERE a.opening GROUP BY ALL),
+tree AS (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_pos, parent ORDER BY first) AS ordinal, count(*) OVER (PARTITION BY doc_id, claim_pos) AS size FROM m4)"""

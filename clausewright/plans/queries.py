@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.operators import claims as C
+from clausewright.operators import graph as G
 from clausewright.operators import markup as M
 from clausewright.operators import quality as Q
 from clausewright.operators import render as R
@@ -55,6 +56,18 @@ def claim_ancestry(spark, sf_dir):
     return C.ancestry(_claims(spark, sf_dir)).select("doc_id", "number", F.col("depth").cast("long").alias("depth"), "root")
 
 
+def claim_graph(spark, sf_dir):
+    return G.dependency_graph(_claims(spark, sf_dir))
+
+
+def claim_ancestors(spark, sf_dir):
+    return G.ancestors(_claims(spark, sf_dir))
+
+
+def claim_listed_parents(spark, sf_dir):
+    return C.with_listed_parents(C.split_claims(normalize(corpus.claim_documents(spark, sf_dir)))).select("doc_id", "claim_pos", "number", _joined("parents_ext").alias("parents"))
+
+
 def claim_transitions(spark, sf_dir):
     docs = normalize(corpus.claim_documents(spark, sf_dir))
     return C.with_transition(C.split_claims(docs)).select("doc_id", "claim_pos", "preamble", "transition", "body", "has_colon", "category")
@@ -125,6 +138,16 @@ def patent_elements(spark, sf_dir):
     return C.elements_of(M.xml_claims(corpus.patent_documents(spark, sf_dir))).select("doc_id", F.col("claim_pos").cast("long").alias("claim_pos"), "path", "ord", "level", "marker", "element_type", "text")
 
 
+def patent_element_tree(spark, sf_dir):
+    tree = M.element_paths(M.element_tree(corpus.patent_documents(spark, sf_dir)))
+    return tree.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("claim_pos", "first", "last", "depth", "parent", "ordinal", "size")), F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+def patent_elements_below(spark, sf_dir):
+    pairs = M.elements_below(M.element_tree(corpus.patent_documents(spark, sf_dir)))
+    return pairs.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("claim_pos", "first", "depth", "below", "below_depth")))
+
+
 def patent_metadata(spark, sf_dir):
     return M.xml_metadata(corpus.patent_documents(spark, sf_dir))
 
@@ -142,7 +165,7 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_metadata, patent_documents, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, markup_text, document_claims)}
 
 _DOCUMENTS_OUT = "SELECT d.doc_id, 'RAW_TEXT' AS document_type, false AS ocr_used, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
@@ -152,7 +175,7 @@ ORACLES = {
     "normalized_documents": sql.OF_TEXTS + " SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS text_md5, ops FROM normalized",
     "split_claims": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, number, claim_text FROM split",
     "claim_dependencies": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, number, CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, parent_claims[1] AS parent_claim, array_to_string(parent_claims, ',') AS parents FROM dependent",
-    "dependency_edges": sql.OF_CLAIMS + " SELECT doc_id, number AS child, parent, (doc_id, parent) IN (SELECT (doc_id, number) FROM split WHERE number IS NOT NULL) AS parent_exists FROM (SELECT doc_id, number, unnest(parent_claims) AS parent FROM dependent)",
+    "dependency_edges": sql.OF_CLAIMS + " SELECT d.doc_id, d.number AS child, parent, k.number IS NOT NULL AS parent_exists FROM (SELECT doc_id, number, unnest(parent_claims) AS parent FROM dependent) d LEFT JOIN (SELECT DISTINCT doc_id, number FROM split WHERE number IS NOT NULL) k ON k.doc_id = d.doc_id AND k.number = d.parent",
     "claim_tree": sql.OF_CLAIMS + " SELECT doc_id, parent_claims[1] AS parent, string_agg(number::VARCHAR, ',' ORDER BY number) AS children FROM dependent WHERE len(parent_claims) > 0 GROUP BY 1, 2",
     "claim_ancestry": sql.OF_CLAIMS
     + """, f AS (SELECT doc_id, number, parent_claims[1] AS parent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY claim_pos) AS r FROM dependent WHERE number IS NOT NULL) WHERE r = 1),
@@ -161,6 +184,27 @@ up AS (SELECT f.doc_id, f.number, g.number AS parent FROM f LEFT JOIN f g ON g.d
 walk AS (SELECT doc_id, number, number AS at, 0 AS depth FROM f UNION ALL SELECT w.doc_id, w.number, up.parent, w.depth + 1 FROM walk w JOIN up ON up.doc_id = w.doc_id AND up.number = w.at AND up.parent IS NOT NULL JOIN longest ON longest.doc_id = w.doc_id WHERE w.depth <= longest.n),
 ends AS (SELECT w.doc_id, w.number, w.at AS root, w.depth FROM walk w JOIN up ON up.doc_id = w.doc_id AND up.number = w.at AND up.parent IS NULL)
 SELECT f.doc_id, f.number, ends.depth::BIGINT AS depth, ends.root FROM f LEFT JOIN ends ON ends.doc_id = f.doc_id AND ends.number = f.number""",
+    "claim_graph": sql.OF_CLAIMS
+    + sql.REACHED
+    + """,
+mutual AS (SELECT a.doc_id, a.number, a.ancestor FROM reached a JOIN reached b ON b.doc_id = a.doc_id AND b.number = a.ancestor AND b.ancestor = a.number),
+comp AS (SELECT f.doc_id, f.number, least(f.number, min(ancestor)) AS component FROM f LEFT JOIN mutual m ON m.doc_id = f.doc_id AND m.number = f.number GROUP BY f.doc_id, f.number),
+above AS (SELECT DISTINCT e.doc_id, a.component AS below, b.component AS above FROM e JOIN comp a ON a.doc_id = e.doc_id AND a.number = e.number JOIN comp b ON b.doc_id = e.doc_id AND b.number = e.parent WHERE a.component <> b.component),
+walk AS (SELECT doc_id, component, 0::BIGINT AS level FROM comp UNION SELECT w.doc_id, a.below, w.level + 1 FROM walk w JOIN above a ON a.doc_id = w.doc_id AND a.above = w.component),
+levels AS (SELECT doc_id, component, max(level) AS level FROM walk GROUP BY 1, 2),
+sizes AS (SELECT doc_id, component, count(*) AS n FROM comp GROUP BY 1, 2),
+up AS (SELECT doc_id, number, count(*) AS n FROM reached WHERE ancestor <> number GROUP BY 1, 2),
+down AS (SELECT doc_id, ancestor AS number, count(*) AS n FROM reached WHERE ancestor <> number GROUP BY 1, 2),
+own AS (SELECT doc_id, number, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT f.doc_id, f.number, levels.level, comp.component, sizes.n AS component_size, coalesce(own.n, 0) AS n_parents, len(list_distinct(f.parents)) - coalesce(own.n, 0) AS n_missing, coalesce(up.n, 0) AS n_ancestors, coalesce(down.n, 0) AS n_descendants
+FROM f JOIN comp ON comp.doc_id = f.doc_id AND comp.number = f.number JOIN levels ON levels.doc_id = f.doc_id AND levels.component = comp.component JOIN sizes ON sizes.doc_id = f.doc_id AND sizes.component = comp.component
+LEFT JOIN up ON up.doc_id = f.doc_id AND up.number = f.number LEFT JOIN down ON down.doc_id = f.doc_id AND down.number = f.number LEFT JOIN own ON own.doc_id = f.doc_id AND own.number = f.number""",
+    "claim_ancestors": sql.OF_CLAIMS + sql.REACHED + " SELECT doc_id, number, ancestor FROM reached WHERE ancestor <> number",
+    "claim_listed_parents": sql.OF_CLAIMS
+    + r""",
+l AS (SELECT doc_id, claim_pos, number, array_to_string(regexp_extract_all(claim_text, '(?i)\bclaims\s+(\d+(?:(?:\s*(?:,|-|and\b|or\b|to\b|through\b))+\s*\d+)*)', 1), ';') AS lists, regexp_extract_all(claim_text, '(?i)\bclaim\s+(\d+)\b', 1)::BIGINT[] AS singles FROM split),
+s AS (SELECT doc_id, claim_pos, number, singles, list_transform(list_zip(regexp_extract_all(lists, '(?i)(\d+)(?:\s*(?:-|to|through)\s*(\d+))?', 1), regexp_extract_all(lists, '(?i)(\d+)(?:\s*(?:-|to|through)\s*(\d+))?', 2)), lambda x: [x[1]::BIGINT, coalesce(nullif(x[2], ''), x[1])::BIGINT]) AS spans FROM l)
+SELECT doc_id, claim_pos, number, array_to_string(list_sort(list_distinct(list_concat(singles, flatten(list_transform(spans, lambda x: CASE WHEN x[2] - x[1] < 100000 THEN range(x[1], greatest(x[1], x[2] + 1)) ELSE [] END))))), ',') AS parents FROM s""",
     "claim_transitions": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, preamble, transition, body, has_colon, category FROM transitioned",
     "claim_headers": sql.OF_CLAIMS + " SELECT doc_id, claim_pos, number, header, body FROM headed",
     "claim_elements": sql.OF_ELEMENTS + " SELECT doc_id, claim_pos, number, path, ord, level, marker, element_type, text FROM elements",
@@ -203,6 +247,10 @@ SELECT doc_id, pos AS claim_pos, -1 AS line_in_claim, 'Title' AS style, 0 AS lef
 UNION ALL SELECT doc_id, pos, 0, 'ClaimRoot', 24, -24, number_given || '. ' || header FROM h
 UNION ALL SELECT doc_id, pos, path + 1, 'Level' || level, 24 + 24 * level, -24, coalesce(marker || ' ', '') || replace(replace(text, '&', '&amp;'), ' < ', ' &lt; ') FROM x""",
     "patent_elements": corpus.PATENTS_SQL + " SELECT doc_id, pos AS claim_pos, path, 0 AS ord, level, marker, element_type, text FROM x",
+    "patent_element_tree": corpus.PATENTS_SQL
+    + corpus.TREE_SQL
+    + " SELECT a.doc_id, a.claim_pos, a.first, a.last, a.depth, a.parent, a.ordinal, a.size, string_agg(b.ordinal::VARCHAR, '.' ORDER BY b.depth) AS path FROM tree a JOIN tree b ON b.doc_id = a.doc_id AND b.claim_pos = a.claim_pos AND a.first BETWEEN b.first AND b.last GROUP BY ALL",
+    "patent_elements_below": corpus.PATENTS_SQL + corpus.TREE_SQL + " SELECT a.doc_id, a.claim_pos, a.first, a.depth, b.first AS below, b.depth AS below_depth FROM tree a JOIN tree b ON b.doc_id = a.doc_id AND b.claim_pos = a.claim_pos AND b.first > a.first AND b.first <= a.last",
     "patent_metadata": """
 SELECT k AS doc_id, 'Order ' || chr(8220) || k || chr(8221) || ' &amp; < part' AS title, CASE WHEN k % 11 = 3 THEN '77' || k END AS application_number, CASE WHEN k % 11 = 3 THEN '2023-04-05' END AS application_date, lpad(k::VARCHAR, 8, '0') AS publication_number, '2024-01-02' AS publication_date,
   lpad(k::VARCHAR, 8, '0') AS patent_number, 'B2' AS kind_code, CASE WHEN k % 11 = 3 THEN 'EP' ELSE 'US' END AS country, CASE WHEN k % 11 <> 3 THEN 'en' END AS language FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)""",

@@ -103,6 +103,12 @@ SELECT d.doc_id, '{"document_type":"RAW_TEXT","claim_count":' || coalesce(claim_
   || coalesce(',"claims":[' || j2.claims || ']', '') || '}' AS json
 FROM docs d LEFT JOIN scores ON scores.doc_id = d.doc_id LEFT JOIN j2 ON j2.doc_id = d.doc_id WHERE d.doc_id NOT IN (SELECT doc_id FROM errors)"""
 
+#: What each claim depends on: f has the first claim of each number, e its parents that the document has, reached all that can be reached over these.
+REACHED = """,
+f AS (SELECT doc_id, number, parent_claims AS parents FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY claim_pos) AS r FROM dependent WHERE number IS NOT NULL) WHERE r = 1),
+e AS (SELECT DISTINCT p.doc_id, p.number, p.parent FROM (SELECT doc_id, number, unnest(parents) AS parent FROM f) p JOIN f ON f.doc_id = p.doc_id AND f.number = p.parent),
+reached AS (SELECT doc_id, number, parent AS ancestor FROM e UNION SELECT r.doc_id, r.number, e.parent FROM reached r JOIN e ON e.doc_id = r.doc_id AND e.number = r.ancestor)"""
+
 RAW = "\nWITH RECURSIVE " + DOCUMENTS_SQL.lstrip()
 CORPUS = RAW + NORMALIZED
 OF_CLAIMS = CORPUS + CLAIMS
