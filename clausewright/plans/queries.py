@@ -12,7 +12,11 @@ from clausewright.operators import quality as Q
 from clausewright.operators import render as R
 from clausewright.operators.normalize import normalize
 from clausewright.plans import corpus, parse, sql
+from clausewright.plans.ledger import Ledger
 from clausewright.sources import documents as S
+from clausewright.sources import export
+from clausewright.sources.archive import ArchiveSource
+from clausewright.staging import new_path, staged
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +160,36 @@ def patent_documents(spark, sf_dir):
     return parse.parse_uspto(corpus.patent_documents(spark, sf_dir)).documents
 
 
+def archived_patents(spark, sf_dir):
+    """The patents written as a few files of many documents, and read from these in ranges of bytes."""
+    path = new_path(spark, "archive")
+    corpus.patent_documents(spark, sf_dir).select("xml").write.text(path)
+    spark.dataSource.register(ArchiveSource)
+    found = staged(spark.read.format("xml_archive").option("splitBytes", 1 << 20).load(path).select(F.struct("path", "begin").alias("doc_id"), "xml"), "archived")
+    parsed = parse.parse_uspto(found)
+    return parsed.documents.join(parsed.metadata, "doc_id").select("publication_number", "title", "application_number", "claim_count", "error_class")
+
+
+def exported_documents(spark, sf_dir):
+    """Each document's JSON or error as it was written by a committed export, and the run's counts by its manifests."""
+    path = new_path(spark, "export")
+    export.export(parse.parse_text(corpus.claim_documents(spark, sf_dir)), path)
+    counts = export.summary(spark, path).select("run", "total_files", "processed", "failed")
+    return export.exported(spark, path).join(F.broadcast(counts), "run").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("result").alias("json"), "error_class", "message", "total_files", "processed", "failed")
+
+
+def incremental_runs(spark, sf_dir):
+    """Four runs over the claim documents, by a ledger: two thirds of them, a fifth with other white space at the end; all as they are; the failed ones
+    once more; and nothing, as they have failed twice. Each run with the documents it took."""
+    docs = corpus.claim_documents(spark, sf_dir).withColumn("fingerprint", F.md5(F.col("text").cast("binary")))
+    earlier = F.concat("text", F.when(F.pmod("doc_id", F.lit(5)) == 0, " \n").otherwise(""))
+    first = docs.where(F.pmod("doc_id", F.lit(3)) != 0).withColumn("text", earlier).withColumn("fingerprint", F.md5(F.col("text").cast("binary")))
+    ledger = Ledger(spark, new_path(spark, "ledger"))
+    for some, retries in ((first, 0), (docs, 0), (docs, 1), (docs, 1)):
+        ledger.run(some, retries)
+    return ledger.entries().select("run", F.col("doc_id").cast("long").alias("doc_id"), "status", "error_class")
+
+
 def markup_text(spark, sf_dir):
     return M.generic_xml_text(corpus.marked_pages(spark, sf_dir), ("page_id",), "html").select("page_id", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -165,10 +199,19 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, markup_text, document_claims)}
 
 _DOCUMENTS_OUT = "SELECT d.doc_id, 'RAW_TEXT' AS document_type, false AS ocr_used, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
+_METADATA = """
+SELECT k AS doc_id, 'Order ' || chr(8220) || k || chr(8221) || ' &amp; < part' AS title, CASE WHEN k % 11 = 3 THEN '77' || k END AS application_number, CASE WHEN k % 11 = 3 THEN '2023-04-05' END AS application_date, lpad(k::VARCHAR, 8, '0') AS publication_number, '2024-01-02' AS publication_date,
+  lpad(k::VARCHAR, 8, '0') AS patent_number, 'B2' AS kind_code, CASE WHEN k % 11 = 3 THEN 'EP' ELSE 'US' END AS country, CASE WHEN k % 11 <> 3 THEN 'en' END AS language FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)"""
+_PATENTS = """
+WITH d AS (SELECT l_orderkey AS doc_id, l_orderkey % 11 AS k, count(*) AS n FROM lineitem GROUP BY 1),
+e AS (SELECT *, CASE WHEN k = 5 THEN 'InvalidXml' WHEN k = 4 AND n > 1 THEN 'DuplicateClaimNumber' WHEN k = 7 THEN 'InvalidClaimNumber' WHEN k = 6 AND n > 1 THEN 'BrokenReference' END AS error_class,
+  CASE WHEN k = 5 THEN 'Invalid XML: Missing <claims> section.' WHEN k = 4 AND n > 1 THEN 'Duplicate claim number detected: 1' WHEN k = 7 THEN 'Missing or invalid claim number.' WHEN k = 6 AND n > 1 THEN 'Broken reference in claim 2: Parent claim 99 does not exist.' END AS message FROM d)
+SELECT doc_id, 'USPTO_XML' AS document_type, false AS ocr_used, CASE WHEN error_class IS NULL THEN n END AS claim_count, CASE WHEN error_class IS NULL THEN n - (n // 3) - ((n + 1) // 3) END AS independent_count, CASE WHEN error_class IS NULL THEN 100.0 END::DOUBLE AS confidence, CASE WHEN error_class IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM e"""
+
 ORACLES = {
     "claim_types": sql.OF_CLAIMS + " SELECT CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, category, count(*) AS claims, count(DISTINCT doc_id) AS documents FROM transitioned GROUP BY 1, 2",
     "normalized_claims_text": sql.CORPUS + " SELECT doc_id, text, ops FROM normalized",
@@ -251,14 +294,19 @@ UNION ALL SELECT doc_id, pos, path + 1, 'Level' || level, 24 + 24 * level, -24,
     + corpus.TREE_SQL
     + " SELECT a.doc_id, a.claim_pos, a.first, a.last, a.depth, a.parent, a.ordinal, a.size, string_agg(b.ordinal::VARCHAR, '.' ORDER BY b.depth) AS path FROM tree a JOIN tree b ON b.doc_id = a.doc_id AND b.claim_pos = a.claim_pos AND a.first BETWEEN b.first AND b.last GROUP BY ALL",
     "patent_elements_below": corpus.PATENTS_SQL + corpus.TREE_SQL + " SELECT a.doc_id, a.claim_pos, a.first, a.depth, b.first AS below, b.depth AS below_depth FROM tree a JOIN tree b ON b.doc_id = a.doc_id AND b.claim_pos = a.claim_pos AND b.first > a.first AND b.first <= a.last",
-    "patent_metadata": """
-SELECT k AS doc_id, 'Order ' || chr(8220) || k || chr(8221) || ' &amp; < part' AS title, CASE WHEN k % 11 = 3 THEN '77' || k END AS application_number, CASE WHEN k % 11 = 3 THEN '2023-04-05' END AS application_date, lpad(k::VARCHAR, 8, '0') AS publication_number, '2024-01-02' AS publication_date,
-  lpad(k::VARCHAR, 8, '0') AS patent_number, 'B2' AS kind_code, CASE WHEN k % 11 = 3 THEN 'EP' ELSE 'US' END AS country, CASE WHEN k % 11 <> 3 THEN 'en' END AS language FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem)""",
-    "patent_documents": """
-WITH d AS (SELECT l_orderkey AS doc_id, l_orderkey % 11 AS k, count(*) AS n FROM lineitem GROUP BY 1),
-e AS (SELECT *, CASE WHEN k = 5 THEN 'InvalidXml' WHEN k = 4 AND n > 1 THEN 'DuplicateClaimNumber' WHEN k = 7 THEN 'InvalidClaimNumber' WHEN k = 6 AND n > 1 THEN 'BrokenReference' END AS error_class,
-  CASE WHEN k = 5 THEN 'Invalid XML: Missing <claims> section.' WHEN k = 4 AND n > 1 THEN 'Duplicate claim number detected: 1' WHEN k = 7 THEN 'Missing or invalid claim number.' WHEN k = 6 AND n > 1 THEN 'Broken reference in claim 2: Parent claim 99 does not exist.' END AS message FROM d)
-SELECT doc_id, 'USPTO_XML' AS document_type, false AS ocr_used, CASE WHEN error_class IS NULL THEN n END AS claim_count, CASE WHEN error_class IS NULL THEN n - (n // 3) - ((n + 1) // 3) END AS independent_count, CASE WHEN error_class IS NULL THEN 100.0 END::DOUBLE AS confidence, CASE WHEN error_class IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM e""",
+    "archived_patents": "SELECT publication_number, title, application_number, claim_count, error_class FROM ({}) m JOIN ({}) d ON d.doc_id = m.doc_id".format(_METADATA, _PATENTS),
+    "exported_documents": sql.OF_ALL
+    + sql.JSON.replace("SELECT d.doc_id, '{", ", good AS (SELECT d.doc_id, '{", 1)
+    + """),
+told AS (SELECT (SELECT count(*) FROM docs) AS total_files, (SELECT count(*) FROM errors) AS failed)
+SELECT d.doc_id, good.json, error_class, message, total_files::BIGINT AS total_files, (total_files - failed)::BIGINT AS processed, failed::BIGINT AS failed FROM docs d LEFT JOIN good ON good.doc_id = d.doc_id LEFT JOIN errors ON errors.doc_id = d.doc_id, told""",
+    "incremental_runs": sql.OF_ALL
+    + """,
+k AS (SELECT d.doc_id, error_class, (d.doc_id % 3 + 3) % 3 AS a, (d.doc_id % 5 + 5) % 5 AS b FROM docs d LEFT JOIN errors e ON e.doc_id = d.doc_id),
+runs AS (SELECT 1::BIGINT AS run, * FROM k WHERE a <> 0 UNION ALL SELECT 2, * FROM k WHERE a = 0 OR b = 0 UNION ALL SELECT 3, * FROM k WHERE error_class IS NOT NULL)
+SELECT run, doc_id, CASE WHEN error_class IS NULL THEN 'processed' ELSE 'failed' END AS status, error_class FROM runs""",
+    "patent_metadata": _METADATA,
+    "patent_documents": _PATENTS,
     "markup_text": r"""
 WITH t AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<!--.*?-->|<[?].*?[?]>|<[^>]+>|[^<]+'), lambda x: CASE WHEN starts_with(x, '<') THEN '' ELSE replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&amp;', '&') END), lambda x: x <> '') AS parts FROM pages),
 j AS (SELECT page_id, CASE WHEN page_id % 4 = 1 THEN replace('1. A page “#” &lt; shown   tiny' || chr(10) || '1. A page “#” &lt; shown   tiny' || chr(10) || '1. A page “#” &lt; shown' || chr(10) || 'another claim of page #', '#', page_id::VARCHAR)
