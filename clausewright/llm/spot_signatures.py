@@ -180,40 +180,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def similar(found: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints to (members, pairs): doc_id with class_id, and pairs of classes (u, v, likeness) at ``threshold`` or more.
+    """Fingerprints to (members, pairs): doc_id with class_key, and pairs of classes (u, v, likeness) at ``threshold`` or more.
 
-    Equal fingerprints form a class, named by its smallest doc_id. Classes are compared in partitions by set
-    length: partition p holds lengths from t^-p to t^-(p+1), and a set can be alike only to sets of its own
-    partition and the next. Within these, two sets can only be alike if they share one of the first
+    Equal fingerprints form a class, named by a 128-bit hash of the set, so that documents with the same id and different sets
+    are in different ones. Classes are compared in partitions by set length: partition p holds lengths from t^-p to t^-(p+1), and a set can
+    be alike only to sets of its own partition and the next. Within these, two sets can only be alike if they share one of the first
     (1 - t) * length + 1 signatures, the rarest first; the pairs that do are pruned by length and then measured exactly.
-    Empty fingerprints are alike to nothing but each other.
+    Empty fingerprints are alike to nothing but each other. Rows without a doc_id are left out.
     """
-    keyed = found.where("doc_id is not null").withColumn("key", F.xxhash64("signatures"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    members = staged(keyed.join(first, "key").select("doc_id", "class_id"), "classes")
-    classes = staged(keyed.join(members.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").where(F.size("signatures") > 0).dropDuplicates(["doc_id"]).select("doc_id", "signatures"), "sets")
-    each = classes.select("doc_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+    name = F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (F.xxhash64("signatures"), F.xxhash64(F.lit("more"), "signatures"))))
+    keyed = found.where("doc_id is not null").select("doc_id", name.alias("class_key"), "signatures")
+    members = keyed.select("doc_id", "class_key")
+    classes = staged(keyed.where(F.size("signatures") > 0).select("class_key", "signatures").dropDuplicates(["class_key"]), "sets")
+    each = classes.select("class_key", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
     rarity = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(rarity, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
+    ranked = each.join(rarity, "s").groupBy("class_key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
     keep = F.floor(F.col("n") * (1 - threshold) + 1e-9).cast("int") + 1
     alone = F.col("n") - F.size("r")  # signatures that no other set has come first of all
     heads = ranked.where(keep > alone).withColumn("p", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int"))
-    heads = heads.select("doc_id", "n", "p", F.explode(F.slice("r", F.lit(1), keep - alone)).alias("x")).select("doc_id", "n", "p", "x.s")
-    u = heads.select(F.col("doc_id").alias("u"), F.col("n").alias("n_u"), "s", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("p"))
-    v = heads.select(F.col("doc_id").alias("v"), F.col("n").alias("n_v"), "s", "p")
+    heads = heads.select("class_key", "n", "p", F.explode(F.slice("r", F.lit(1), keep - alone)).alias("x")).select("class_key", "n", "p", "x.s")
+    u = heads.select(F.col("class_key").alias("u"), F.col("n").alias("n_u"), "s", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("p"))
+    v = heads.select(F.col("class_key").alias("v"), F.col("n").alias("n_v"), "s", "p")
     near = u.join(v, ["s", "p"]).where((F.col("u") != F.col("v")) & (F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v")))
     near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    a, b = (classes.select(F.col("doc_id").alias(k), F.col("signatures").alias(f"s_{k}")) for k in ("u", "v"))
+    a, b = (classes.select(F.col("class_key").alias(k), F.col("signatures").alias(f"s_{k}")) for k in ("u", "v"))
     both = F.size(F.array_intersect("s_u", "s_v"))
     measured = near.join(a, "u").join(b, "v").select("u", "v", (both / (F.size("s_u") + F.size("s_v") - both)).alias("likeness"))
     return members, measured.where(F.col("likeness") >= threshold - 1e-12)
 
 
 def links(found: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Fingerprints to one row per document with a doc_id: doc_id, class_id, n_links (other classes that are alike)."""
-    members, pairs = similar(found, threshold)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """Fingerprints to one row per row with a doc_id: doc_id, class_id (the smallest doc_id of its class), class_key (which tells classes
+    apart, also those of documents that share an id), n_links (other classes that are alike)."""
+    members, pairs = similar(staged(found, "fingerprints"), threshold)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("class_key")).groupBy("class_key").agg(F.count("*").alias("n_links"))
+    told = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id")).join(ends, "class_key", "left")
+    return members.join(told, "class_key").select("doc_id", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def spot_signature_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,12 +256,27 @@ def test_spot_signatures_pruned_jaccard(spark):
     first = {}
     for i in sorted(sets):
         first.setdefault(sets[i], i)
-    assert {r.doc_id: r.class_id for r in members.collect()} == {i: first[s] for i, s in sets.items()}
+    keys = {r.doc_id: r.class_key for r in members.collect()}
+    assert {(keys[i], s) for i, s in sets.items()} == {(keys[first[s]], s) for s in first} and len(set(keys.values())) == len(first)
     reps = sorted(first.values())
     wanted = {(a, b) for a in reps for b in reps if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    assert {(r.u, r.v) for r in pairs.collect()} == wanted
-    counts = {r.doc_id: r.n_links for r in spot_signatures.links(found).collect()}
-    assert counts == {i: sum(first[s] in pair for pair in wanted) for i, s in sets.items()}
+    assert {(r.u, r.v) for r in pairs.collect()} == {tuple(sorted((keys[a], keys[b]))) for a, b in wanted}
+    counts = {r.doc_id: (r.class_id, r.n_links) for r in spot_signatures.links(found).collect()}
+    assert counts == {i: (first[s], sum(first[s] in pair for pair in wanted)) for i, s in sets.items()}
+
+
+def test_sets_that_share_an_id_are_classes_of_their_own(spark):
+    """Two different texts under one id, each with a near copy; null ids, empty texts, a clashing column, and no rows at all."""
+    rng = random.Random(11)
+    one, two = (" ".join("the " + " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3)) for _ in range(30)) for _ in range(2))
+    rows = [(1, one), (1, two), (4, one + " the tail end"), (5, two + " the tail end"), (6, ""), (7, None), (None, one), (8, one), (8, one)]
+    found = spot_signatures.fingerprints(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, signatures string"))
+    _, pairs = spot_signatures.similar(found, 0.8)
+    assert pairs.count() == 2
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in spot_signatures.links(found).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (4, 4, 1), (5, 5, 1), (6, 6, 0), (7, 6, 0), (8, 1, 1), (8, 1, 1)]
+    assert len({r.class_key for r in spot_signatures.links(found).collect()}) == 5
+    assert spot_signatures.links(found.where("false")).count() == 0
 
 
 def test_held_out_documents_teach_nothing(spark):
