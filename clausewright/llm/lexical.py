@@ -19,7 +19,9 @@ from clausewright.llm.staging import staged
 #: Documents returned for each item.
 TOP = 20
 #: Bytes of text and documents of one shard; a longer text is a shard of its own. Shards of one file, and so held by a reader at a time.
-SHARD_BYTES, SHARD_DOCS, SHARDS_OF_FILE = 4 << 20, 1 << 14, 16
+SHARD_BYTES, SHARD_DOCS, SHARDS_OF_FILE = 2 << 20, 1 << 14, 16
+#: Rows taken together in Python, so that memory follows a few texts and not a whole Arrow batch.
+SLICE = 256
 #: Items that are searched for together, and bytes of their texts.
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 16 << 20
 #: What isn't part of a term: ASCII but letters and digits. Letters beyond ASCII are part of one.
@@ -83,8 +85,9 @@ SHARD = "ids array<long>, terms array<long>, ends array<int>, docs array<int>, i
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, documents, terms = WordHasher(_BLANK), 0, 0
     for batch in batches:
-        _, sizes = terms_of(batch.column(0).to_pylist(), hasher)
-        documents, terms = documents + int((sizes > 0).sum()), terms + int(sizes.sum())
+        for at in range(0, batch.num_rows, SLICE):
+            _, sizes = terms_of(batch.column(0).slice(at, SLICE).to_pylist(), hasher)
+            documents, terms = documents + int((sizes > 0).sum()), terms + int(sizes.sum())
     yield pa.RecordBatch.from_arrays([pa.array([documents], pa.int64()), pa.array([terms], pa.int64())], ["documents", "terms"])
 
 
@@ -98,8 +101,8 @@ def _shards(documents: int, terms: int):
             return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64() if k < 2 else pa.int32())) for k, x in enumerate(columns)], ["ids", "terms", "ends", "docs", "impacts"])
 
         ids, texts, size = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if ids and (len(ids) >= SHARD_DOCS or size + len(text or "") > SHARD_BYTES):
                     yield made(ids, texts)
                     ids, texts, size = [], [], 0
