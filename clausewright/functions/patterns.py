@@ -31,7 +31,6 @@ CATEGORIES = {
 }
 ENUMERATED = r"(?U)\([a-z]\)|\([A-Z]\)|\(\d+\)|\(i{1,3}\)|\(iv\)|\(vi{0,3}\)"
 MARKER = r"(?iuU)\((?:[a-z]|i{1,3}|iv|vi{0,3}|ix|x|\d+)\)"
-STRUCTURAL_SEMICOLON = r"(?<=;)(?![^(]*\))"
 CONFIDENCE_WEIGHTS = {
     "claim_detection": 0.25,
     "dependency": 0.20,

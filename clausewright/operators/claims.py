@@ -101,8 +101,31 @@ def enumerated(text: Column) -> Column:
     return text.contains("(") & text.rlike(P.ENUMERATED)
 
 
+def _after_brackets(text: Column) -> Column:
+    """array<struct<held, free>>: the text between opening brackets, each up to its last closing one, and what follows that. A semicolon
+    is structural if it stands in the latter: no bracket closes after it before one opens."""
+    return F.transform(F.split(text, r"\(", -1), lambda x: F.struct(F.regexp_extract(x, r"(?s)^.*\)", 0).alias("held"), F.regexp_replace(x, r"(?s)^.*\)", "").alias("free")))
+
+
 def structured(text: Column) -> Column:
-    return text.contains(";") & text.rlike(P.STRUCTURAL_SEMICOLON)
+    """Whether a semicolon of the text is structural."""
+    return F.when(text.contains(";"), F.exists(_after_brackets(text), lambda x: x["free"].contains(";"))).otherwise(text.isNull() & F.lit(None))
+
+
+def structural_pieces(text: Column) -> Column:
+    """The text cut after each structural semicolon; a last piece follows it, if an empty one. Linear in the text: a mark is put in, which
+    the text is kept from holding itself, and cut at."""
+    mark, kept = "\uffff", {"\ufffe": "\ufffe+", "\uffff": "\ufffe-"}
+    for char, instead in kept.items():
+        text = F.replace(text, F.lit(char), F.lit(instead))
+    marked = F.transform(_after_brackets(text), lambda x: F.concat(x["held"], F.replace(x["free"], F.lit(";"), F.lit(f";{mark}"))))
+
+    def back(x: Column) -> Column:
+        for char, instead in reversed(kept.items()):
+            x = F.replace(x, F.lit(instead), F.lit(char))
+        return x
+
+    return F.transform(F.split(F.array_join(marked, "("), mark, -1), back)
 
 
 def with_header(claims: DataFrame) -> DataFrame:
@@ -113,25 +136,29 @@ def with_header(claims: DataFrame) -> DataFrame:
     out = out.withColumn("whole", F.when(F.col("suggested") != "", strip(F.concat_ws(" ", "suggested", "body"))).otherwise(F.col("body")))
     body, whole = F.col("body"), F.col("whole")
     keeps = (F.col("suggested") != "") & (F.col("has_colon") | body.contains(":") | structured(body) | enumerated(body))
+    # each is looked for once and where it matters
+    out = out.withColumn("keeps", keeps).withColumn("colon", whole.contains(":"))
+    asked = ~F.coalesce("keeps", F.lit(False)) & ~F.coalesce("colon", F.lit(False))
+    out = out.withColumn("semicolons", F.when(asked, structured(whole))).withColumn("markers", F.when(asked, enumerated(whole)))
+    keeps, colon, semicolons, markers = (F.col(c) for c in ("keeps", "colon", "semicolons", "markers"))
     at = F.instr(whole, F.regexp_extract(whole, P.MARKER, 0))
     head, tail = first_split(whole, ":")
-    marked = ~structured(whole) & enumerated(whole)
     header = (
         F.when(keeps, F.col("suggested"))
-        .when(whole.contains(":"), F.concat(strip(head), F.lit(":")))
-        .when(~structured(whole) & ~enumerated(whole), whole)
-        .when(marked, F.when(at > 1, strip(F.substr(whole, F.lit(1), F.greatest(at - 1, F.lit(0))))))
+        .when(colon, F.concat(strip(head), F.lit(":")))
+        .when(~semicolons & ~markers, whole)
+        .when(~semicolons & markers, F.when(at > 1, strip(F.substr(whole, F.lit(1), F.greatest(at - 1, F.lit(0))))))
         .otherwise("")
     )
     rest = (
         F.when(keeps, body)
-        .when(whole.contains(":"), strip(tail))
-        .when(~structured(whole) & ~enumerated(whole), F.lit(""))
-        .when(marked, strip(F.substr(whole, F.greatest(at, F.lit(1)))))
+        .when(colon, strip(tail))
+        .when(~semicolons & ~markers, F.lit(""))
+        .when(~semicolons & markers, strip(F.substr(whole, F.greatest(at, F.lit(1)))))
         .otherwise(whole)
     )
     out = out.withColumn("header", header).withColumn("new_body", rest)
-    return out.withColumn("unbound_header", F.col("header").isNull()).withColumn("body", F.col("new_body")).drop("new_body", "suggested", "whole")
+    return out.withColumn("unbound_header", F.col("header").isNull()).withColumn("body", F.col("new_body")).drop("new_body", "suggested", "whole", "keeps", "colon", "semicolons", "markers")
 
 
 def _element(order: Column, level: Column, kind: Column, text: Column, marker: Column | None = None) -> Column:
@@ -157,30 +184,22 @@ def enumeration_items(body: Column) -> Column:
 
 
 def semicolon_items(body: Column) -> Column:
-    """array<struct<t, o>>: pieces after structural semicolons; a leading "and" or "or" goes back to the piece before."""
-    pieces = F.transform(F.split(body, P.STRUCTURAL_SEMICOLON, -1), lambda x, i: F.struct(strip(x).alias("t"), i.alias("o")))
-    start = F.array().cast("array<struct<t:string,o:int>>")
-
-    def step(done: Column, piece: Column) -> Column:
-        word = F.regexp_extract(piece["t"], r"(?iU)^(and|or)\s+", 1)
-        joins = (word != "") & (F.size(done) > 0)
-        last = F.try_element_at(done, F.lit(-1))
-        lengthened = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.concat(last["t"], F.lit(" "), word).alias("t"), last["o"].alias("o"))))
-        rest = F.when(joins, strip(F.substr(piece["t"], F.length(word) + 1))).otherwise(piece["t"])
-        base = F.when(joins, lengthened).otherwise(done)
-        return F.when(rest == "", base).otherwise(F.concat(base, F.array(F.struct(rest.alias("t"), piece["o"].alias("o")))))
-
-    return F.aggregate(pieces, start, step)
+    """array<struct<t, o>>: pieces after structural semicolons that aren't blank; a leading "and" or "or" goes back to the piece before."""
+    pieces = F.filter(F.transform(structural_pieces(body), lambda x, i: F.struct(strip(x).alias("t"), i.alias("o"))), lambda x: x["t"] != "")
+    words = F.transform(pieces, lambda x, i: F.when(i > 0, F.regexp_extract(x["t"], r"(?iU)^(and|or)\s+", 1)).otherwise(""))
+    rest = F.zip_with(pieces, words, lambda x, w: F.struct(F.when(w != "", strip(F.substr(x["t"], F.length(w) + 1))).otherwise(x["t"]).alias("t"), x["o"].alias("o")))
+    following = F.slice(F.concat(words, F.array(F.lit(""))), F.lit(2), F.size(words))
+    return F.zip_with(rest, following, lambda x, w: F.struct(F.when(w != "", F.concat(x["t"], F.lit(" "), w)).otherwise(x["t"]).alias("t"), x["o"].alias("o")))
 
 
 def nested_items(items: Column) -> Column:
-    """Elements of semicolon items: one with a colon opens a level for all that follow, and its rest is the first below."""
+    """Elements of semicolon items: one with a colon opens a level for all that follow, and its rest is the first below. The items up to
+    each such one, and it, have one level."""
 
     def opens(text: Column) -> Column:
         return text.rlike(r"(?U):(\s+|\z)")
 
-    def both(x: Column, i: Column) -> Column:
-        level = F.size(F.filter(F.slice(items, F.lit(1), i), lambda z: opens(z["t"]))) + 1
+    def both(x: Column, level: Column) -> Column:
         head, tail = first_split(x["t"], r"(?U)(?<=:)(?=\s|\z)")
         below = strip(F.coalesce(tail, F.lit("")))
         plain = F.array(_element(x["o"], level, _kind(x["t"]), x["t"]))
@@ -188,23 +207,28 @@ def nested_items(items: Column) -> Column:
         pair = F.when(below == "", F.array(parent)).otherwise(F.array(parent, _element(x["o"], level + 1, F.lit("BODY_ELEMENT"), below)))
         return F.when(opens(x["t"]), pair).otherwise(plain)
 
-    return F.flatten(F.transform(items, both))
+    ends = F.concat(F.array_compact(F.transform(items, lambda x, i: F.when(opens(x["t"]), i + 1))), F.array(F.size(items)))
+    begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    spans = F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("b"), e.alias("e")))
+    parts = F.transform(spans, lambda s, k: F.transform(F.slice(items, s["b"] + 1, s["e"] - s["b"]), lambda x: both(x, k + 1)))
+    return F.flatten(F.flatten(parts))
 
 
 def with_elements(claims: DataFrame) -> DataFrame:
     """Adds elements, array<struct<ord, level, marker, element_type, text>>: enumerations first, else semicolon items if
     there are several, else the body as one; a blank body has none."""
     body = F.col("body")
-    out = claims.withColumn("items", F.when(structured(body) & ~enumerated(body), semicolon_items(body)))
+    out = claims.withColumn("marked", enumerated(body))
+    out = out.withColumn("items", F.when(~F.col("marked") & structured(body), semicolon_items(body)))
     single = F.array(_element(F.lit(0), F.lit(1), _kind(strip(body)), strip(body)))
     several = F.coalesce(F.size("items") > 1, F.lit(False))
     elements = (
         F.when(body.isNull() | (strip(body) == ""), F.array().cast(f"array<{ELEMENT}>"))
-        .when(enumerated(body), enumeration_items(body))
+        .when(F.col("marked"), enumeration_items(body))
         .when(several, nested_items(F.col("items")))
         .otherwise(single)
     )
-    return out.withColumn("elements", elements).drop("items")
+    return out.withColumn("elements", elements).drop("items", "marked")
 
 
 def parse_split(split: DataFrame) -> DataFrame:

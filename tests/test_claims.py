@@ -1,6 +1,10 @@
 """The text path against stated results."""
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from clausewright.operators import claims as C
 from clausewright.operators import quality as Q
@@ -156,3 +160,33 @@ def test_a_document_is_read_and_shuffled_once(spark):
     for table in (P.parse_text(docs).documents, P.to_json(P.parse_text(docs)), P.parse_uspto(docs.withColumnRenamed("text", "xml")).documents):
         plan = table._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Scan ") == 1 and plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+#: Fixed value: where a text is cut, as one pattern, whose time grows with the square of the semicolons.
+STRUCTURAL = r"(?<=;)(?![^(]*\))"
+
+
+def test_texts_are_cut_after_structural_semicolons(spark):
+    rng, parts = random.Random(1), ["a", "b ", ";", " ; ", "(", ")", "and ", " or ", "\n", ":", "\uffff", "\ufffe", "\ufffe+", "-", "wherein", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", C.structural_pieces(F.col("t")).alias("p"), C.structured(F.col("t")).alias("s"), F.col("t").rlike(STRUCTURAL).alias("any"), F.split("t", STRUCTURAL, -1).alias("q")).collect():
+        assert r.p == r.q and bool(r.s) == r["any"]
+
+
+def test_items_and_levels_of_a_long_claim_take_linear_time(spark):
+    def took(n):
+        body = "; ".join(f"{'and ' if i % 7 == 1 else ''}part {i}{' including: x' if i % 50 == 0 else ''}" for i in range(n))
+        began = time.time()
+        got = C.parse_claims(spark.createDataFrame([(1, "1. A thing comprising: " + body)], "doc_id long, text string")).select("elements").first().elements
+        assert len(got) == n + n // 50 and [e.level for e in got[:3]] == [1, 2, 2] and got[-1].level == 1 + n // 50
+        assert got[0].text == "part 0 including:" and got[2].text == "part 1;"
+        return time.time() - began
+
+    took(1000)
+    assert took(64_000) < 4 * max(took(16_000), 1.0)
+
+
+def test_a_conjunction_goes_back_to_the_piece_before(spark):
+    rows = spark.createDataFrame([(1, "1. A thing comprising: and a; ; or b; and ; and c; and")], "doc_id long, text string")
+    assert [(e.ord, e.text) for e in C.parse_claims(rows).first().elements] == [(0, "and a;"), (1, "; or"), (2, "b; and"), (3, "; and"), (4, "c;"), (5, "and")]
