@@ -17,6 +17,7 @@ from clausewright.sources import documents as S
 from clausewright.sources import export
 from clausewright.sources.archive import ArchiveSource
 from clausewright.staging import new_path, staged
+from clausewright.streaming import versions as V
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +191,35 @@ def incremental_runs(spark, sf_dir):
     return ledger.entries().select("run", F.col("doc_id").cast("long").alias("doc_id"), "status", "error_class")
 
 
+def _event_documents(spark, sf_dir):
+    """Events as versions of claim documents, one document for each user: the text has one to four claims."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", F.col("user_id").alias("doc_id"), F.col("event_type").alias("source"))
+    n = (F.col("event_id") % 4 + 1).cast("int")
+    return events.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(i.cast("string"), F.lit(". A "), F.col("source"), F.lit("."))), "\n"))
+
+
+#: Parts in which the versions arrive, so that most come late to some other.
+ARRIVALS = 3
+
+
+def document_versions(spark, sf_dir):
+    """The changes that a stream tells of versions that arrive in parts, each taken by a run of its own that goes on from the last one's state."""
+    path = new_path(spark, "versions")
+    docs = _event_documents(spark, sf_dir)
+    for k in range(ARRIVALS):
+        docs.where(F.col("event_id") % ARRIVALS == k).drop("event_id").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(docs.drop("event_id").schema).parquet(f"{path}/in")
+        with V.state_store(spark):
+            found = V.versions(stream, "10000 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+            found.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(V.OUT).parquet(f"{path}/out").select(F.col("doc_id").cast("long").alias("doc_id"), "kind", F.col("version").cast("timestamp_ntz").alias("version"), "claim_count", "claims_delta", "seen", "passed")
+
+
+def source_sessions(spark, sf_dir):
+    found = V.sessions(_event_documents(spark, sf_dir), gap="20 minutes")
+    return found.select("source", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "documents", "chars", "claims")
+
+
 def markup_text(spark, sf_dir):
     return M.generic_xml_text(corpus.marked_pages(spark, sf_dir), ("page_id",), "html").select("page_id", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -199,7 +229,7 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, document_versions, source_sessions, markup_text, document_claims)}
 
 _DOCUMENTS_OUT = "SELECT d.doc_id, 'RAW_TEXT' AS document_type, false AS ocr_used, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
@@ -305,6 +335,17 @@ SELECT d.doc_id, good.json, error_class, message, total_files::BIGINT AS total_f
 k AS (SELECT d.doc_id, error_class, (d.doc_id % 3 + 3) % 3 AS a, (d.doc_id % 5 + 5) % 5 AS b FROM docs d LEFT JOIN errors e ON e.doc_id = d.doc_id),
 runs AS (SELECT 1::BIGINT AS run, * FROM k WHERE a <> 0 UNION ALL SELECT 2, * FROM k WHERE a = 0 OR b = 0 UNION ALL SELECT 3, * FROM k WHERE error_class IS NOT NULL)
 SELECT run, doc_id, CASE WHEN error_class IS NULL THEN 'processed' ELSE 'failed' END AS status, error_class FROM runs""",
+    "document_versions": """
+WITH e AS (SELECT user_id AS doc_id, ts, event_id % 3 AS part, event_id % 4 + 1 AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT doc_id, part, max(ts) AS version, arg_max(n, ts) AS claim_count, count(*) AS rows FROM e GROUP BY 1, 2),
+b AS (SELECT *, max(version) OVER w AS before, sum(rows) OVER (PARTITION BY doc_id ORDER BY part) AS seen FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, lag(claim_count) OVER (PARTITION BY doc_id ORDER BY part) AS was, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS told FROM b WHERE before IS NULL OR version > before)
+SELECT doc_id, 'changed' AS kind, version, claim_count, claim_count - coalesce(was, 0) AS claims_delta, seen::BIGINT AS seen, (seen - told)::BIGINT AS passed FROM c""",
+    "source_sessions": """
+WITH e AS (SELECT event_type AS source, ts, event_id % 4 + 1 AS n, (event_id % 4 + 1) * (length(event_type) + 7) - 1 AS chars FROM events),
+g AS (SELECT *, ts > lag(ts) OVER w + INTERVAL 20 MINUTE AS apart FROM e WINDOW w AS (PARTITION BY source ORDER BY ts)),
+s AS (SELECT *, sum(coalesce(apart, true)::INT) OVER (PARTITION BY source ORDER BY ts) AS k FROM g)
+SELECT source, min(ts) AS session_start, max(ts) + INTERVAL 20 MINUTE AS session_end, count(*) AS documents, sum(chars)::BIGINT AS chars, sum(n)::BIGINT AS claims FROM s GROUP BY source, k""",
     "patent_metadata": _METADATA,
     "patent_documents": _PATENTS,
     "markup_text": r"""

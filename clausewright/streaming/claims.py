@@ -14,8 +14,8 @@ def stream_claims(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
     return C.parse_claims(normalize(docs), keys)
 
 
-def arrivals(docs: DataFrame, at: str = "ts", late: str = "10 minutes", length: str = "1 hour") -> DataFrame:
-    """Documents, characters and claims by tumbling window; rows later than the watermark are left out."""
+def arrivals(docs: DataFrame, at: str = "ts", late: str = "10 minutes", length: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Documents, characters and claims by tumbling window, or by one that slides; rows later than the watermark are left out."""
     counted = normalize(docs).withColumn("claim_count", F.size(C.raw_claims(C.claims_section(F.col("text")))))
-    by = counted.withWatermark(at, late).groupBy(F.window(at, length))
+    by = counted.withWatermark(at, late).groupBy(F.window(at, length, slide))
     return by.agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), F.sum("claim_count").alias("claims")).select(F.col("window.start").alias("window_start"), "documents", "chars", "claims")
