@@ -10,6 +10,7 @@ from clausewright.operators import graph as G
 from clausewright.operators import markup as M
 from clausewright.operators import quality as Q
 from clausewright.operators import render as R
+from clausewright.operators import sketches as K
 from clausewright.operators.normalize import normalize
 from clausewright.plans import corpus, parse, sql
 from clausewright.plans.ledger import Ledger
@@ -198,6 +199,31 @@ def _event_documents(spark, sf_dir):
     return events.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(i.cast("string"), F.lit(". A "), F.col("source"), F.lit("."))), "\n"))
 
 
+def claim_sketches(spark, sf_dir):
+    """Statistics of claims by category and type that three runs stored and that were merged, held against exact ones: distinct headers, and the
+    median and ninth decile of their lengths, which must be within four standard errors of the counts or ranks."""
+    claims = staged(_claims(spark, sf_dir).select("doc_id", "category", "claim_type", "header").where("header is not null"), "headers")
+    by, length = ("category", "claim_type"), F.length("header")
+    path = new_path(spark, "sketches")
+    for k in range(3):
+        K.sketched(claims.where(F.pmod("doc_id", F.lit(3)) == k), by, F.col("header"), length).write.mode("append").parquet(path)
+    told = K.estimates(K.merged(spark.read.parquet(path), by))
+    exact = claims.cube(*by).agg(F.grouping_id().cast("long").alias("all_of"), F.countDistinct("header").alias("headers"))
+    near = F.abs(F.col("distinct_count") - F.col("headers")) <= F.greatest(F.lit(1.0), 4 * K.HLL_ERROR * F.col("headers"))
+    # each length's claims once; a cell's are those of its values
+    lengths = claims.groupBy(F.col("category").alias("c"), F.col("claim_type").alias("t"), length.alias("length")).agg(F.count("*").alias("times"))
+    held = ((F.col("all_of").bitwiseAND(2) > 0) | F.col("c").eqNullSafe(F.col("category"))) & ((F.col("all_of").bitwiseAND(1) > 0) | F.col("t").eqNullSafe(F.col("claim_type")))
+    counts = [F.sum(F.when(F.expr(f"length {sign} {q}"), F.col("times")).otherwise(0)).alias(f"{name}_{q}") for q in ("q50", "q90") for sign, name in (("<", "below"), ("<=", "upto"))]
+    ranks = lengths.join(F.broadcast(told), held).groupBy(*by, "all_of", "n", "distinct_count").agg(*counts)
+    both = ranks.join(exact.withColumnsRenamed({c: f"{c}_" for c in (*by, "all_of")}), (F.col("all_of") == F.col("all_of_")) & F.col("category").eqNullSafe(F.col("category_")) & F.col("claim_type").eqNullSafe(F.col("claim_type_")))
+
+    def ranked(q: float, name: str):
+        below, upto = (F.col(f"{side}_{name}") / F.col("n") for side in ("below", "upto"))
+        return (below - 4 * K.KLL_ERROR <= q) & (upto + 4 * K.KLL_ERROR >= q)
+
+    return both.select(*by, "all_of", "n", "headers", near.alias("distinct_near"), ranked(0.5, "q50").alias("q50_near"), ranked(0.9, "q90").alias("q90_near"))
+
+
 #: Parts in which the versions arrive, so that most come late to some other.
 ARRIVALS = 3
 
@@ -229,7 +255,7 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, document_versions, source_sessions, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, claim_sketches, document_versions, source_sessions, markup_text, document_claims)}
 
 _DOCUMENTS_OUT = "SELECT d.doc_id, 'RAW_TEXT' AS document_type, false AS ocr_used, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
@@ -335,6 +361,8 @@ SELECT d.doc_id, good.json, error_class, message, total_files::BIGINT AS total_f
 k AS (SELECT d.doc_id, error_class, (d.doc_id % 3 + 3) % 3 AS a, (d.doc_id % 5 + 5) % 5 AS b FROM docs d LEFT JOIN errors e ON e.doc_id = d.doc_id),
 runs AS (SELECT 1::BIGINT AS run, * FROM k WHERE a <> 0 UNION ALL SELECT 2, * FROM k WHERE a = 0 OR b = 0 UNION ALL SELECT 3, * FROM k WHERE error_class IS NOT NULL)
 SELECT run, doc_id, CASE WHEN error_class IS NULL THEN 'processed' ELSE 'failed' END AS status, error_class FROM runs""",
+    "claim_sketches": sql.OF_CLAIMS
+    + ", c AS (SELECT category, CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, header FROM headed WHERE header IS NOT NULL) SELECT category, claim_type, grouping(category, claim_type)::BIGINT AS all_of, count(*) AS n, count(DISTINCT header) AS headers, true AS distinct_near, true AS q50_near, true AS q90_near FROM c GROUP BY CUBE (category, claim_type)",
     "document_versions": """
 WITH e AS (SELECT user_id AS doc_id, ts, event_id % 3 AS part, event_id % 4 + 1 AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 p AS (SELECT doc_id, part, max(ts) AS version, arg_max(n, ts) AS claim_count, count(*) AS rows FROM e GROUP BY 1, 2),
