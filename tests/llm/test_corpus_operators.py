@@ -337,6 +337,24 @@ def test_compact_windows_cover_each_subsequence_once():
             assert [c for lo, c, r in windows if lo <= i <= c <= j <= r] == [at]
 
 
+def test_windows_of_several_texts_are_those_of_their_trees(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        least = int(rng.integers(2, 12))
+        texts = [rng.integers(1, rng.choice([6, 1000]), rng.integers(0, 80)).astype(np.uint64) for _ in range(rng.integers(1, 6))]
+        values = np.concatenate([np.zeros(1, np.uint64), *(np.append(t, np.uint64(0)) for t in texts)])
+        found = [tuple(w) for w in np.array(substring_dedup.all_compact_windows(values, least)).T.tolist()]
+        begins = np.cumsum([1, *(len(t) + 1 for t in texts)]).tolist()
+        assert sorted(found) == sorted((b + lo, b + c, b + r) for t, b in zip(texts, begins, strict=False) for lo, c, r in substring_dedup.compact_windows(t, least))
+    texts = [rng.integers(1, 2**60, n).astype(np.uint64) for n in (3, 200, 90, 46, 400, 45, 1000)]
+    every = []
+    for together, longest in ((1 << 14, 1 << 20), (300, 350)):
+        monkeypatch.setattr(substring_dedup, "TOGETHER", together)
+        monkeypatch.setattr(substring_dedup, "LONGEST_TOGETHER", longest)
+        every.append(sorted((k, *row) for k, *columns in substring_dedup._together(texts, 46) for row in zip(*(c.tolist() for c in columns), strict=True)))
+    assert every[0] == every[1] and {row[1] for row in every[0]} == {1, 2, 3, 4, 6}
+
+
 def test_repeated_passages_are_found_and_others_left_alone(spark):
     rng = random.Random(6)
     passage, near = sentence(rng, 60), sentence(rng, 80)
@@ -359,16 +377,27 @@ def test_repeated_passages_are_found_and_others_left_alone(spark):
     assert substring_dedup.repeated_passages(frame(spark, texts).where("false")).count() == 0
 
 
-def test_a_pair_that_shares_less_with_an_earlier_document_is_found(spark):
-    """Documents 1 and 2 of each three share 60 words, around a stock sentence that document 0 holds alone."""
-    rng, texts, wanted = random.Random(21), [], set()
-    for _ in range(30):
-        stock, before, after = sentence(rng, rng.randint(30, 42)), sentence(rng, 12), sentence(rng, 14)
-        texts.append(f"{sentence(rng, 60)} {stock} {sentence(rng, 60)}")
-        texts += [f"{sentence(rng, 60)} {before} {stock} {after} {sentence(rng, 60)}" for _ in range(2)]
+@pytest.mark.parametrize(("earlier", "stock"), [(1, (30, 42)), (1, (44, 49)), (2, (44, 49)), (4, (44, 49)), (16, (44, 49))])
+def test_a_pair_that_shares_less_with_earlier_documents_is_found(spark, earlier, stock):
+    """The last two documents of each group share 50 to 61 words, around a stock sentence that the earlier ones hold alone. A few of those are
+    alike enough by chance; then both may be tied to the same one of them."""
+    rng, texts, wanted, group = random.Random(21), [], set(), []
+    for _ in range(40):
+        words = sentence(rng, rng.randint(*stock))
+        n = rng.randint(max(0, 50 - len(words.split())), 61 - len(words.split()))
+        before = rng.randint(0, n)
+        shared = f"{sentence(rng, before)} {words} {sentence(rng, n - before)}"
+        texts += [f"{sentence(rng, 60)} {words} {sentence(rng, 60)}" for _ in range(earlier)]
+        texts += [f"{sentence(rng, 60)} {shared} {sentence(rng, 60)}" for _ in range(2)]
         wanted.add((len(texts) - 1, len(texts) - 2))
+        group += [len(wanted)] * (earlier + 2)
     found = {(r.doc_id, r.first_doc_id) for r in substring_dedup.repeated_passages(frame(spark, texts, False)).collect()}
-    assert len(wanted & found) >= 29
+    assert all(group[a] == group[b] for a, b in found)
+    ties = defaultdict(set)
+    for a, b in found:
+        ties[a].add(b)
+    seen = [(a, b) for a, b in wanted if (a, b) in found or ties[a] & ties[b]]
+    assert sum((a, b) in found for a, b in wanted) >= 0.9 * len(wanted) and len(seen) >= 0.97 * len(wanted), (earlier, len(wanted & found), len(seen), len(found))
 
 
 def test_recall_against_all_pairs(spark):
