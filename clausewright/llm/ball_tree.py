@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +19,8 @@ from clausewright.llm.staging import staged
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8_192, 65_536, 128
 #: Vectors from which the shards' regions are drawn up, and shards whose balls a task holds at a time.
 SAMPLE_ROWS, BALL_ROWS = 20_000, 4_096
-#: Queries that are searched together in a task.
-TOGETHER = 1_024
+#: Queries that are searched together in a task, and of a pack, the row in which they are sent.
+TOGETHER, PACK_ROWS = 1_024, 256
 _EXACT = 1 << 53
 
 
@@ -196,8 +197,8 @@ def _sharded(vectors: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(sizes), ["dim", "region"]).select("vec_id", "v", "dim", F.concat_ws("-", "dim", "region", part).alias("shard"))
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch], pa.RecordBatch]]:
-    """Rows (cell, kind, ...) in order to each cell's rows of kind 0, which are held, with those of kind 1, a few at a time."""
+def _met(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[tuple[str, list[pa.RecordBatch], pa.RecordBatch]]:
+    """Rows (cell, kind, ...) in order to each cell's rows of kind 0, which are held, with those of kind 1, ``together`` at a time."""
     now, parts = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -211,8 +212,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.Recor
             if kind[begin] == 0:
                 parts.append(batch.slice(begin, end - begin))
             elif parts:
-                for at in range(begin, end, TOGETHER):
-                    yield now, parts, batch.slice(at, min(TOGETHER, end - at))
+                for at in range(begin, end, together):
+                    yield now, parts, batch.slice(at, min(together, end - at))
 
 
 def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +225,42 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([r.sum(axis=0) for r in rows], pa.list_(pa.float64())), pa.array([len(r) for r in rows], pa.int64())], ["shard", "total", "n"])
 
 
+def _packed(asked: DataFrame, name: str) -> DataFrame:
+    """Queries (query_id, home, dim, least, q) to packs of PACK_ROWS at most, of one length and with homes that follow one another: pack, dim,
+    ids, homes, least, q (one vector after the other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dims = batch.column(2).to_numpy()
+            begins = np.flatnonzero(np.diff(dims, prepend=-1))
+            edges = np.array([e for a, b in zip(begins, [*begins[1:], len(dims)], strict=True) for e in range(a, b, PACK_ROWS)] + [len(dims)])
+            packs, n = np.arange(n, n + len(edges) - 1), n + len(edges) - 1
+            rows, places = pa.array(edges, pa.int32()), pa.array(np.concatenate([[0], np.cumsum(dims)])[edges], pa.int32())
+            lists = [pa.ListArray.from_arrays(rows, batch.column(k)) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(packs), pa.array(dims[edges[:-1]]), *lists, pa.ListArray.from_arrays(places, batch.column(4).flatten())], ["pack", "dim", "ids", "homes", "least", "q"])
+
+    rows = asked.select("query_id", "home", "dim", "least", "q").repartitionByRange("dim", "home", "query_id").sortWithinPartitions("dim", "home", "query_id")
+    return staged(rows.mapInArrow(run, "pack long, dim int, ids array<long>, homes array<string>, least array<long>, q array<long>"), name)
+
+
+def _bits(pack: int, names: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+    """Rows (pack, shard, bits) for the shards (columns of ``reach``) that some of the pack's queries (its rows) go to; a bit for each query."""
+    some = np.flatnonzero(reach.any(axis=0))
+    packed = np.packbits(reach[:, some], axis=0).T
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), pack, np.int64)), pa.array(names[some], pa.string()), pa.array([row.tobytes() for row in packed], pa.binary())], ["pack", "shard", "bits"])
+
+
+def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pack, homes) to the pack's queries for each of their homes."""
+    for batch in batches:
+        for pack, homes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            names, which = np.unique(np.array(homes, object), return_inverse=True)
+            yield _bits(pack, names, which[:, None] == np.arange(len(names))[None, :])
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``vectors`` and ``queries`` (vec_id: long, v: array of long) to query_id, rank, vec_id, score.
 
@@ -231,11 +268,12 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> D
     the smaller vec_id.
 
     1. Vectors that lie near one another make a shard of bounded size. A shard's ball (mean and radius) is found by aggregation.
-    2. Each query is searched in the shard with the highest bound for it; the kth scores found there are shared.
+    2. Each query is searched in the shard with the highest bound for it, its home; the kth scores found there are shared.
     3. Shards whose ball can't reach a query's kth score are ruled out before any vector is moved; the rest are searched. (Of vectors
        spread at random in many dimensions none can be ruled out, and each query goes to each shard.)
-    In 2 and 3 a shard's vectors and its queries meet in one task, which builds the ball tree once and lets the queries, BLOCK_ROWS of
-    them at most, pass through it a few at a time; only a shard with more queries is sent to several tasks.
+    Queries move in packs of PACK_ROWS at most, those of one home together: a pack and a shard make one row at most, with a bit for each query
+    that can't be ruled out, and never a row for each query. In 2 and 3 a shard's vectors and its packs meet in one task, which builds the ball
+    tree once and lets the queries, BLOCK_ROWS of them at most, pass through it a few at a time; only a shard with more is sent to several tasks.
 
     Only vectors of a query's own length count for it. Rows that repeat a vec_id all are candidates; as queries the
     first of them in the order of vectors is taken. No vectors or no queries: no rows.
@@ -257,55 +295,83 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> D
     def of_all(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
 
-    def near(asked: DataFrame, first_only: bool) -> DataFrame:
-        """``asked`` (query_id, q, dim, least) to (query_id, shard, bound): the shards whose balls reach ``least``, or the one of highest
-        bound in each group of balls. Groups of balls and blocks of queries meet in cells, as many rows as queries times groups."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = None
-            for cell, parts, rows in _met(batches):
-                if cell != now:
-                    now, names = cell, np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
-                    centres, radii = np.concatenate([_matrix(p.column(4), float) for p in parts]), np.concatenate([p.column(5).to_numpy() for p in parts])
-                most = bounds(_matrix(rows.column(4), float), centres, radii)
-                row, shard = (np.arange(len(most)), most.argmax(axis=1)) if first_only else np.nonzero(most >= rows.column(6).to_numpy()[:, None])
-                yield pa.RecordBatch.from_arrays([rows.column(3).take(pa.array(row)), pa.array(names[shard], pa.string()), pa.array(most[row, shard])], ["query_id", "shard", "bound"])
-
-        cell = F.concat_ws("/", "dim", "group", "block")
+    def held_balls(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
+        order = np.argsort(names)
+        centres, radii = np.concatenate([_matrix(p.column(3), float) for p in parts]), np.concatenate([p.column(4).to_numpy() for p in parts])
+        return names[order], centres[order], radii[order]
+
+    def met_balls(asked: DataFrame, by: str, *columns: str) -> DataFrame:
+        """Groups of balls and blocks of rows of ``asked`` (dim, q, ``columns``; dealt out by ``by``) in cells: as many rows as there are, times groups."""
+        cell = F.concat_ws("/", "dim", "group", "block").alias("cell")
         here = balls.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(max(1, groups)))).withColumn("block", of_all(blocks))
-        here = here.select(cell.alias("cell"), F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("id"), F.col("centre").alias("v"), "radius", lowest.alias("least"))
-        there = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))).withColumn("group", of_all(groups))
-        there = there.select(cell.alias("cell"), F.lit(1).alias("kind"), F.lit("").alias("shard"), F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"), F.lit(0.0).alias("radius"), "least")
-        return here.union(there).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "query_id long, shard string, bound double")
+        there = asked.withColumn("block", F.pmod(F.xxhash64(by), F.lit(max(1, blocks)))).withColumn("group", of_all(groups))
+        there = there.select(cell, F.lit(1).alias("kind"), F.lit("").alias("shard"), F.col("q").cast("array<double>").alias("v"), F.lit(0.0).alias("radius"), *columns)
+        none = [F.lit(None).cast(there.schema[c].dataType).alias(c) for c in columns]
+        here = here.select(cell, F.lit(0).alias("kind"), "shard", F.col("centre").alias("v"), "radius", *none)
+        return here.union(there).repartition("cell").sortWithinPartitions("cell", "kind")
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's shard of highest bound among a group of balls."""
+        now = None
+        for cell, parts, rows in _met(batches, TOGETHER):
+            if cell != now:
+                now, (names, centres, radii) = cell, held_balls(parts)
+            most = bounds(_matrix(rows.column(3), float), centres, radii)
+            shard = most.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([rows.column(5), pa.array(names[shard], pa.string()), pa.array(most[np.arange(len(most)), shard])], ["query_id", "shard", "bound"])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards of a group of balls that can hold a score of some of a pack's queries, but for their homes."""
+        now = None
+        for cell, parts, rows in _met(batches, 1):
+            if cell != now:
+                now, (names, centres, radii) = cell, held_balls(parts)
+            pack, homes, least = (rows.column(k)[0].as_py() for k in (5, 6, 7))
+            reach = bounds(rows.column(3).flatten().to_numpy().reshape(len(homes), -1), centres, radii) >= np.array(least)[:, None]
+            homes = np.array(homes, object)
+            at = np.minimum(np.searchsorted(names, homes), len(names) - 1)
+            own = names[at] == homes
+            reach[np.flatnonzero(own), at[own]] = False
+            yield _bits(pack, names, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (cell, kind, id, v, least): in each cell first the vectors, then the queries. A row without a query tells leaves."""
+        """Rows (cell, kind, id, v, ids, least, bits): in each cell first the vectors, then the packs. A row without a query tells leaves."""
         now = None
-        for cell, parts, rows in _met(batches):
+        for cell, parts, rows in _met(batches, max(1, TOGETHER // PACK_ROWS)):
             if cell != now:
                 now, tree, ids = cell, BallTree(np.concatenate([_matrix(p.column(3)) for p in parts])), np.concatenate([p.column(2).to_numpy() for p in parts])
-            query_ids, cut = rows.column(2).to_numpy(), [0, 0]
-            hits = search(tree, ids, _matrix(rows.column(3)), query_ids, k, rows.column(4).to_numpy(), cut)
+            asked = []
+            for r in range(rows.num_rows):
+                v, names, least = (rows.column(k)[r].values.to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+                go = np.unpackbits(np.frombuffer(rows.column(6)[r].as_py(), np.uint8), count=len(names)).astype(bool)
+                asked.append((names[go], v.reshape(len(names), -1)[go], least[go]))
+            query_ids, wanted, least = (np.concatenate(x) for x in zip(*asked, strict=True))
+            cut = [0, 0]
+            hits = search(tree, ids, wanted, query_ids, k, least, cut)
             found = [(int(q), i, s) for q, own in zip(query_ids, hits, strict=True) for s, i in own] + [(None, *cut)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
-    def searched(pairs: DataFrame) -> DataFrame:
-        """``pairs`` (query_id, q, shard, least) to the hits in those shards."""
-        many = pairs.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-        cell = F.concat_ws("/", "shard", "block")
+    def searched(pairs: DataFrame, packs: DataFrame) -> DataFrame:
+        """``pairs`` (pack, shard, bits) to the hits in those shards."""
+        many = pairs.groupBy("shard").agg(F.ceil(F.count("*") * PACK_ROWS / BLOCK_ROWS).cast("int").alias("blocks"))
+        cell = F.concat_ws("/", "shard", "block").alias("cell")
         here = vectors.join(many, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        here = here.select(cell.alias("cell"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", lowest.alias("least"))
-        there = pairs.join(many, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
-        there = there.select(cell.alias("cell"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"), "least")
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in (("ids", "array<long>"), ("least", "array<long>"), ("bits", "binary"))]
+        here = here.select(cell, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", *none)
+        there = pairs.join(many, "shard").withColumn("block", F.pmod(F.xxhash64("pack"), F.col("blocks"))).join(packs, "pack")
+        there = there.select(cell, F.lit(1).alias("kind"), F.col("pack").alias("id"), F.col("q").alias("v"), "ids", "least", "bits")
         return here.union(there).repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
 
-    start = queries.withColumn("least", lowest)
-    home = staged(near(start, True).groupBy("query_id").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard")), "home")
-    begun = staged(searched(start.join(home, "query_id")), "begun")
+    best = met_balls(queries, "query_id", "query_id").mapInArrow(highest, "query_id long, shard string, bound double")
+    home = staged(best.groupBy("query_id").agg(F.max_by("shard", F.struct("bound", "shard")).alias("home")), "home")
+    asked = queries.join(home, "query_id")
+    packs = _packed(asked.withColumn("least", lowest), "packs")
+    begun = staged(searched(packs.select("pack", "homes").mapInArrow(_at_home, "pack long, shard string, bits binary"), packs), "begun")
     kth = begun.where("query_id is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
-    known = staged(queries.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", lowest)).drop("kth"), "known")
-    rest = staged(near(known, False).select("query_id", "shard").join(home, ["query_id", "shard"], "left_anti"), "pairs")
-    ended = searched(known.join(rest, "query_id"))
+    packs = _packed(asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("kth", lowest)), "known")
+    pairs = staged(met_balls(packs, "pack", "pack", "homes", "least").mapInArrow(reached, "pack long, shard string, bits binary"), "pairs")
+    ended = searched(pairs, packs)
     ranked = begun.union(ended).where("query_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -125,6 +125,7 @@ def test_top_k_is_exact(spark, monkeypatch, sizes):
         monkeypatch.setattr(ball_tree, name, size)
     monkeypatch.setattr(ball_tree, "BALL_ROWS", 2)
     monkeypatch.setattr(ball_tree, "TOGETHER", 4)
+    monkeypatch.setattr(ball_tree, "PACK_ROWS", 3 if sizes[0] == 40 else 256)
     monkeypatch.setattr(ball_tree, "LEAF_ROWS", 8)
     rng = random.Random(3)
     rows = [(i, [rng.choice([-3, 0, 1, 2, 7]) * rng.random() for _ in range(5)]) for i in range(150)] + [(i, [1.0, 2.0, 0.5, -1.0, 0.0]) for i in range(150, 230)]
@@ -157,6 +158,24 @@ def test_leaves_and_shards_are_cut_where_vectors_lie_in_clusters():
     assert regions.regions >= 24 and np.mean([len(np.unique(where[k : k + 256])) for k in range(0, 8192, 256)]) < 3
 
 
+@pytest.mark.parametrize("spread", [1.0, 400.0])
+def test_packs_of_queries_meet_shards_and_never_query_by_query(spark, monkeypatch, spread):
+    tables = {}
+    monkeypatch.setattr(ball_tree, "staged", lambda df, name: tables.setdefault(name, staging.staged(df, name)))
+    for name, size in (("SHARD_ROWS", 64), ("PACK_ROWS", 32)):
+        monkeypatch.setattr(ball_tree, name, size)
+    rng = np.random.default_rng(8)
+    centres = np.repeat(rng.normal(size=(8, 12)) * 400, 128, axis=0)
+    vectors = np.rint(centres + rng.normal(size=(1024, 12)) * spread).astype(np.int64).tolist()
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, v array<long>")
+    found = {tuple(r) for r in ball_tree.top_inner_products(table, table.where("vec_id % 3 = 0"), 5).collect()}
+    assert found == brute_top(list(enumerate(vectors)), [(i, v) for i, v in enumerate(vectors) if i % 3 == 0], 5)
+    packs, shards, pairs = tables["known"].count(), tables["balls"].count(), tables["pairs"].count()
+    assert packs < 342 / 32 + 8 * spark.sparkContext.defaultParallelism and pairs <= packs * shards
+    assert tables["pairs"].groupBy("pack", "shard").count().where("count > 1").count() == 0
+    assert sum(bin(int.from_bytes(r.bits, "big")).count("1") for r in tables["pairs"].collect()) <= 342 * (shards - 1)
+
+
 def test_top_k_of_large_numbers_and_of_nothing(spark):
     table = spark.createDataFrame([(i, [2**40 + i, -(2**41), i]) for i in range(30)], "vec_id long, v array<long>")
     found = {tuple(r) for r in ball_tree.top_inner_products(table, table.where("vec_id = 0"), 3).collect()}
