@@ -103,6 +103,19 @@ def patent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.concat(head, applied, title, claims, F.lit("</"), F.substring_index(root, " ", 1), F.lit(">")).alias("xml"))
 
 
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text: a page per line item of an order, with running lines. All pages but the first have a header, those at even places
+    one more; footers differ between even and odd places. Lines in between are other ones on each page."""
+    items = _items(spark, sf_dir)
+    at, letter = F.col("pos").cast("string"), F.char(F.col("pos") + 96)
+    even = F.col("pos") % 2 == 0
+    body = F.concat(F.lit("part "), letter, F.lit(" opens\n"), _claim(F.col("number")), F.lit("\nSheet 9 of 9\n\npart "), letter, F.lit(" closes"))
+    head = F.concat(F.when(F.col("pos") > 1, F.concat(F.lit("US 12,"), F.col("doc_id").cast("string"), F.lit(" B2\n"))).otherwise(""), F.when(even, F.concat(F.lit("\n Sheet "), at, F.lit("  of 9\n"))).otherwise(""))
+    foot = F.when(even, F.concat(F.lit("\n\nPAGE "), at, F.lit("\n"))).otherwise(F.concat(F.lit("\n- "), at, F.lit(" -")))
+    grouped = items.select("doc_id", "pos", F.concat(head, body, foot).alias("page")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "page"))).alias("all"))
+    return grouped.select("doc_id", F.array_join(F.transform("all", lambda x: x["page"]), "\f").alias("text"))
+
+
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and html: each fourth page is XML with claim tags instead."""
     key = F.col("page_id").cast("string")
@@ -140,6 +153,19 @@ docs AS (
     + """ END FROM customer)"""
 )
 
+#: The paged documents without their running lines, made without them.
+PAGED_SQL = (
+    "\nWITH "
+    + DOCUMENTS_SQL.lstrip().split("docs AS (", maxsplit=1)[0]
+    + """
+n AS (SELECT w.*, count(*) OVER (PARTITION BY doc_id) AS pages FROM written w),
+f AS (SELECT *, pages - 1 >= greatest(3, ceil(pages * 0.4)) AS no_head, pages // 2 >= greatest(3, ceil(pages * 0.4)) AS no_even, (pages + 1) // 2 >= greatest(3, ceil(pages * 0.4)) AS no_odd FROM n)
+SELECT doc_id, any_value(pages)::BIGINT AS n_pages, any_value(no_head::INT + 2 * no_even::INT + no_odd::INT)::BIGINT AS n_running, md5(string_agg(
+  CASE WHEN pos > 1 AND NOT no_head THEN 'US 12,' || doc_id || ' B2' || chr(10) ELSE '' END || CASE WHEN pos % 2 = 0 THEN chr(10) || CASE WHEN no_even THEN '' ELSE ' Sheet ' || pos || '  of 9' || chr(10) END ELSE '' END
+  || 'part ' || chr((96 + pos)::INT) || ' opens' || chr(10) || line || chr(10) || 'Sheet 9 of 9' || chr(10) || chr(10) || 'part ' || chr((96 + pos)::INT) || ' closes'
+  || CASE WHEN pos % 2 = 0 THEN chr(10) || CASE WHEN no_even THEN '' ELSE chr(10) || 'PAGE ' || pos END || chr(10) WHEN no_odd THEN '' ELSE chr(10) || '- ' || pos || ' -' END, chr(12) ORDER BY pos)) AS text_md5 FROM f GROUP BY doc_id"""
+)
+
 PATENTS_SQL = (
     "\nWITH "
     + ITEMS_SQL.lstrip()

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.operators import asof
 from clausewright.operators import claims as C
 from clausewright.operators import graph as G
+from clausewright.operators import layout
 from clausewright.operators import markup as M
+from clausewright.operators import pages as P
 from clausewright.operators import quality as Q
 from clausewright.operators import render as R
 from clausewright.operators import sketches as K
@@ -111,6 +114,23 @@ def rendered_lines(spark, sf_dir):
     return R.rendered(_claims(spark, sf_dir))
 
 
+def page_layout(spark, sf_dir):
+    return layout.laid_out(R.rendered(_claims(spark, sf_dir)))
+
+
+def running_lines(spark, sf_dir):
+    found = P.without_running_lines(corpus.paged_documents(spark, sf_dir))
+    return found.select("doc_id", F.col("n_pages").cast("long").alias("n_pages"), F.size("running").cast("long").alias("n_running"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def filings_as_of(spark, sf_dir):
+    """Each purchase, taken as a filing, with the last other event of its user that isn't after it and not more than two hours before."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    filings, others = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), events.where("event_type <> 'purchase'").select("user_id", "ts", F.col("event_id").alias("found_id"), "event_type")
+    found = asof.as_of(filings, others, ("user_id",), "ts", "ts", F.expr("interval 2 hours"), prefix="last_")
+    return found.select("event_id", "user_id", "ts", F.col("last_ts").alias("event_ts"), F.col("last_found_id").alias("found_id"), F.col("last_event_type").alias("event_type"))
+
+
 def claims_json(spark, sf_dir):
     return parse.to_json(parse.parse_text(corpus.claim_documents(spark, sf_dir)))
 
@@ -255,7 +275,7 @@ def document_claims(spark, sf_dir):
     return C.parse_claims(normalize(docs)).select("doc_id", "number", "claim_type", "category", F.size("elements").cast("long").alias("n_elements"))
 
 
-QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, claim_sketches, document_versions, source_sessions, markup_text, document_claims)}
+QUERIES = {f.__name__: f for f in (claim_types, normalized_claims_text, normalized_documents, split_claims, claim_dependencies, dependency_edges, claim_tree, claim_ancestry, claim_graph, claim_ancestors, claim_listed_parents, claim_transitions, claim_headers, claim_elements, element_levels, document_scores, claim_errors, parsed_documents, batch_summary, rendered_lines, page_layout, running_lines, filings_as_of, claims_json, detected_types, file_outcomes, patent_claims, patent_lines, patent_elements, patent_element_tree, patent_elements_below, patent_metadata, patent_documents, archived_patents, exported_documents, incremental_runs, claim_sketches, document_versions, source_sessions, markup_text, document_claims)}
 
 _DOCUMENTS_OUT = "SELECT d.doc_id, 'RAW_TEXT' AS document_type, false AS ocr_used, CASE WHEN e.doc_id IS NULL THEN coalesce(s.claim_count, 0) END::BIGINT AS claim_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.independent_count, 0) END::BIGINT AS independent_count, CASE WHEN e.doc_id IS NULL THEN coalesce(s.confidence, 0) END::DOUBLE AS confidence, CASE WHEN e.doc_id IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM docs d LEFT JOIN scores s ON s.doc_id = d.doc_id LEFT JOIN errors e ON e.doc_id = d.doc_id"
 
@@ -269,6 +289,12 @@ e AS (SELECT *, CASE WHEN k = 5 THEN 'InvalidXml' WHEN k = 4 AND n > 1 THEN 'Dup
 SELECT doc_id, 'USPTO_XML' AS document_type, false AS ocr_used, CASE WHEN error_class IS NULL THEN n END AS claim_count, CASE WHEN error_class IS NULL THEN n - (n // 3) - ((n + 1) // 3) END AS independent_count, CASE WHEN error_class IS NULL THEN 100.0 END::DOUBLE AS confidence, CASE WHEN error_class IS NULL THEN 200 ELSE 400 END AS status_code, error_class, message FROM e"""
 
 ORACLES = {
+    "running_lines": corpus.PAGED_SQL,
+    "filings_as_of": """
+WITH f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+m AS (SELECT f.event_id, f.user_id, f.ts, o.ts AS event_ts, o.event_id AS event_id_found, o.event_type, row_number() OVER (PARTITION BY f.event_id, f.user_id, f.ts ORDER BY o.ts DESC NULLS LAST, o.event_id DESC) AS r
+  FROM f LEFT JOIN events o ON o.user_id = f.user_id AND o.event_type <> 'purchase' AND o.ts <= f.ts)
+SELECT event_id, user_id, ts, CASE WHEN near THEN event_ts END AS event_ts, CASE WHEN near THEN event_id_found END AS found_id, CASE WHEN near THEN event_type END AS event_type FROM (SELECT *, event_ts + INTERVAL 2 HOUR >= ts AS near FROM m WHERE r = 1)""",
     "claim_types": sql.OF_CLAIMS + " SELECT CASE WHEN is_independent THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS claim_type, category, count(*) AS claims, count(DISTINCT doc_id) AS documents FROM transitioned GROUP BY 1, 2",
     "normalized_claims_text": sql.CORPUS + " SELECT doc_id, text, ops FROM normalized",
     "normalized_documents": sql.OF_TEXTS + " SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS text_md5, ops FROM normalized",
