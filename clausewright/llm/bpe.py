@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words, and pairs of tokens, that a Python worker remembers.
+#: Words and runs of words, and pairs of tokens, that a Python worker remembers.
 MEMORY = 300_000
 #: Longer words are encoded anew each time.
 REMEMBERED_CHARS = 64
@@ -24,8 +24,6 @@ SLICE = 256
 #: A text is normalised and split in parts of at least so many characters.
 PART_CHARS = 1 << 16
 _BLANK = regex.compile("[ \n]")
-#: Marks a word's end in the automaton; no byte letter.
-END = "\n"
 
 
 def byte_letters() -> list[str]:
@@ -83,9 +81,9 @@ class Vocabulary:
 class Transducer:
     """Encodes a word symbol by symbol.
 
-    For each prefix it holds the last token of that prefix's encoding: among the tokens that end
-    there, the one before which the token held at its beginning can stand (two neighbours can stand
-    together if encoding their joint symbols gives just these two). A token of the encoding of what was read is
+    It holds the encoding of what was read: the row of tokens of which each can stand beside the next (two neighbours can stand
+    together if encoding their joint symbols gives just these two). There is one such row for each prefix, so the first that is found, by
+    the longest token at each place and steps back where none fits, is the encoding. A token of the encoding of what was read is
     stable once the merge list's sufficient lookahead has been read past its end: whatever follows, it stays. Stable tokens
     are given out and forgotten, so that what is held (two windows and a token at most) depends on the merge list and not on the word.
     """
@@ -93,16 +91,16 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary, lookahead: int | None = None):
         self.v = vocabulary
         self.longest = max(map(vocabulary.symbols, vocabulary.ids))
-        #: Prefixes that are held: the lookahead, and at least what the longest token reaches back to.
+        #: Symbols that are held: the lookahead, and at least what the longest token reaches back to.
         self.window = max(vocabulary.lookahead() if lookahead is None else lookahead, self.longest)
         self.most_held = 0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token in vocabulary.ids:
-            body = token.removesuffix(vocabulary.suffix)
-            self.automaton.add_word(body if body == token else body + END, (token, len(body) + (body != token)))
-        self.automaton.make_automaton()
+        self.inside = {t: t for t in vocabulary.ids if not t.endswith(vocabulary.suffix)}
+        self.ending = {t.removesuffix(vocabulary.suffix): t for t in vocabulary.ids if t.endswith(vocabulary.suffix)}
+        self.beginnings = ahocorasick.Automaton()
+        for body in {*self.inside, *self.ending} - {""}:
+            self.beginnings.add_word(body, len(body))
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The encoding of a few symbols by the merges in order of priority, leftmost first."""
@@ -137,51 +135,51 @@ class Transducer:
 
     def encode(self, word: str) -> Iterator[str]:
         """The tokens of one word, given as its byte letters, each as soon as it is stable."""
-        last: list[str | None] = [None]  # for each held prefix its last token; None at the word's beginning
-        size: list[int] = [0]
-        known, forgotten = self.pairs.get, 0
-        search = self.automaton.iter("")
+        before, begin = None, 0  # the last token given out, and where it ends
         for at in range(0, len(word), self.window):
-            final = at + self.window >= len(word)
-            search.set(word[at : at + self.window] + END if final else word[at : at + self.window])
-            for end, (token, length) in search:  # at each end the longest token comes first
-                end -= forgotten - 1
-                if end < len(last):
-                    continue
-                if (before := last[end - length]) is None:
-                    fits = self.stands(token)
-                elif (fits := known((before, token))) is None:
-                    fits = self.neighbours(before, token)
-                if fits:
-                    last.append(token)
-                    size.append(length)
-            if len(last) > self.most_held:
-                self.most_held = len(last)
-            if not final:
-                stable = self._stable(last, size)
-                forgotten = at + self.window - len(last) + 1
-                yield from stable
-        if word:  # the end mark is no letter of its own, but the end of the last one
-            yield from self._path(last, size, len(last) - 1)
-
-    @staticmethod
-    def _path(last: list, size: list[int], at: int) -> list[str]:
-        out = []
-        while at:
-            out.append(last[at])
-            at -= size[at]
-        return out[::-1]
-
-    def _stable(self, last: list, size: list[int]) -> list[str]:
-        at = len(last) - 1
-        while at > 0 and at > len(last) - 1 - self.window:
-            at -= size[at]
-        if at <= 0:
-            return []
-        out = self._path(last, size, at)
-        del last[:at], size[:at]
-        size[0] = 0  # last[0] stays, as the left neighbour of what follows
-        return out
+            read = at + self.window
+            held = word[begin:read]
+            self.most_held = max(self.most_held, len(held))
+            path = self._path(held, before, read >= len(word))
+            if read >= len(word):
+                yield from path
+                return
+            for token in path:
+                if begin + len(token) > read - self.window:
+                    break
+                before = token
+                begin += len(token)
+                yield token
+
+    def _path(self, held: str, before: str | None, final: bool) -> list[str]:
+        """The encoding of the symbols held, which end the word if ``final``; ``before`` stands before them."""
+        path, sizes, left, at, stop, longest = [], [], before, 0, len(held), self.longest
+        known, inside, ending, reach = self.pairs.get, self.inside.get, self.ending.get, self.beginnings.longest_prefix
+        size = reach(held[:longest])
+        while at < stop:
+            while size:
+                token = ending(held[at:]) if final and at + size == stop else inside(held[at : at + size])
+                if token is not None:
+                    if left is None:
+                        fits = self.stands(token)
+                    elif (fits := known((left, token))) is None:
+                        fits = self.neighbours(left, token)
+                    if fits:
+                        break
+                size -= 1
+            if size:
+                path.append(token)
+                sizes.append(size)
+                at += size
+                left = token
+                size = reach(held[at : at + longest])
+            else:
+                path.pop()
+                size = sizes.pop()
+                at -= size
+                left = path[-1] if path else before
+                size -= 1
+        return path
 
 
 # Letters and digits that Unicode 16 has and the tables of unicodedata (15.1) lack; capitals that Unicode 16 and 17
@@ -226,62 +224,63 @@ class Codec:
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """A word's ids; those of the last MEMORY words at least are remembered, and of twice as many at most."""
-        if (ids := self.older.get(word)) is None:
-            letters = word if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
-            ids = tuple(map(self.v.ids.__getitem__, self.transducer.encode(letters)))
-            if len(word) > REMEMBERED_CHARS:
+    def _encoded(self, word: str) -> tuple[int, ...]:
+        letters = word if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
+        return tuple(map(self.v.ids.__getitem__, self.transducer.encode(letters)))
+
+    def _known(self, run: str, words: list[str] | None = None) -> tuple[int, ...]:
+        """The ids of a run without blanks, or of a word, which gives the same; those of the last MEMORY ones at least are remembered, and
+        of twice as many at most."""
+        if (ids := self.recent.get(run)) is not None:
+            return ids
+        if (ids := self.older.get(run)) is None:
+            if words is None and not run.isalpha():  # most runs are a word, or a word and a stop: the pattern needn't be asked
+                words = [run[:-1], run[-1]] if run[-1] in ".,;:" and run[:-1].isalpha() else self.words.findall(run)
+            ids = self._encoded(run) if words is None or words == [run] else tuple(chain.from_iterable(self._known(w, [w]) for w in words))
+            if len(run) > REMEMBERED_CHARS:
                 return ids
         if len(self.recent) >= MEMORY:
             self.older, self.recent = self.recent, {}
-        self.recent[word] = ids
+        self.recent[run] = ids
         return ids
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        """The ids of a text without special tokens, a word at a time. Long texts are taken in parts that begin at a blank."""
+    def _plain(self, text: str) -> Iterator[list[tuple[int, ...]]]:
+        """The ids of a text without special tokens, run by run. Long texts are taken in parts that begin at a blank."""
         begin = 0
         while begin < len(text):
             end = found.start() if (found := _BLANK.search(text, begin + PART_CHARS)) else len(text)
-            yield from self._part(text[begin:end])
+            yield self._part(text[begin:end])
             begin = end
 
-    def _part(self, text: str) -> Iterator[tuple[int, ...]]:
+    def _part(self, text: str) -> list[tuple[int, ...]]:
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if _RARE.search(lowered):
-            yield from map(self._known, self.words.findall(lowered.translate(_SMALL)))
-            return
-        for run in lowered.split():  # most runs are a word, or a word and a stop: the pattern needn't be asked
-            if ids := self.recent.get(run):
-                yield ids
-            elif run.isalpha():
-                yield self._word(run)
-            elif run[-1] in ".,;:" and run[:-1].isalpha():
-                yield self._known(run[:-1])
-                yield self._known(run[-1])
-            else:
-                yield from map(self._known, self.words.findall(run))
-
-    def _known(self, word: str) -> tuple[int, ...]:
-        return self.recent.get(word) or self._word(word)
-
-    def _all(self, text: str | None) -> Iterator[tuple[int, ...]]:
+            return [self._known(word, [word]) for word in self.words.findall(lowered.translate(_SMALL))]
+        runs = lowered.split()
+        found = list(map(self.recent.get, runs))
+        if None in found:
+            found = [self._known(run) if ids is None else ids for run, ids in zip(runs, found, strict=True)]
+        return found
+
+    def _all(self, text: str | None) -> Iterator[list[tuple[int, ...]]]:
         at = 0
         for found in self.specials.finditer(text) if text and self.v.special else ():
             yield from self._plain(text[at : found.start()])
-            yield (self.v.special[found[0]],)
+            yield [(self.v.special[found[0]],)]
             at = found.end()
         if text:
             yield from self._plain(text[at:] if at else text)
 
     def ids(self, text: str | None) -> Iterator[int]:
-        """A text's ids, each as soon as its word is known."""
-        return chain.from_iterable(self._all(text))
+        """A text's ids, each as soon as its part is known."""
+        return chain.from_iterable(chain.from_iterable(self._all(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(self.ids(text))
 
     def decode(self, ids: Iterable[int]) -> str:
+        if not self.v.byte_decoder:
+            return " ".join(map(self.v.tokens.__getitem__, ids))
         return "".join(self.pieces(ids))
 
     def pieces(self, ids: Iterable[int]) -> Iterator[str]:

@@ -102,6 +102,25 @@ def test_bpe_of_a_long_text_taken_in_parts(monkeypatch):
     assert codec.encode(text) == known.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_asks_for_a_run_once():
+    """The pattern is asked once for a run of words and signs that comes back, and made-up words are encoded as the library does."""
+    codec, known = bpe.Codec(bpe.Vocabulary.load(bpe.default_vocabulary())), Tokenizer.from_file(bpe.default_vocabulary())
+    asked, words = [], codec.words
+
+    class Counted:
+        def findall(self, run):
+            asked.append(run)
+            return words.findall(run)
+
+    codec.words = Counted()
+    text = "maison*** don't l'eau&&& x,y maison*** don't l'eau&&& x,y maison l eau"
+    assert codec.encode(text) == known.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["don't", "l'eau&&&", "maison***", "x,y"]
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["th", "e", "ing", "tion", "eau", "on", "x", "qu"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    assert codec.encode(" ".join(made)) == known.encode(" ".join(made), add_special_tokens=False).ids
+
+
 def test_bpe_byte_decoder_waits_for_whole_characters():
     vocabulary = bpe.Vocabulary.load(bpe.default_vocabulary())
     vocabulary.byte_decoder = True
