@@ -419,6 +419,18 @@ def test_a_pair_that_shares_less_with_earlier_documents_is_found(spark, earlier,
     assert sum((a, b) in found for a, b in wanted) >= 0.9 * len(wanted) and len(seen) >= 0.97 * len(wanted), (earlier, len(wanted & found), len(seen), len(found))
 
 
+def test_runs_of_an_alignment_are_held_against_few_others(monkeypatch):
+    """Two texts with a changed word at every twelfth place: a run follows the one before it, and the others aren't looked through."""
+    rng, calls, found = np.random.default_rng(3), [], np.flatnonzero
+    x = rng.integers(0, 1 << 60, 6000).astype(np.uint64)
+    y = x.copy()
+    y[::12] += np.uint64(1)
+    monkeypatch.setattr(substring_dedup.np, "flatnonzero", lambda *given: calls.append(1) or found(*given))
+    rows = substring_dedup.passages(x, y, [], 50, 80)
+    assert [r[:4] for r in rows] == [(1, 6004, 1, 6004)]
+    assert len(calls) < 50
+
+
 def test_recall_against_all_pairs(spark):
     """Passages of 50 to 120 words with edits, down to the threshold, in a few hundred texts; brute force over all pairs of them."""
     rng, texts, pairs = random.Random(22), [], {}
