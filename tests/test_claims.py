@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from clausewright.functions.text import strip
 from clausewright.operators import claims as C
 from clausewright.operators import quality as Q
 from clausewright.operators import render as R
@@ -190,3 +191,9 @@ def test_items_and_levels_of_a_long_claim_take_linear_time(spark):
 def test_a_conjunction_goes_back_to_the_piece_before(spark):
     rows = spark.createDataFrame([(1, "1. A thing comprising: and a; ; or b; and ; and c; and")], "doc_id long, text string")
     assert [(e.ord, e.text) for e in C.parse_claims(rows).first().elements] == [(0, "and a;"), (1, "; or"), (2, "b; and"), (3, "; and"), (4, "c;"), (5, "and")]
+
+
+def test_strip_is_that_of_python(spark):
+    texts = [f"{chr(c)}{chr(c)} a{chr(c)}b {chr(c)}" for c in range(1, 0x3002) if not 0xD800 <= c <= 0xDFFF] + ["", " ", "\x85"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.s == r.t.strip() for r in frame.select("t", strip(F.col("t")).alias("s")).collect())
