@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,14 @@ def test_lines_are_broken_as_by_brute_force():
     assert layout.broken("", 10, 10) == [(0, 0, 0)]
 
 
+def test_widths_of_a_batch_are_those_of_its_letters():
+    texts = ["", "Wide", "é—x\U0001f600", " ~\x7f\t", "", "i" * 500]
+    wide = [sum(layout.TIMES_ROMAN[ord(c) - 32] if " " <= c <= "~" else layout.OTHER_WIDTH for c in s) for s in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert layout.text_widths(pa.array(texts, kind)).tolist() == wide
+        assert layout.text_widths(pa.array(["ab", *texts, "c"], kind).slice(1, len(texts))).tolist() == wide
+
+
 def test_layout_fills_pages(spark):
     rows = [("d", 1, -1, "Title", 0, 0, "What is claimed is:"), ("e", 1, 0, "ClaimRoot", 24, -24, None)]
     rows += [("d", c, 0, "ClaimRoot", 24, -24, f"{c}. A <b>thing</b> of a &lt; b &amp; " + "word " * 60) for c in range(1, 30)]
