@@ -34,6 +34,19 @@ def test_query_gives_the_rows_of_its_sql(spark, sql, name):
     assert sorted(shown([row[n] for n in names]) for row in found.collect()) == wanted
 
 
+@pytest.mark.parametrize(("name", "least"), [("detected_types", -16), ("file_outcomes", 0)])  # the outcomes' SQL has no rows of ids below 0
+def test_files_without_text_and_with_odd_ids_are_as_in_sql(spark, tmp_path, name, least):
+    texts = [None, "", "\n", "1. A bar.\n2. The bar of claim 1."]
+    spark.createDataFrame([(i, texts[i // 4 % 4]) for i in range(least, 32)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [None, "", "<p>a</p>"][i % 3 - i // 12]) for i in range(24)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    found = plans.QUERIES[name](spark, str(tmp_path))
+    said = con.execute(f"select {', '.join(found.columns)} from ({plans.ORACLES[name]})").fetchall()
+    assert sorted(map(shown, found.collect())) == sorted(map(shown, said))
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
