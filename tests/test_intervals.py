@@ -79,3 +79,23 @@ def test_an_element_that_is_not_closed_goes_on_to_the_end(spark):
     xml = "<claims><claim><claim-text>a<claim-text>b</claim-text><claim-text>c</claim></claims>"
     got = M.element_tree(spark.createDataFrame([(1, xml)], "doc_id long, xml string")).orderBy("first").collect()
     assert [(r.first, r["last"], r.parent) for r in got] == [(1, 3, None), (2, 2, 1), (3, 3, 1)]
+
+
+def test_claims_and_trees_are_told_without_joins_and_tokens_as_rows(spark):
+    many = "".join(f'<claim id="{k}"><claim-text>{k}. A <b>x</b><claim-text>y</claim-text>z</claim-text></claim>' for k in range(1, 200))
+    deep = f"<claim>{'<claim-text>a' * 150}{'</claim-text>' * 150}</claim>"
+    frame = spark.createDataFrame([(1, f"<claims>{many}</claims>"), (2, f"<claims>{deep}</claims>")], "doc_id long, xml string")
+    claims, tree = M.xml_claims(frame), M.element_tree(frame)
+
+    def plan(found):
+        return found._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange " not in plan(claims) and "Window" not in plan(claims)
+    assert plan(M.xml_documents(frame)).count("Exchange ") == 1 and "Window" not in plan(M.xml_documents(frame))
+    assert all("Join" not in plan(f(tree)) and plan(f(tree)).count("Exchange ") == 1 for f in (M.element_paths, M.elements_below))
+    rows = claims.where("doc_id = 1").collect()
+    assert sorted((r.claim_pos, r.number, r.header, r.elements[0].text) for r in rows) == [(k, k, "A <b>x</b>z", "y") for k in range(1, 200)]
+    assert M.xml_documents(frame.where("doc_id = 1")).first().error is None
+    got = {(r.first, r["last"], r.depth, r.parent, r.ordinal, r.size) for r in M.element_paths(tree).where("doc_id = 2").collect() if r.path == [1] * r.depth}
+    assert got == {(k, 150, k, k - 1 or None, 1, 150) for k in range(1, 151)}
+    assert M.elements_below(tree).where("doc_id = 2").count() == 150 * 149 // 2
