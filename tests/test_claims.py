@@ -197,3 +197,11 @@ def test_strip_is_that_of_python(spark):
     texts = [f"{chr(c)}{chr(c)} a{chr(c)}b {chr(c)}" for c in range(1, 0x3002) if not 0xD800 <= c <= 0xDFFF] + ["", " ", "\x85"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     assert all(r.s == r.t.strip() for r in frame.select("t", strip(F.col("t")).alias("s")).collect())
+
+
+def test_dependencies_are_told_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "1. A bar.\n2. The bar of claim 1.\n2. The bar of claims 1-3.\n99999999999999999999. The bar of claim 7."), (2, "3. The pin of claim 1."), (None, "1. A.\n2. The A of claim 1.")], "doc_id long, text string")
+    found = C.dependencies_of(C.parse_claims(normalize(docs)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and plan.count("Exchange ") == 1 and "Join" not in plan
+    assert sorted((r.doc_id or 0, r.child or 0, r.parent, r.parent_exists) for r in found.collect()) == [(0, 2, 1, False), (1, 0, 7, False), (1, 2, 1, True), (1, 2, 1, True), (1, 2, 2, True), (1, 2, 3, False), (2, 3, 1, False)]
